@@ -66,12 +66,12 @@ def repeat_groups(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def repeat_levels(df: DataFrame, levels: dict[str, list[str]], order: str) -> DataFrame:
     """First row of the repeat group at each level, or NULL where a row is alone."""
-    result = df
-    for name, keys in levels.items():
-        hashed = result.withColumn("_key", key_hash(keys))
-        dim = hashed.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), F.min(order).alias(name))
-        joined = attach(hashed, dim, ["_key"], "_size")
-        result = joined.withColumn(name, F.when(F.col("_size") > 1, F.col(name))).drop("_key", "_size")
+    result = df.withColumns({f"_key_{name}": key_hash(keys) for name, keys in levels.items()})
+    hashed = result
+    for name in levels:
+        dim = hashed.groupBy(f"_key_{name}").agg(F.count(F.lit(1)).alias("_size"), F.min(order).alias(name))
+        repeated = dim.where("_size > 1")
+        result = attach(result, repeated, [f"_key_{name}"], "_size").drop(f"_key_{name}", "_size")
     return result
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions.parse import UNSET, band, combine_keys, ratio
 from terrace.operators.filters import training_copies
-from terrace.operators.order import cut_points, null_safe_join, quantiles
+from terrace.operators.order import null_safe_join, quantiles
 from terrace.operators.skew import attach
 
 M_GRID = (5.0, 10.0, 20.0, 50.0, 100.0)
@@ -200,6 +200,35 @@ def target_encode_oof(
     return joined.drop("category", "_rows", "_encoded", "_log_n")
 
 
+def target_encode_auto_oof(df: DataFrame, column: str, y: str, fold: str = "fold", name: str | None = None) -> DataFrame:
+    """Cross-fitted empirical-Bayes encoding, again by subtracting the fold's own sums.
+
+    Sums are taken around the overall mean, which keeps the variances accurate.
+    """
+    centre = df.agg(F.avg(y).alias("_mid"))
+    shifted = df.select(category(column).alias("category"), F.col(fold).alias("fold"), F.col(y).alias("_y")).crossJoin(
+        F.broadcast(centre)).withColumn("_d", F.col("_y") - F.col("_mid"))
+    d = F.col("_d")
+    sums = [F.sum(d).alias("_s"), F.sum(d * d).alias("_q"), F.count("_y").alias("_c"), F.count(F.lit(1)).alias("_rows"), F.max("_mid").alias("_mid")]
+    cells = shifted.groupBy("category", "fold").agg(*sums)
+    whole = Window.partitionBy("category")  # at most one row per fold
+    every = Window.partitionBy(F.lit(1))  # one row per fold
+    rest = {c: F.sum(c).over(whole) - F.col(c) for c in ("_s", "_q", "_c")}
+    inside = cells.select("category", "fold", "_rows", "_mid", *[v.alias(k) for k, v in rest.items()])
+    by_fold = shifted.groupBy("fold").agg(*sums)
+    outside = by_fold.select("fold", *[(F.sum(c).over(every) - F.col(c)).alias(f"{c}_all") for c in ("_s", "_q", "_c")])
+    joined = inside.join(F.broadcast(outside), "fold")
+    mean_all = F.col("_s_all") / F.col("_c_all")
+    var_all = F.col("_q_all") / F.col("_c_all") - mean_all * mean_all
+    mean = F.col("_s") / F.col("_c")
+    var = F.greatest(F.col("_q") / F.col("_c") - mean * mean, F.lit(0.0))
+    weight = F.when(var_all == 0, F.lit(0.0)).otherwise(var_all * F.col("_c") / (var_all * F.col("_c") + var))
+    encoded = F.col("_mid") + F.when(F.col("_c") > 0, weight * mean + (1 - weight) * mean_all).otherwise(mean_all)
+    dim = joined.select("category", F.col("fold").alias(fold), "_rows", encoded.alias("_encoded"))
+    tagged = df.withColumn("category", category(column))
+    return attach(tagged, dim, ["category", fold], "_rows").withColumn(name or f"{column}_te", F.col("_encoded")).drop("category", "_rows", "_encoded")
+
+
 def select_m(df: DataFrame, columns: list[str], y: str, grid=M_GRID, fold: str = "fold") -> DataFrame:
     """RMSE of the mean OOF encoding per smoothing value; the best comes first.
 
@@ -207,7 +236,7 @@ def select_m(df: DataFrame, columns: list[str], y: str, grid=M_GRID, fold: str =
     """
     result = df.select(*columns, y, fold)
     for i, c in enumerate(columns):
-        dim = _fold_remainders(df, c, y, fold).withColumnsRenamed({"_other_sum": f"_s{i}", "_other_n": f"_n{i}", "category": f"_c{i}"})
+        dim = _fold_remainders(df.select(c, y, fold), c, y, fold).withColumnsRenamed({"_other_sum": f"_s{i}", "_other_n": f"_n{i}", "category": f"_c{i}"})
         dim = dim.withColumnRenamed("fold", fold) if fold != "fold" else dim
         tagged = result.withColumn(f"_c{i}", category(c))
         result = attach(tagged, dim, [f"_c{i}", fold], "_rows").drop(f"_c{i}", "_rows")
@@ -281,11 +310,11 @@ MARKET_FALLBACKS = {
 MARKET_STATS = ("median", "mean", "count", "iqr")
 
 
-def market_table(train: DataFrame, level: str, unit: str, parts: list[str], cuts: list[float]) -> DataFrame:
+def market_table(train: DataFrame, level: str, unit: str, parts: list[str]) -> DataFrame:
     """Unit-price median, mean, count and interquartile range per key of a level."""
     keyed = train.withColumn("_key", combine_keys(*[F.col(c) for c in MARKET_LEVELS[level]]))
     base = keyed.groupBy(*parts, "_key").agg(F.avg(unit).alias("mean"), F.count(unit).alias("count"))
-    tails = quantiles(keyed, [*parts, "_key"], unit, {"median": 0.5, "_q1": 0.25, "_q3": 0.75}, cuts)
+    tails = quantiles(keyed, [*parts, "_key"], unit, {"median": 0.5, "_q1": 0.25, "_q3": 0.75})
     return null_safe_join(base, tails, [*parts, "_key"]).select(
         *parts, "_key", "median", "mean", "count", (F.col("_q3") - F.col("_q1")).alias("iqr")
     )
@@ -300,18 +329,17 @@ def micro_market_stats(
     that separate independent fits.
     """
     parts = parts or []
-    cuts = cut_points(train, unit)
     needed = list(levels or MARKET_LEVELS)
     fetched = list(dict.fromkeys([x for lv in needed for x in (lv, *MARKET_FALLBACKS[lv])]))
     result = rows
     for level in fetched:
-        dim = market_table(train, level, unit, parts, cuts).withColumnsRenamed(
+        dim = market_table(train, level, unit, parts).withColumnsRenamed(
             {s: f"_{level}_{s}" for s in MARKET_STATS}
         ).withColumn("_w", F.col(f"_{level}_count"))
         tagged = result.withColumn("_key", combine_keys(*[F.col(c) for c in MARKET_LEVELS[level]]))
         result = attach(tagged, dim, [*parts, "_key"], "_w").drop("_key", "_w")
     base = train.groupBy(*parts).agg(F.avg(unit).alias("_all_mean"))
-    tails = quantiles(train, parts, unit, {"_all_median": 0.5, "_all_q1": 0.25, "_all_q3": 0.75}, cuts)
+    tails = quantiles(train, parts, unit, {"_all_median": 0.5, "_all_q1": 0.25, "_all_q3": 0.75})
     overall = null_safe_join(base, tails, parts).withColumn("_all_iqr", F.col("_all_q3") - F.col("_all_q1"))
     result = null_safe_join(result, F.broadcast(overall), parts)
     columns = {}

@@ -2,7 +2,9 @@
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer, and an unpartitioned window sorts the table in one task.
-Both stop working on large groups. The functions here instead
+Both stop working on large groups. Quantiles therefore first measure the largest
+group, and only groups proven small use ``percentile``. Beyond that bound the
+functions here
 
 1. count equal values first, so ties collapse on the map side;
 2. cut the value range at approximate quantiles, so each bucket holds about
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from terrace.session import shuffle_width
 
 MAX_BUCKETS = 4096
+# Groups up to this many rows fit one aggregation buffer.
+PERCENTILE_ROWS = 1_000_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -90,16 +94,25 @@ def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
     )
 
 
-def quantiles(
-    df: DataFrame, by: list[str], value: str, wanted: dict[str, float], cuts: list[float] | None = None
-) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per group.
 
     ``wanted`` maps output column to quantile. Missing and NaN values are left
     out; groups made of such rows only do not appear.
     """
-    counts = value_counts(df.select(*by, F.col(value).cast("double").alias("_v")), by, "_v")
-    ranked = running_totals(counts, by, "_v", "_n", cuts)
+    present = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    largest = present.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("top")).first()["top"]
+    if (largest or 0) <= PERCENTILE_ROWS:
+        levels = sorted(set(wanted.values()))
+        held = present.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(float(q)) for q in levels])).alias("_q"))
+        held = held.where(F.col("_q").isNotNull())
+        return held.select(*by, *[F.get("_q", F.lit(levels.index(q))).alias(n) for n, q in wanted.items()])
+    return bucketed_quantiles(present, by, wanted)
+
+
+def bucketed_quantiles(present: DataFrame, by: list[str], wanted: dict[str, float]) -> DataFrame:
+    """Quantiles of column ``_v`` from bucketed ranks, for groups of any size."""
+    ranked = running_totals(value_counts(present, by, "_v"), by, "_v", "_n")
     aggregates: list[Column] = []
     for name, q in wanted.items():
         position = F.lit(float(q)) * (F.col("_total") - 1)

@@ -6,50 +6,60 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
+
+from terrace.session import durable
 
 HOT_KEYS = 256
 SALTS = 64
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def row_bytes(kind: DataType) -> int:
+    """Rough size of one value, on the high side."""
+    if isinstance(kind, StructType):
+        return sum(row_bytes(f.dataType) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return 32 * row_bytes(kind.elementType)
+    return 96 if isinstance(kind, StringType) else 16
+
+
+def attach(rows: DataFrame, dim: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Left join a one-row-per-key table whose ``weight`` column counts the rows.
 
+    The table is written once to the checkpoint folder and measured, and the
+    measurement picks the plan:
 
-def attach(
-    rows: DataFrame, dim: DataFrame, keys: list[str], weight: str, how: str = "left"
-) -> DataFrame:
-    """Join a one-row-per-key table whose ``weight`` column counts the rows.
+    * it fits ``BROADCAST_BYTES``: broadcast, the rows do not move;
+    * no key holds more than 1/256 of the weight: plain shuffle join;
+    * otherwise the hot keys (at most 255) are broadcast, and their rows are
+      spread over salts in the shuffle join that serves the other keys, so no
+      reducer receives a hot key whole.
 
-    A key is hot when it holds more than 1/256 of all weight, so at most 255
-    keys can be hot: that part is broadcast. Hot rows are then spread over
-    salts in the shuffle join that serves the remaining keys, so no reducer
-    receives a hot key whole. NULL keys match NULL keys.
+    NULL keys match NULL keys.
     """
+    dim = durable(dim)
+    size = dim.agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("all"), F.max(weight).alias("top")).first()
+    total, top = size["all"] or 0, size["top"] or 0
     values = [c for c in dim.columns if c not in keys]
-    total = dim.agg(F.sum(weight).alias("_all"))
-    sized = dim.join(F.broadcast(total), F.lit(True)).withColumn(
-        "_is_hot", F.col(weight) * HOT_KEYS > F.col("_all")
-    )
-    packed = sized.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.struct(*[F.col(v) for v in values]).alias("_packed"),
-        "_is_hot",
-    )
-    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
     key_copies = [f"_k_{k}" for k in keys]
-    hot = packed.where("_is_hot").drop("_is_hot").withColumnRenamed("_packed", "_hot")
-    cold = (
-        packed.where(~F.col("_is_hot"))
-        .drop("_is_hot")
-        .withColumnRenamed("_packed", "_cold")
-        .withColumn("_dim_salt", F.lit(0))
+    packed = dim.select(
+        *[F.col(k).alias(c) for k, c in zip(keys, key_copies)], F.struct(*values).alias("_packed"), F.col(weight).alias("_w")
     )
-    plain = [f.name for f in rows.schema.fields if f.dataType.typeName() not in ("map", "udt", "vector")]
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in plain]), F.lit(SALTS)).cast("int") + 1
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(c)) for k, c in zip(keys, key_copies)])
+    kept = [c for c in rows.columns if c not in values]
+    fits = size["n"] * row_bytes(dim.schema) <= BROADCAST_BYTES
+    if fits or top * HOT_KEYS <= total:
+        table = packed.drop("_w")
+        joined = rows.join(F.broadcast(table) if fits else table, match, "left")
+        return joined.select(*kept, *[F.col(f"_packed.{v}").alias(v) for v in values])
+    is_hot = F.col("_w") * HOT_KEYS > F.lit(total)
+    hot = packed.where(is_hot).drop("_w").withColumnRenamed("_packed", "_hot")
+    cold = packed.where(~is_hot).drop("_w").withColumnRenamed("_packed", "_cold").withColumn("_dim_salt", F.lit(0))
+    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int") + 1
     first = rows.join(F.broadcast(hot), match, "left").drop(*key_copies)
     salted = first.withColumn("_salt", F.when(F.col("_hot").isNotNull(), spread).otherwise(F.lit(0)))
-    joined = salted.join(cold, match & (F.col("_salt") == F.col("_dim_salt")), "left").drop(
-        *key_copies, "_salt", "_dim_salt"
-    )
-    if how == "inner":
-        joined = joined.where(F.col("_hot").isNotNull() | F.col("_cold").isNotNull())
-    kept = [c for c in rows.columns if c not in values]
+    joined = salted.join(cold, match & (F.col("_salt") == F.col("_dim_salt")), "left")
     return joined.select(
         *kept,
         *[
