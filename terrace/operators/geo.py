@@ -25,7 +25,7 @@ from terrace.session import durable
 STEP = 3
 MAX_LEVEL = 24
 LEAF = 64
-SLACK = 1e-9
+SLACK = 1e-8
 CELL = ["level", "cx", "cy", "cz"]
 BOX = ["x0", "x1", "y0", "y1", "z0", "z1"]
 RADII_KM = (1.0, 3.0, 5.0, 10.0)
@@ -176,8 +176,8 @@ def nearest(
 ) -> DataFrame:
     """The ``k`` nearest reference rows of every query row, as an ordered array.
 
-    ``neighbours`` holds (distance_km, id, payload...) ordered by distance and
-    id; it is NULL for rows without usable coordinates. ``parts`` separates
+    ``neighbours`` holds (distance_km, id, payload...) ordered by distance, to
+    the micrometre, and id; it is NULL for rows without usable coordinates. ``parts`` separates
     independent searches.
     """
     parts, payload = parts or [], payload or []
@@ -201,7 +201,7 @@ def nearest(
     r_rows = r_leaf.select(*parts, F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.col("n").alias("r_n"), "_ids", *[F.col(c).alias(f"r_{c}") for c in CELL])
     near = (
         pairs.join(r_rows, [*parts, *[f"r_{c}" for c in CELL]]).join(q_rows, [*parts, *[f"q_{c}" for c in CELL]])
-        .withColumn("distance_km", haversine_km(F.col("q_lat"), F.col("q_lon"), F.col("r_lat"), F.col("r_lon")))
+        .withColumn("distance_km", F.round(haversine_km(F.col("q_lat"), F.col("q_lon"), F.col("r_lat"), F.col("r_lon")), 9))
     )
     ask = [*parts, "q_lat", "q_lon"]
     closer = Window.partitionBy(*ask).orderBy("distance_km").rangeBetween(Window.unboundedPreceding, 0)
@@ -287,6 +287,10 @@ def _mean(values: Column) -> Column:
     return F.when(F.size(values) > 0, total / F.size(values))
 
 
+def _within(distances: Column, radius: float) -> Column:
+    return F.size(F.filter(distances, lambda d: d <= radius))
+
+
 def _median(values: Column) -> Column:
     ordered = F.sort_array(values)
     n = F.size(values)
@@ -309,7 +313,7 @@ def geo_features(df: DataFrame, references: DataFrame | None = None, row_id: str
     for k in (5, 10):
         columns[f"knn_{k}_max_km"] = F.array_max(F.slice(distances, 1, k))
     for r in RADII_KM:
-        columns[f"near_within_{r:g}km"] = F.size(F.filter(distances, lambda d, r=r: d <= r))
+        columns[f"near_within_{r:g}km"] = _within(distances, r)
     usable = F.col("neighbours").isNotNull()
     return found.withColumns({n: F.when(usable, c) for n, c in columns.items()}).drop("neighbours")
 

@@ -11,6 +11,7 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from terrace.functions.parse import normalize_text
 
@@ -30,6 +31,21 @@ def plain(c: Column) -> Column:
     return F.translate(normalize_text(c), accented, base)
 
 
+def _runs(words: Column, n: int) -> Column:
+    """Runs of n words. Shifted copies are zipped, so the word list is built
+    n times per row and never once per position."""
+    joined = words
+    for shift in range(1, n):
+        later = F.slice(words, F.lit(1 + shift), F.greatest(F.size(words), F.lit(1)))
+        joined = F.zip_with(joined, later, lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(joined, lambda x: x.isNotNull())
+
+
+def _cuts(word: Column, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1)))
+    return F.transform(starts, lambda i: F.substr(word, i, F.lit(n)))
+
+
 def word_tokens(c: Column, ngrams: tuple[int, int] = (1, 2)) -> Column:
     """Words of two or more characters, and runs of them joined by a space."""
     words = F.regexp_extract_all(plain(c), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
@@ -38,9 +54,7 @@ def word_tokens(c: Column, ngrams: tuple[int, int] = (1, 2)) -> Column:
         if n == 1:
             grams.append(words)
         else:
-            starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-            runs = F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-            grams.append(F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>")))
+            grams.append(_runs(words, n))
     return F.concat(*grams)
 
 
@@ -54,10 +68,8 @@ def char_tokens(c: Column, ngrams: tuple[int, int] = (3, 5)) -> Column:
     def of(word: Column) -> Column:
         pieces = []
         for n in range(ngrams[0], ngrams[1] + 1):
-            starts = F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1)))
-            cut = F.transform(starts, lambda i, n=n: F.substr(word, i, F.lit(n)))
             shorter = F.length(word) < n if n > ngrams[0] else F.lit(False)
-            pieces.append(F.when(shorter, F.array().cast("array<string>")).otherwise(cut))
+            pieces.append(F.when(shorter, F.array().cast("array<string>")).otherwise(_cuts(word, n)))
         return F.concat(*pieces)
 
     return F.flatten(F.transform(words, of))
@@ -115,7 +127,8 @@ def sparse_vectors(weights: DataFrame, row_id: str, size: int, output: str = "tf
         F.lit(0).alias("type"), F.lit(size).alias("size"),
         F.transform("_e", lambda e: e["term_index"]).alias("indices"), F.transform("_e", lambda e: e["weight"]).alias("values"),
     )
-    return entries.select(row_id, F.from_json(F.to_json(fields), VectorUDT()).alias(output))
+    holder = StructType([StructField("v", VectorUDT())])
+    return entries.select(row_id, F.from_json(F.to_json(F.struct(fields.alias("v"))), holder)["v"].alias(output))
 
 
 def truncated_svd(vectors: DataFrame, column: str, components: int):

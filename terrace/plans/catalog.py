@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrace.plans import cleaning_queries, evaluation_queries, report_queries  # noqa: F401
+from terrace.plans import cleaning_queries, evaluation_queries, model_queries, report_queries  # noqa: F401
 from terrace.plans.registry import REGISTRY
 
 

@@ -672,7 +672,7 @@ def _(spark, sf):
     return geo.radius_counts(df, df, "listing_id", exclude_self=True).select("listing_id", *[f"within_{r}km" for r in (1, 3, 5, 10)])
 
 
-RANKED = f"WITH {PLACES}, d AS (SELECT a.listing_id, b.listing_id AS other, b.unit, {DIST} AS d FROM ok a JOIN ok b ON {{on}}), r AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY d, other) AS r FROM d), k AS (SELECT * FROM r WHERE r <= 20)"
+RANKED = f"WITH {PLACES}, d AS (SELECT a.listing_id, b.listing_id AS other, b.unit, round({DIST}, 9) AS d FROM ok a JOIN ok b ON {{on}}), r AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY d, other) AS r FROM d), k AS (SELECT * FROM r WHERE r <= 20)"
 
 
 @query("geo_nearest", RANKED.format(on="a.listing_id <> b.listing_id") + " SELECT listing_id, CAST(r AS INTEGER) AS rank, other, round(d, 6) AS distance_km FROM k WHERE r <= 5")
