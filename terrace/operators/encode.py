@@ -155,25 +155,43 @@ def target_encode_auto(train: DataFrame, rows: DataFrame, column: str, y: str, n
     return apply_target(rows, dim, train.agg(F.avg(y).alias("overall")), column, name or f"{column}_te")
 
 
-def _fold_remainders(df: DataFrame, column: str, y: str, fold: str) -> DataFrame:
-    """Per (category, fold): sum and count of the category outside that fold."""
-    cells = df.groupBy(category(column).alias("category"), F.col(fold).alias("fold")).agg(
-        F.sum(y).alias("_s"), F.count(y).alias("_c"), F.count(F.lit(1)).alias("_rows")
+def _outside_folds(df: DataFrame, keys: list[Column], y: str, fold: str) -> DataFrame:
+    """Per key and fold: count, mean and variance of the target in the other folds.
+
+    One aggregate gives a cell per (key, fold); the other folds' cells (at
+    most k - 1) are then combined. Nothing is subtracted, so a huge target in
+    the own fold leaves no rounding trace either.
+    """
+    names = [f"_key{i}" for i in range(len(keys))]
+    cells = df.select(*[k.alias(n) for k, n in zip(keys, names)], F.col(fold).alias("_f"), F.col(y).alias("_y")).groupBy(*names, "_f").agg(
+        F.count("_y").alias("n"), F.coalesce(F.avg("_y"), F.lit(0.0)).alias("m"), F.coalesce(F.var_pop("_y"), F.lit(0.0)).alias("v"),
+        F.count(F.lit(1)).alias("rows"),
     )
-    whole = Window.partitionBy("category")  # at most one row per fold
-    return cells.select(
-        "category", "fold", "_rows",
-        (F.sum("_s").over(whole) - F.col("_s")).alias("_other_sum"),
-        (F.sum("_c").over(whole) - F.col("_c")).alias("_other_n"),
+    listed = cells.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("_f", "n", "m", "v", "rows"))).alias("_cells"))
+    each = listed.select(*names, "_cells", F.explode("_cells").alias("_own"))
+    others = each.select(
+        *names, F.col("_own._f").alias("fold"), F.col("_own.rows").alias("_rows"),
+        F.filter("_cells", lambda c: c["_f"] != F.col("_own._f")).alias("_others"),
     )
+    count = F.aggregate("_others", F.lit(0).cast("long"), lambda t, c: t + c["n"])
+    total = F.aggregate("_others", F.lit(0.0), lambda t, c: t + c["n"] * c["m"])
+    summed = others.withColumns({"_other_n": count, "_other_sum": total}).withColumn(
+        "_other_mean", F.when(F.col("_other_n") > 0, F.col("_other_sum") / F.col("_other_n"))
+    )
+    spread = F.aggregate(
+        "_others", F.lit(0.0), lambda t, c: t + c["n"] * (c["v"] + F.pow(c["m"] - F.coalesce("_other_mean", F.lit(0.0)), F.lit(2.0)))
+    )
+    return summed.withColumn("_other_var", F.when(F.col("_other_n") > 0, spread / F.col("_other_n"))).drop("_others")
+
+
+def _fold_remainders(df: DataFrame, column: str, y: str, fold: str) -> DataFrame:
+    return _outside_folds(df, [category(column)], y, fold).withColumnRenamed("_key0", "category")
 
 
 def _fold_means(df: DataFrame, y: str, fold: str) -> DataFrame:
-    """Mean of the target outside each fold."""
-    cells = df.groupBy(F.col(fold).alias("fold")).agg(F.sum(y).alias("_s"), F.count(y).alias("_c"))
-    every = Window.partitionBy(F.lit(1))  # one row per fold
-    return cells.select(
-        "fold", ((F.sum("_s").over(every) - F.col("_s")) / (F.sum("_c").over(every) - F.col("_c"))).alias("_other_mean")
+    """Mean and variance of the target outside each fold."""
+    return _outside_folds(df, [F.lit(0)], y, fold).select(
+        "fold", F.col("_other_mean").alias("_all_mean"), F.col("_other_var").alias("_all_var")
     )
 
 
@@ -182,12 +200,11 @@ def target_encode_oof(
 ) -> DataFrame:
     """Cross-fitted smoothed mean: a row's own fold never enters its value.
 
-    Category totals minus the fold's own totals give all k fits from one
-    aggregate; nothing is refitted.
+    One aggregate per (category, fold) gives all k fits; nothing is refitted.
     """
     cells = _fold_remainders(df, column, y, fold)
     means = _fold_means(df, y, fold)
-    encoded = (F.col("_other_sum") + m * F.col("_other_mean")) / (F.col("_other_n") + m)
+    encoded = (F.col("_other_sum") + m * F.col("_all_mean")) / (F.col("_other_n") + m)
     dim = cells.join(F.broadcast(means), "fold").select(
         "category", "fold", "_rows", encoded.alias("_encoded"), F.log1p("_other_n").alias("_log_n")
     )
@@ -201,30 +218,13 @@ def target_encode_oof(
 
 
 def target_encode_auto_oof(df: DataFrame, column: str, y: str, fold: str = "fold", name: str | None = None) -> DataFrame:
-    """Cross-fitted empirical-Bayes encoding, again by subtracting the fold's own sums.
-
-    Sums are taken around the overall mean, which keeps the variances accurate.
-    """
-    centre = df.agg(F.avg(y).alias("_mid"))
-    shifted = df.select(category(column).alias("category"), F.col(fold).alias("fold"), F.col(y).alias("_y")).crossJoin(
-        F.broadcast(centre)).withColumn("_d", F.col("_y") - F.col("_mid"))
-    d = F.col("_d")
-    sums = [F.sum(d).alias("_s"), F.sum(d * d).alias("_q"), F.count("_y").alias("_c"), F.count(F.lit(1)).alias("_rows"), F.max("_mid").alias("_mid")]
-    cells = shifted.groupBy("category", "fold").agg(*sums)
-    whole = Window.partitionBy("category")  # at most one row per fold
-    every = Window.partitionBy(F.lit(1))  # one row per fold
-    rest = {c: F.sum(c).over(whole) - F.col(c) for c in ("_s", "_q", "_c")}
-    inside = cells.select("category", "fold", "_rows", "_mid", *[v.alias(k) for k, v in rest.items()])
-    by_fold = shifted.groupBy("fold").agg(*sums)
-    outside = by_fold.select("fold", *[(F.sum(c).over(every) - F.col(c)).alias(f"{c}_all") for c in ("_s", "_q", "_c")])
-    joined = inside.join(F.broadcast(outside), "fold")
-    mean_all = F.col("_s_all") / F.col("_c_all")
-    var_all = F.col("_q_all") / F.col("_c_all") - mean_all * mean_all
-    mean = F.col("_s") / F.col("_c")
-    var = F.greatest(F.col("_q") / F.col("_c") - mean * mean, F.lit(0.0))
-    weight = F.when(var_all == 0, F.lit(0.0)).otherwise(var_all * F.col("_c") / (var_all * F.col("_c") + var))
-    encoded = F.col("_mid") + F.when(F.col("_c") > 0, weight * mean + (1 - weight) * mean_all).otherwise(mean_all)
-    dim = joined.select("category", F.col("fold").alias(fold), "_rows", encoded.alias("_encoded"))
+    """Cross-fitted empirical-Bayes encoding from the same (category, fold) cells."""
+    cells = _fold_remainders(df, column, y, fold)
+    joined = cells.join(F.broadcast(_fold_means(df, y, fold)), "fold")
+    share = F.col("_all_var") * F.col("_other_n")
+    weight = F.when(F.col("_all_var") == 0, F.lit(0.0)).otherwise(share / (share + F.col("_other_var")))
+    value = F.when(F.col("_other_n") > 0, weight * F.col("_other_mean") + (1 - weight) * F.col("_all_mean")).otherwise(F.col("_all_mean"))
+    dim = joined.select("category", F.col("fold").alias(fold), "_rows", value.alias("_encoded"))
     tagged = df.withColumn("category", category(column))
     return attach(tagged, dim, ["category", fold], "_rows").withColumn(name or f"{column}_te", F.col("_encoded")).drop("category", "_rows", "_encoded")
 
@@ -236,7 +236,7 @@ def select_m(df: DataFrame, columns: list[str], y: str, grid=M_GRID, fold: str =
     """
     result = df.select(*columns, y, fold)
     for i, c in enumerate(columns):
-        dim = _fold_remainders(df.select(c, y, fold), c, y, fold).withColumnsRenamed({"_other_sum": f"_s{i}", "_other_n": f"_n{i}", "category": f"_c{i}"})
+        dim = _fold_remainders(df.select(c, y, fold), c, y, fold).drop("_other_mean", "_other_var").withColumnsRenamed({"_other_sum": f"_s{i}", "_other_n": f"_n{i}", "category": f"_c{i}"})
         dim = dim.withColumnRenamed("fold", fold) if fold != "fold" else dim
         tagged = result.withColumn(f"_c{i}", category(c))
         result = attach(tagged, dim, [f"_c{i}", fold], "_rows").drop(f"_c{i}", "_rows")
@@ -245,7 +245,7 @@ def select_m(df: DataFrame, columns: list[str], y: str, grid=M_GRID, fold: str =
     result = result.join(F.broadcast(means), fold)
     squares = []
     for m in grid:
-        encoded = [(F.col(f"_s{i}") + m * F.col("_other_mean")) / (F.col(f"_n{i}") + m) for i in range(len(columns))]
+        encoded = [(F.col(f"_s{i}") + m * F.col("_all_mean")) / (F.col(f"_n{i}") + m) for i in range(len(columns))]
         error = sum(encoded[1:], encoded[0]) / len(encoded) - F.col(y)
         squares.append(F.struct(F.lit(float(m)).alias("m"), F.sqrt(F.avg(error * error)).alias("rmse")))
     return result.agg(F.array(*squares).alias("_g")).select(F.explode("_g").alias("g")).select("g.*").orderBy("rmse", "m")

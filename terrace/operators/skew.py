@@ -55,7 +55,10 @@ def attach(rows: DataFrame, dim: DataFrame, keys: list[str], weight: str) -> Dat
         return joined.select(*kept, *[F.col(f"_packed.{v}").alias(v) for v in values])
     is_hot = F.col("_w") * HOT_KEYS > F.lit(total)
     hot = packed.where(is_hot).drop("_w").withColumnRenamed("_packed", "_hot")
-    cold = packed.where(~is_hot).drop("_w").withColumnRenamed("_packed", "_cold").withColumn("_dim_salt", F.lit(0))
+    # The salt of the table side reads a column: a literal would be folded out
+    # of the join keys, and hot rows would meet in one reducer again.
+    zero = F.when(F.col("_w") < 0, F.lit(-1)).otherwise(F.lit(0))
+    cold = packed.where(~is_hot).withColumn("_dim_salt", zero).drop("_w").withColumnRenamed("_packed", "_cold")
     spread = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int") + 1
     first = rows.join(F.broadcast(hot), match, "left").drop(*key_copies)
     salted = first.withColumn("_salt", F.when(F.col("_hot").isNotNull(), spread).otherwise(F.lit(0)))
