@@ -13,6 +13,8 @@ near enough. Only pairs of leaf cubes reach single points.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ MAX_LEVEL = 24
 LEAF = 64
 SLACK = 1e-8
 CELL = ["level", "cx", "cy", "cz"]
-BOX = ["x0", "x1", "y0", "y1", "z0", "z1"]
+SPHERE = ("x", "y", "z")
 RADII_KM = (1.0, 3.0, 5.0, 10.0)
 NEIGHBOUR_STEPS = (3, 5, 10, 20)
 # Accepted coordinate column names and the country box.
@@ -73,26 +75,33 @@ def _usable(df: DataFrame, lat: str, lon: str) -> DataFrame:
     )
 
 
-def _cells_of(places: DataFrame) -> DataFrame:
-    """One row per place and level."""
+def _on_sphere(places: DataFrame) -> DataFrame:
     a, o = F.radians("lat"), F.radians("lon")
-    points = places.withColumns({"x": F.cos(a) * F.cos(o), "y": F.cos(a) * F.sin(o), "z": F.sin(a)})
+    return places.withColumns({"x": F.cos(a) * F.cos(o), "y": F.cos(a) * F.sin(o), "z": F.sin(a)})
+
+
+def _box(dims) -> list[str]:
+    return [f"{d}{i}" for d in dims for i in (0, 1)]
+
+
+def _cells_of(points: DataFrame) -> DataFrame:
+    """One row per place and level; ``x``, ``y``, ``z`` in [-1, 1] pick the cube."""
     levels = points.withColumn("level", F.explode(F.array(*[F.lit(v) for v in range(0, MAX_LEVEL + 1, STEP)])))
     parts = F.pow(F.lit(2.0), F.col("level").cast("double"))
 
     def index(c: str) -> Column:
-        return F.least(F.floor((F.col(c) + 1.0) * parts / 2.0), parts - 1.0).cast("long")
+        return F.greatest(F.least(F.floor((F.col(c) + 1.0) * parts / 2.0), parts - 1.0), F.lit(0.0)).cast("long")
 
     return levels.withColumns({"cx": index("x"), "cy": index("y"), "cz": index("z")})
 
 
-def _tree(places: DataFrame, parts: list[str]) -> tuple[DataFrame, DataFrame]:
+def _tree(places: DataFrame, parts: list[str], dims=SPHERE) -> tuple[DataFrame, DataFrame]:
     """Active cubes (checkpointed) and the leaf cube of every place."""
     placed = _cells_of(places)
     key = [*parts, *CELL]
     cells = placed.groupBy(*key).agg(
         F.count(F.lit(1)).alias("places"), F.sum("n").alias("rows"),
-        *[f(c).alias(f"{c}{i}") for c in "xyz" for i, f in ((0, F.min), (1, F.max))],
+        *[f(c).alias(f"{c}{i}") for c in dims for i, f in ((0, F.min), (1, F.max))],
     )
     above = cells.where(F.col("places") > LEAF).select(
         *parts, (F.col("level") + STEP).alias("level"), *[F.col(c).alias(f"p{c}") for c in ("cx", "cy", "cz")]
@@ -104,27 +113,27 @@ def _tree(places: DataFrame, parts: list[str]) -> tuple[DataFrame, DataFrame]:
         .withColumn("leaf", (F.col("places") <= LEAF) | (F.col("level") == MAX_LEVEL))
     )
     marks = active.select(*key, "leaf", "places")
-    located = attach(placed, marks, key, "places").where("leaf").drop("leaf", "places", "x", "y", "z")
+    located = attach(placed, marks, key, "places").where("leaf").drop("leaf", "places")
     return active, located
 
 
-def _links(active: DataFrame, parts: list[str], side: str) -> DataFrame:
+def _links(active: DataFrame, parts: list[str], side: str, dims=SPHERE) -> DataFrame:
     """Parent cube to child cube, and leaf to itself so finished cubes stay."""
     children = active.where("level > 0").select(
         *parts, (F.col("level") - STEP).alias("f_level"), F.col("pcx").alias("f_cx"), F.col("pcy").alias("f_cy"), F.col("pcz").alias("f_cz"),
-        *CELL, *BOX, "rows", "leaf",
+        *CELL, *_box(dims), "rows", "leaf",
     )
-    same = active.where("leaf").select(*parts, *[F.col(c).alias(f"f_{c}") for c in CELL], *CELL, *BOX, "rows", "leaf")
+    same = active.where("leaf").select(*parts, *[F.col(c).alias(f"f_{c}") for c in CELL], *CELL, *_box(dims), "rows", "leaf")
     both = children.unionByName(same)
     return both.select(*parts, *[F.col(c).alias(f"{side}_{c}") for c in both.columns if c not in parts])
 
 
-def _roots(active: DataFrame, parts: list[str], side: str) -> DataFrame:
-    return active.where("level = 0").select(*parts, *[F.col(c).alias(f"{side}_{c}") for c in [*CELL, *BOX, "rows", "leaf"]])
+def _roots(active: DataFrame, parts: list[str], side: str, dims=SPHERE) -> DataFrame:
+    return active.where("level = 0").select(*parts, *[F.col(c).alias(f"{side}_{c}") for c in [*CELL, *_box(dims), "rows", "leaf"]])
 
 
-def _expand(pairs: DataFrame, links: DataFrame, parts: list[str], side: str) -> DataFrame:
-    own = [f"{side}_{c}" for c in [*CELL, *BOX, "rows", "leaf"]]
+def _expand(pairs: DataFrame, links: DataFrame, parts: list[str], side: str, dims=SPHERE) -> DataFrame:
+    own = [f"{side}_{c}" for c in [*CELL, *_box(dims), "rows", "leaf"]]
     keyed = pairs.withColumnsRenamed({f"{side}_{c}": f"{side}_f_{c}" for c in CELL}).drop(*own[len(CELL):])
     return keyed.join(links, [*parts, *[f"{side}_f_{c}" for c in CELL]]).drop(*[f"{side}_f_{c}" for c in CELL])
 
@@ -133,33 +142,35 @@ def _chord_to_km(chord: Column) -> Column:
     return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.least(chord / 2.0, F.lit(1.0)))
 
 
-def _bounds() -> tuple[Column, Column]:
-    """Least and greatest distance between the boxes of two cubes, in km."""
+def _bounds(dims=SPHERE, on_sphere: bool = True) -> tuple[Column, Column]:
+    """Least and greatest distance between the boxes of two cubes."""
     near = far = F.lit(0.0)
-    for c in "xyz":
+    for c in dims:
         a0, a1, b0, b1 = F.col(f"q_{c}0"), F.col(f"q_{c}1"), F.col(f"r_{c}0"), F.col(f"r_{c}1")
         gap = F.greatest(b0 - a1, a0 - b1, F.lit(0.0))
         reach = F.greatest(b1 - a0, a1 - b0)
         near, far = near + gap * gap, far + reach * reach
-    low = F.greatest(_chord_to_km(F.sqrt(near)) - SLACK, F.lit(0.0))
-    return low, _chord_to_km(F.sqrt(far)) * (1.0 + SLACK) + SLACK
+    low, high = F.sqrt(near), F.sqrt(far)
+    if on_sphere:
+        low, high = _chord_to_km(low), _chord_to_km(high)
+    return F.greatest(low - SLACK, F.lit(0.0)), high * (1.0 + SLACK) + SLACK
 
 
 def _depth(*trees: DataFrame) -> int:
     return max(t.agg(F.max("level")).first()[0] or 0 for t in trees)
 
 
-def _leaf_pairs(queries: DataFrame, references: DataFrame, parts: list[str], k: int) -> DataFrame:
+def _leaf_pairs(queries: DataFrame, references: DataFrame, parts: list[str], k: int, dims=SPHERE, on_sphere: bool = True) -> DataFrame:
     """Pairs of leaf cubes that can hold one of the ``k`` nearest rows."""
-    pairs = _roots(queries, parts, "q").join(_roots(references, parts, "r"), parts) if parts else _roots(
-        queries, parts, "q").join(_roots(references, parts, "r"), F.col("q_level") == F.col("r_level"))
-    q_links, r_links = _links(queries, parts, "q"), _links(references, parts, "r")
+    q_root, r_root = _roots(queries, parts, "q", dims), _roots(references, parts, "r", dims)
+    pairs = q_root.join(r_root, parts if parts else F.col("q_level") == F.col("r_level"))
+    q_links, r_links = _links(queries, parts, "q", dims), _links(references, parts, "r", dims)
     q_cell = [*parts, *[f"q_{c}" for c in CELL]]
     ordered = Window.partitionBy(*q_cell).orderBy("_far", *[f"r_{c}" for c in CELL]).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*q_cell)
     for turn in range(1, _depth(queries, references) // STEP + 1):
-        near, far = _bounds()
-        grown = _expand(_expand(pairs, q_links, parts, "q"), r_links, parts, "r")
+        near, far = _bounds(dims, on_sphere)
+        grown = _expand(_expand(pairs, q_links, parts, "q", dims), r_links, parts, "r", dims)
         measured = grown.withColumns({"_near": near, "_far": far}).withColumn("_cum", F.sum("r_rows").over(ordered))
         limit = F.min(F.when(F.col("_cum") >= k, F.col("_far"))).over(whole)
         pairs = measured.withColumn("_limit", limit).where(
@@ -170,40 +181,29 @@ def _leaf_pairs(queries: DataFrame, references: DataFrame, parts: list[str], k:
     return pairs
 
 
-def nearest(
-    queries: DataFrame, references: DataFrame, k: int, row_id: str, payload: list[str] | None = None,
-    parts: list[str] | None = None, exclude_self: bool = False, lat: str = "lat", lon: str = "lon",
+def _search(
+    ask_points: DataFrame, ref_points: DataFrame, ids: DataFrame, parts: list[str], key: list[str], want: int, distance,
+    dims=SPHERE, on_sphere: bool = True,
 ) -> DataFrame:
-    """The ``k`` nearest reference rows of every query row, as an ordered array.
+    """Ordered ``neighbours`` per distinct query point.
 
-    ``neighbours`` holds (distance_km, id, payload...) ordered by distance, to
-    the micrometre, and id; it is NULL for rows without usable coordinates. ``parts`` separates
-    independent searches.
+    Points carry ``x``, ``y``, ``z``, the ``dims`` and a row count ``n``;
+    ``ids`` lists up to ``want`` rows per reference point.
     """
-    parts, payload = parts or [], payload or []
-    want = k + 1 if exclude_self else k
-    place = [*parts, "lat", "lon"]
-    refs = _usable(references.select(*parts, row_id, *payload, lat, lon), lat, lon)
-    asks = _usable(queries, lat, lon)
-    ask_places = asks.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
-    ref_places = refs.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
-    # The group limit keeps `want` rows per place on the map side already.
-    first = Window.partitionBy(*place).orderBy(row_id)
-    ids = (
-        refs.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= want).groupBy(*place)
-        .agg(F.sort_array(F.collect_list(F.struct(F.col(row_id).alias("id"), *payload))).alias("_ids"))
-    )
-    r_tree, r_leaf = _tree(ref_places, parts)
-    q_tree, q_leaf = (r_tree, r_leaf) if queries is references else _tree(ask_places, parts)
-    r_leaf = r_leaf.join(ids, place)
-    pairs = _leaf_pairs(q_tree, r_tree, parts, want).select(*parts, *[f"{s}_{c}" for s in "qr" for c in CELL])
-    q_rows = q_leaf.select(*parts, F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), *[F.col(c).alias(f"q_{c}") for c in CELL])
-    r_rows = r_leaf.select(*parts, F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.col("n").alias("r_n"), "_ids", *[F.col(c).alias(f"r_{c}") for c in CELL])
+    place = [*parts, *key]
+    r_tree, r_leaf = _tree(ref_points, parts, dims)
+    q_tree, q_leaf = (r_tree, r_leaf) if ask_points is ref_points else _tree(ask_points, parts, dims)
+    pairs = _leaf_pairs(q_tree, r_tree, parts, want, dims, on_sphere).select(*parts, *[f"{s}_{c}" for s in "qr" for c in CELL])
+
+    def side(df: DataFrame, s: str, *extra: str) -> DataFrame:
+        return df.select(*parts, *[F.col(c).alias(f"{s}_{c}") for c in [*key, *CELL]], *extra)
+
+    r_rows = side(r_leaf.join(ids, place), "r", "_ids", F.col("n").alias("r_n"))
     near = (
-        pairs.join(r_rows, [*parts, *[f"r_{c}" for c in CELL]]).join(q_rows, [*parts, *[f"q_{c}" for c in CELL]])
-        .withColumn("distance_km", F.round(haversine_km(F.col("q_lat"), F.col("q_lon"), F.col("r_lat"), F.col("r_lon")), 9))
+        pairs.join(r_rows, [*parts, *[f"r_{c}" for c in CELL]]).join(side(q_leaf, "q"), [*parts, *[f"q_{c}" for c in CELL]])
+        .withColumn("distance_km", F.round(distance, 9))
     )
-    ask = [*parts, "q_lat", "q_lon"]
+    ask = [*parts, *[f"q_{c}" for c in key]]
     closer = Window.partitionBy(*ask).orderBy("distance_km").rangeBetween(Window.unboundedPreceding, 0)
     tied = Window.partitionBy(*ask, "distance_km")
     ahead = F.sum("r_n").over(closer) - F.sum("r_n").over(tied)
@@ -213,10 +213,39 @@ def nearest(
         .withColumn("_r", F.row_number().over(Window.partitionBy(*ask).orderBy("distance_km", "_i.id")))
         .where(F.col("_r") <= want)
     )
-    found = listed.groupBy(*ask).agg(
-        F.sort_array(F.collect_list(F.struct("distance_km", "_i.*"))).alias("neighbours")
-    ).withColumnsRenamed({"q_lat": "lat", "q_lon": "lon"})
-    dim = found.join(ask_places, place)
+    found = listed.groupBy(*ask).agg(F.sort_array(F.collect_list(F.struct("distance_km", "_i.*"))).alias("neighbours"))
+    return found.withColumnsRenamed({f"q_{c}": c for c in key})
+
+
+def _first_ids(refs: DataFrame, place: list[str], row_id: str, payload: list[str], want: int) -> DataFrame:
+    """Up to ``want`` rows per point by id; the group limit works on the map side."""
+    first = Window.partitionBy(*place).orderBy(row_id)
+    return (
+        refs.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= want).groupBy(*place)
+        .agg(F.sort_array(F.collect_list(F.struct(F.col(row_id).alias("id"), *payload))).alias("_ids"))
+    )
+
+
+def nearest(
+    queries: DataFrame, references: DataFrame, k: int, row_id: str, payload: list[str] | None = None,
+    parts: list[str] | None = None, exclude_self: bool = False, lat: str = "lat", lon: str = "lon",
+) -> DataFrame:
+    """The ``k`` nearest reference rows of every query row, as an ordered array.
+
+    ``neighbours`` holds (distance_km, id, payload...) ordered by distance, to
+    the micrometre, and id; it is NULL for rows without usable coordinates. ``parts`` separates
+    independent searches.
+    """
+    parts, payload = parts or [], payload or []
+    want = k + 1 if exclude_self else k
+    place = [*parts, "lat", "lon"]
+    refs = _usable(references.select(*parts, row_id, *payload, lat, lon), lat, lon)
+    ref_places = _on_sphere(refs.groupBy(*place).agg(F.count(F.lit(1)).alias("n")))
+    ask_places = ref_places if queries is references else _on_sphere(
+        _usable(queries, lat, lon).groupBy(*place).agg(F.count(F.lit(1)).alias("n")))
+    distance = haversine_km(F.col("q_lat"), F.col("q_lon"), F.col("r_lat"), F.col("r_lon"))
+    found = _search(ask_places, ref_places, _first_ids(refs, place, row_id, payload, want), parts, ["lat", "lon"], want, distance)
+    dim = found.join(ask_places.drop(*SPHERE), place)
     keyed = queries.withColumns({"_lat": F.col(lat).cast("double") + 0.0, "_lon": F.col(lon).cast("double") + 0.0})
     joined = attach(keyed, dim.withColumnsRenamed({"lat": "_lat", "lon": "_lon"}), [*parts, "_lat", "_lon"], "n").drop("n", "_lat", "_lon")
     if exclude_self:
@@ -234,8 +263,8 @@ def radius_counts(
     No pair list is produced: cube pairs inside the radius count as a whole.
     """
     asks, refs = _usable(queries, lat, lon), _usable(references.select(lat, lon), lat, lon)
-    ask_places = asks.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"))
-    ref_places = refs.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"))
+    ask_places = _on_sphere(asks.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n")))
+    ref_places = _on_sphere(refs.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n")))
     r_tree, r_leaf = _tree(ref_places, [])
     q_tree, q_leaf = (r_tree, r_leaf) if queries is references else _tree(ask_places, [])
     q_links, r_links = _links(q_tree, [], "q"), _links(r_tree, [], "r")
@@ -274,7 +303,7 @@ def radius_counts(
     total = edge.unionByName(whole).groupBy("lat", "lon").agg(
         *[F.coalesce(F.sum(F.when(F.col("radius") == r, F.col("hits"))), F.lit(0)).alias(n) for r, n in names.items()]
     )
-    dim = ask_places.join(total, ["lat", "lon"], "left")
+    dim = ask_places.drop(*SPHERE).join(total, ["lat", "lon"], "left")
     keyed = queries.withColumns({"_lat": F.col(lat).cast("double") + 0.0, "_lon": F.col(lon).cast("double") + 0.0})
     joined = attach(keyed, dim.withColumnsRenamed({"lat": "_lat", "lon": "_lon"}), ["_lat", "_lon"], "n").drop("_lat", "_lon")
     own = F.lit(1 if exclude_self else 0)
@@ -282,6 +311,40 @@ def radius_counts(
     return joined.withColumns({n: F.when(usable, F.coalesce(F.col(n), F.lit(0)) - own) for n in names.values()}).drop("n")
 
 
+def nearest_vectors(queries: DataFrame, references: DataFrame, k: int, row_id: str, features: list[str], payload: list[str]) -> DataFrame:
+    """The ``k`` nearest reference rows by Euclidean distance over scaled features.
+
+    Same search as for places: cubes split along the first three principal
+    components, and the bounds use the boxes of all features, so the result is
+    exact. Equal feature rows are searched once.
+    """
+    refs = references.select(row_id, *payload, *features)
+    ref_points = refs.groupBy(*features).agg(F.count(F.lit(1)).alias("n"))
+    ask_points = queries.groupBy(*features).agg(F.count(F.lit(1)).alias("n"))
+    assembler = VectorAssembler(inputCols=features, outputCol="_v")
+    pca = PCA(k=min(3, len(features)), inputCol="_v", outputCol="_p").fit(assembler.transform(ref_points))
+
+    def projected(df: DataFrame) -> DataFrame:
+        scores = pca.transform(assembler.transform(df)).withColumn("_s", vector_to_array("_p"))
+        axes = {c: F.get("_s", F.lit(i)) if i < min(3, len(features)) else F.lit(0.0) for i, c in enumerate(SPHERE)}
+        return scores.withColumns(axes).drop("_v", "_p", "_s")
+
+    shown = durable(projected(ref_points))
+    widest = shown.agg(F.max(F.greatest(*[F.abs(c) for c in SPHERE]))).first()[0] or 1.0
+
+    def scaled(df: DataFrame) -> DataFrame:
+        return df.withColumns({c: F.col(c) / (widest * 1.000001) for c in SPHERE})
+
+    gaps = [F.pow(F.col(f"q_{c}") - F.col(f"r_{c}"), F.lit(2.0)) for c in features]
+    distance = F.sqrt(sum(gaps[1:], gaps[0]))
+    found = _search(
+        scaled(projected(ask_points)), scaled(shown), _first_ids(refs, features, row_id, payload, k), [], features, k, distance,
+        tuple(features), on_sphere=False,
+    )
+    dim = found.join(ask_points, features)
+    return attach(queries, dim, features, "n").drop("n")
+
+
 def _mean(values: Column) -> Column:
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
     return F.when(F.size(values) > 0, total / F.size(values))

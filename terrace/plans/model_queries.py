@@ -25,7 +25,7 @@ def spec(name: str, family: str, params=(), target: str = "unit", categorical=CA
 def prepared(spark: SparkSession, sf: str) -> DataFrame:
     from terrace.session import durable
 
-    df = listings(spark, sf, ["listing_id", "price", *NUMERIC, *CATEGORICAL])
+    df = listings(spark, sf, ["listing_id", "price", "tenure_type", *NUMERIC, *CATEGORICAL])
     return durable(folds.assign_group_kfold(df, "listing_id"))
 
 
@@ -98,7 +98,7 @@ def _(spark, sf):
 def _(spark, sf):
     df = prepared(spark, sf)
     held = df.where("fold = 1")
-    return models.fit_knn_regression(df.where("fold <> 1"), held, list(NUMERIC[:4]), "price", "listing_id", 5).select("listing_id", "price", "predicted")
+    return models.fit_knn_regression(df.where("fold <> 1"), held, list(NUMERIC[:4]), "price", "listing_id", 5, levels={"tenure_type": ["A", "N", "R"]}).select("listing_id", "price", "predicted")
 
 
 @query("model_premium_routing")

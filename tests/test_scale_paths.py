@@ -104,3 +104,21 @@ def test_geo_matches_brute_force_under_skew(spark, monkeypatch):
     counts = geo.radius_counts(df, df, "listing_id", radii=(1.0, 25.0), exclude_self=True).toPandas().set_index("listing_id").sort_index()
     for r in (1, 25):
         assert (counts[f"within_{r}km"].to_numpy() == (distance <= r).sum(1) - 1).all()
+
+
+def test_vector_neighbours_match_brute_force(spark, monkeypatch):
+    from terrace.operators import models
+
+    monkeypatch.setattr(geo, "LEAF", 8)
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame(rng.integers(0, 6, (260, 4)).astype(float), columns=list("abcd"))
+    frame.loc[:90, list("abcd")] = 3.0
+    frame["i"], frame["y"] = np.arange(260), rng.random(260)
+    df = spark.createDataFrame(frame)
+    train, held = frame[frame.i % 4 != 0], frame[frame.i % 4 == 0]
+    out = models.fit_knn_regression(df.where("i % 4 <> 0"), df.where("i % 4 = 0"), list("abcd"), "y", "i", 5).toPandas().set_index("i")["predicted"]
+    x, q = ((t[list("abcd")] - train[list("abcd")].mean()) / train[list("abcd")].std(ddof=0) for t in (train, held))
+    for row, point in zip(held.i, q.to_numpy()):
+        distance = np.round(np.sqrt(((x.to_numpy() - point) ** 2).sum(1)), 6)
+        nearest = np.lexsort((train.i.to_numpy(), distance))[:5]
+        assert out[row] == pytest.approx(train.y.to_numpy()[nearest].mean())
