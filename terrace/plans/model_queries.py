@@ -98,7 +98,7 @@ def _(spark, sf):
 def _(spark, sf):
     df = prepared(spark, sf)
     held = df.where("fold = 1")
-    return models.fit_knn_regression(df.where("fold <> 1"), held, list(NUMERIC[:4]), "price", "listing_id", 5, levels={"tenure_type": ["A", "N", "R"]}).select("listing_id", "price", "predicted")
+    return models.fit_knn_regression(df.where("fold <> 1"), held, ["property_size_sqft", "bedroom"], "price", "listing_id", 5, weighted=True).select("listing_id", "price", "predicted")
 
 
 @query("model_premium_routing")
