@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from terrace.plans.catalog import all_queries
 from terrace.session import local_session
 
 HEADLINE = [
-    "parse_normalize_text", "parse_flag_set", "dedup_exact", "repeat_levels", "components_compose", "filter_group_minimum",
-    "eda_state_type_median", "eda_describe", "agg_missingness_by_group", "agg_ecdf", "fold_balanced", "fold_tail_trim_cutoffs",
-    "encode_target_oof", "encode_select_m", "eval_regression_metrics", "eval_tail_segments", "eval_bootstrap_intervals",
-    "quality_validity_audit", "geo_radius_counts", "text_tfidf",
+    "parse_normalize_text", "parse_places", "dedup_exact", "repeat_levels", "components_compose", "filter_group_minimum",
+    "eda_state_type_median", "eda_describe", "agg_missingness_by_group", "agg_ecdf", "fold_balanced", "encode_target_oof",
+    "eval_regression_metrics", "eval_tail_segments", "geo_radius_counts",
 ]
 
 
@@ -29,6 +29,7 @@ def main() -> None:
         start = time.perf_counter()
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
         "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"), "cpus": cpus,
