@@ -249,7 +249,7 @@ def _(spark, sf):
 
 
 @query("features_scalars", with_listings(
-    "SELECT listing_id, round(price / nullif(bathroom, 0), 6) AS price_per_bath, 2026.0 - completion_year AS property_age,"
+    "SELECT listing_id, round(price / nullif(bathroom, 0), 6) AS price_per_bath, CAST(2026 AS DOUBLE) - completion_year AS property_age,"
     " CASE WHEN number_of_floors IS NULL THEN '__MISSING__' WHEN number_of_floors < 10 THEN 'low' WHEN number_of_floors < 30 THEN 'mid' ELSE 'high' END AS floor_band,"
     " CAST(completion_year IS NULL AS INTEGER) AS completion_year_missing, CAST(number_of_floors IS NULL AS INTEGER) AS number_of_floors_missing, CAST(developer IS NULL AS INTEGER) AS developer_missing,"
     " round(exp(ln(1 + price)) - 1, 6) AS back_transformed FROM listings"))
