@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import chat, exact, imatch
+from terrace.llm import bpe, chat, exact, imatch, tokencount
 from terrace.llm.common import read
 
+#: The public vocabulary files; operators take a file's path as a parameter.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+PIECE_BPE = f"{TOKENIZERS}/piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +57,16 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(read(spark, folder, "documents"))
 
 
+@query("op5_bpe_round_trip")
+def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encoded(read(spark, folder, "documents"), WORD_BPE)
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokencount.token_counts(read(spark, folder, "documents"), PIECE_BPE)
+
+
 @query("op10_document_fingerprints")
 def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return imatch.fingerprints(read(spark, folder, "documents"))
