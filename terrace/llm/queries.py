@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import bpe, chat, exact, imatch, tokencount
+from terrace.llm import bpe, chat, exact, imatch, tokencount, toxicity
 from terrace.llm.common import read
 
 #: The public vocabulary files; operators take a file's path as a parameter.
@@ -62,6 +62,11 @@ def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded(read(spark, folder, "documents"), WORD_BPE)
 
 
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 @query("op8_token_counts")
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokencount.token_counts(read(spark, folder, "documents"), PIECE_BPE)
