@@ -75,45 +75,30 @@ def repeat_levels(df: DataFrame, levels: dict[str, list[str]], order: str) -> Da
     return result
 
 
-def _with_minimum(edges: DataFrame) -> DataFrame:
-    """Edges ``(u, v)`` with the smallest neighbour ``m`` of ``u`` (or ``u``)."""
-    dim = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_degree"))
-    return attach(edges, dim, ["u"], "_degree").withColumn("m", F.least("u", "m"))
-
-
 def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of an edge list ``(u, v)``: ``(node, component)``.
+    """Connected components of an edge list ``(u, v)``: ``(node, component)``, smallest node as component.
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014),
-    which end in one star per component, centred on its smallest node. A hub
-    is handled by :func:`attach`, and every round is checkpointed to the shared
-    folder so a lost executor costs one round.
+    Every round, each node takes the smallest label among its neighbours and
+    then the label of its label, so labels travel twice as far each time. The
+    minima combine on the map side and no row holds a neighbourhood, so a hub
+    costs one row per task. Labels are written after each round: a lost
+    executor costs one round, and a round counts its own changes.
     """
-    current = durable(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    )
-    previous = None
+    ends = edges.where("u <> v").select("u", "v")
+    links = durable(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+    labels = durable(links.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("component")), "labels")
     for _ in range(max_rounds):
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            _with_minimum(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        ).distinct()
-        marked = _with_minimum(large)
-        small = (
-            marked.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
-            .unionByName(marked.select("u", F.col("m").alias("v")))
-            .distinct()
+        heard = links.join(labels, F.col("v") == F.col("node")).select(F.col("u").alias("node"), "component")
+        least = heard.unionByName(labels).groupBy("node").agg(F.min("component").alias("near"))
+        target = labels.select(F.col("node").alias("_at"), F.col("component").alias("_next"))
+        jumped = least.join(target, F.col("near") == F.col("_at")).select("node", F.least("near", "_next").alias("component"))
+        before = labels.select(F.col("node").alias("_n"), F.col("component").alias("_was"))
+        marked = durable(
+            jumped.join(before, F.col("node") == F.col("_n")).select("node", "component", (F.col("component") < F.col("_was")).alias("moved")), "labels"
         )
-        current = durable(small)
-        state = current.agg(
-            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"),
-            F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"),
-        ).first()
-        if state == previous:
-            centres = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres)
-        previous = state
+        labels = marked.select("node", "component")
+        if marked.where("moved").limit(1).count() == 0:
+            return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
