@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrace.session import durable as written  # noqa: F401
+
 #: White space of the contracts: space and the five controls from tab to carriage return.
 WHITE = r"[\x20\x09-\x0D]"
 #: Text bytes that one vectorised step looks at; bounds a Python worker's memory.
@@ -28,24 +29,6 @@ def body() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only a local session without that setting gets one of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write the rows once to the shared folder and read them back."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/terrace/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 _SHIPPED: set[str] = set()
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import bpe, chat, exact, imatch, tokencount, toxicity
+from terrace.llm import bpe, chat, exact, imatch, minhash, tokencount, toxicity
 from terrace.llm.common import read
 
 #: The public vocabulary files; operators take a file's path as a parameter.
@@ -48,6 +48,11 @@ def op1_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.format_chats(read(spark, folder, "conversations"))
 
 
+@query("op2_minhash_near_dedup")
+def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, folder, "documents"), words=2)
+
+
 @query("op3_exact_dedup", r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT doc_id, text_sha256, count(*) OVER (PARTITION BY text_sha256) AS group_size,
