@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import bpe, chat, exact, imatch, minhash, tokencount, toxicity
+from terrace.llm import bpe, chat, exact, imatch, minhash, suffix, tokencount, toxicity
 from terrace.llm.common import read
 
 #: The public vocabulary files; operators take a file's path as a parameter.
@@ -67,6 +67,11 @@ def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded(read(spark, folder, "documents"), WORD_BPE)
 
 
+@query("op6_suffix_array_dedup")
+def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.remove_repeats(read(spark, folder, "documents"), digests=True)
+
+
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
