@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terrace.llm import bpe, chat, exact, imatch, minhash, suffix, tokencount, toxicity
+from terrace.llm import bpe, chat, exact, imatch, minhash, mixing, quality, suffix, tokencount, toxicity
 from terrace.llm.common import read
 
 #: The public vocabulary files; operators take a file's path as a parameter.
@@ -62,6 +63,22 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(read(spark, folder, "documents"))
 
 
+#: Wanted shares of the languages in the mix.
+LANGUAGE_TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, domain``: the language of the labelled documents."""
+    ids = labels.select("doc_id").distinct()
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(ids, "doc_id", "left_semi")
+
+
+@query("op4_mixing")
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    return mixing.mixing_rates(docs, labelled_domains(docs, labels), LANGUAGE_TARGETS)
+
+
 @query("op5_bpe_round_trip")
 def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded(read(spark, folder, "documents"), WORD_BPE)
@@ -82,6 +99,13 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokencount.token_counts(read(spark, folder, "documents"), PIECE_BPE)
 
 
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Graded ratings: 0 poor, 1 good but toxic, 2 good and clean."""
+    ratings = read(spark, folder, "labels").select("doc_id", (F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))).alias("grade"))
+    return quality.grade_documents(read(spark, folder, "documents"), ratings)
+
+
 @query("op10_document_fingerprints")
 def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return imatch.fingerprints(read(spark, folder, "documents"))
