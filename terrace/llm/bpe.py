@@ -10,6 +10,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -251,7 +252,7 @@ def encoded(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
                 id_digests.append(hashlib.sha256(packed).hexdigest())
                 text_digests.append(hashlib.sha256(b" ".join([p[1] for p in pairs])).hexdigest())
                 if ids:
-                    lists.append([int.from_bytes(packed[i : i + 4], "little") for i in range(0, len(packed), 4)])
+                    lists.append(np.frombuffer(packed, dtype="<u4").astype(np.int32))
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(id_digests), pa.array(text_digests)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:

@@ -202,3 +202,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).select(
         "*", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept")
     )
+
+
+def drop_near_copies(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """The documents without those that :func:`near_duplicates` doesn't keep, with all their columns."""
+    gone = near_duplicates(docs, words, similarity).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
