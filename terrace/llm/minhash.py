@@ -19,6 +19,12 @@ RETAINED = 24
 #: (the chance of 5 or fewer hits in 24 draws at 0.8 is 7e-10; it falls fast with the similarity).
 SHARED = 6
 WORDS, SIMILARITY = 5, 80
+#: Lists of up to so many entries are paired as they are; longer ones only through the rarest shingles of the whole sets.
+SHORT_LIST = 16
+#: Union samples from this share of hits on are worth a star; it only saves work, no link depends on it.
+STAR_SHARE = 0.6
+#: Runs of retained values that make lists of closer classes for the stars.
+STAR_RUNS = (1, 3, 6)
 #: Rows of the table that tells which texts a verification may need: its size is fixed, a fuller table only lets more texts pass.
 FILTER_WORDS = 1 << 16
 
@@ -70,7 +76,10 @@ def sketches(docs: DataFrame, words: int = WORDS, retained: int = RETAINED) -> D
 
 
 def inverted_lists(classes: DataFrame, retained: int, shared: int, similarity: int) -> DataFrame:
-    """``value, rep, n``: the entries of the inverted lists that can bring two classes together.
+    """``value, rep, n, weight``: the entries of the inverted lists that can bring two classes together.
+
+    ``weight`` sums the lengths of a class's lists: the text that others were
+    edited from keeps what each of them shares with it, and has the largest.
 
     Classes that are near duplicates share at least ``m`` retained values, so
     they share one among all but the last ``m - 1`` in any common order. The
@@ -83,34 +92,50 @@ def inverted_lists(classes: DataFrame, retained: int, shared: int, similarity: i
     need = F.when(F.col("n") <= small, F.ceil(F.col("n") * similarity / 100)).otherwise(F.least(F.lit(shared), F.ceil(F.least("n", F.lit(retained)) * similarity / 100)))
     met = entries.join(lists, "value")
     order = W.partitionBy("rep").orderBy("length", "value")
-    ranked = met.select("value", "rep", "n", F.row_number().over(order).alias("rank"), F.count(F.lit(1)).over(W.partitionBy("rep")).alias("listed"))
+    ranked = met.select("value", "rep", "n", F.row_number().over(order).alias("rank"), F.count(F.lit(1)).over(W.partitionBy("rep")).alias("listed"), F.sum("length").over(W.partitionBy("rep")).alias("weight"))
     alone = F.least("n", F.lit(retained)) - F.col("listed")
     # A class whose listed values are too few shares too little with any other.
-    return ranked.where((F.col("listed") >= need) & (F.col("rank") <= F.least("n", F.lit(retained)) - need + 1 - alone)).select("value", "rep", "n")
+    return ranked.where((F.col("listed") >= need) & (F.col("rank") <= F.least("n", F.lit(retained)) - need + 1 - alone)).select("value", "rep", "n", "weight")
 
 
 def long_enough(n: Column, other: Column, similarity: int) -> Column:
     return F.least(n, other) * 100 >= F.greatest(n, other) * similarity
 
 
-def star_pairs(lists: DataFrame, similarity: int) -> DataFrame:
-    """Each entry with the first class of its list: linear in the lists."""
-    hubs = lists.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("hub"))
-    met = lists.join(hubs, "value").where((F.col("rep") != F.col("hub.rep")) & long_enough(F.col("n"), F.col("hub.n"), similarity))
-    return met.select(F.col("hub.rep").alias("u"), F.col("rep").alias("v")).distinct()
+def star_pairs(lists: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
+    """Each entry with the class of the largest weight in its list: linear in the lists.
 
+    Besides the lists of single values there are those of runs of neighbouring
+    ones, which hold closer classes.
+    """
+    weights = lists.select("rep", "weight").distinct()
+    found = classes.join(weights, "rep")
+    pairs = None
+    for k in STAR_RUNS:
+        runs = F.transform(F.sequence(F.lit(1), F.size("sketch") - k + 1), lambda i: F.xxhash64(F.slice("sketch", i, k)))  # noqa: B023
+        entries = lists if k == 1 else found.where(F.size("sketch") >= k).select("rep", "n", "weight", F.explode(runs).alias("value"))
+        hubs = entries.groupBy("value").agg(F.max_by(F.struct("rep", "n"), F.struct("weight", -F.col("rep"))).alias("hub"), F.count(F.lit(1)).alias("length")).where("length > 1")
+        met = entries.join(hubs, "value").where((F.col("rep") != F.col("hub.rep")) & long_enough(F.col("n"), F.col("hub.n"), similarity))
+        some = met.select(F.least("hub.rep", "rep").alias("u"), F.greatest("hub.rep", "rep").alias("v"))
+        pairs = some if pairs is None else pairs.unionByName(some)
+    return pairs.distinct()
+
+
+def placed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries of lists that several components share: ``value, rep, n, c, main, length``."""
+    placed = lists.join(labels, F.col("rep") == F.col("node"), "left").select("value", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    parts = placed.groupBy("value", "c").agg(F.count(F.lit(1)).alias("k"))
+    main = parts.groupBy("value").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("length"), F.count(F.lit(1)).alias("parts"))
+    return placed.join(main.where("parts > 1").drop("parts"), "value")
 
-def crossing_pairs(lists: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
+
+def crossing_pairs(marked: DataFrame, similarity: int) -> DataFrame:
     """All pairs of a list whose classes are not yet connected.
 
     Lists inside one component are dropped whole. In the others, the entries
     outside the list's largest component meet all entries: a group of near
     copies that the stars have joined is never paired within itself.
     """
-    placed = lists.join(labels, F.col("rep") == F.col("node"), "left").select("value", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    parts = placed.groupBy("value", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = parts.groupBy("value").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("value", "main")
-    marked = written(placed.join(main, "value"), "lists")
     outside = marked.where("c <> main").select("value", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("c").alias("x_c"))
     ends = marked.select("value", F.col("rep").alias("y"), F.col("n").alias("y_n"), F.col("c").alias("y_c"), (F.col("c") == F.col("main")).alias("y_main"))
     # Of two entries outside, the smaller comes first; one inside comes as the partner.
@@ -118,6 +143,29 @@ def crossing_pairs(lists: DataFrame, labels: DataFrame, similarity: int) -> Data
     return met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
+def whole_set_lists(marked: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Inverted lists over whole sets of the classes in long lists, rarest shingles first.
+
+    Many texts may share a passage, and with it most retained values, without
+    being near duplicates. Their own shingles tell: a class with more than a
+    fifth of them has no partner, and the others meet in the lists of their
+    rarest common shingles only. This is exact.
+    """
+    needed = written(marked.where(F.col("length") > SHORT_LIST).select("rep").distinct(), "needed")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end in text_slices(batch):
+                part = batch.slice(start, end - start)
+                sets = shingle_sets(part.column("text").to_pylist(), words)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("rep"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["rep", "n", "sketch"]
+                )
+
+    sets = written(map_batches(texts_of(needed, docs), explode, "rep long, n long, sketch array<long>"), "sets")
+    return inverted_lists(sets, 1 << 40, 1 << 40, similarity)
+
+
 def estimated(pairs: DataFrame, classes: DataFrame, retained: int, shared: int, similarity: int) -> DataFrame:
     """Pairs whose union sketch leaves the similarity bound possible.
 
@@ -135,21 +183,25 @@ def estimated(pairs: DataFrame, classes: DataFrame, retained: int, shared: int,
     return both.where(possible).select("u", "v")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
-    """Pairs whose full sets reach the similarity.
+def texts_of(needed: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rep, text`` of the ids in ``needed``; the first of the texts of a repeated id.
 
-    A table of fixed size, addressed by a hash of the id, keeps most texts
-    without a pair from moving; an exact join decides on the rest.
+    A table of fixed size, addressed by a hash of the id, keeps most other
+    texts from moving; an exact join decides on the rest.
     """
-    needed = written(pairs.select(F.col("u").alias("rep")).unionByName(pairs.select(F.col("v").alias("rep"))).distinct(), "needed")
     address = F.pmod(F.xxhash64(F.col("rep")), F.lit(FILTER_WORDS * 63))
     bits = needed.select((address / 63).cast("int").alias("cell"), (address % 63).cast("int").alias("bit"))
     table = bits.groupBy("cell").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), body().alias("text"))
     tagged = texts.select("*", (address / 63).cast("int").alias("cell"), (address % 63).cast("int").alias("bit"))
     passed = tagged.join(F.broadcast(table), "cell").where(F.expr("bits & shiftleft(1L, bit)") != 0).select("rep", "text")
-    # The first row of a repeated id stands for it.
-    found = written(passed.join(needed, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")), "texts")
+    return passed.join(needed, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Pairs whose full sets reach the similarity."""
+    needed = written(pairs.select(F.col("u").alias("rep")).unionByName(pairs.select(F.col("v").alias("rep"))).distinct(), "needed")
+    found = written(texts_of(needed, docs), "texts")
     one = pairs.join(found.select(F.col("rep").alias("v"), F.col("text").alias("v_text")), "v")
     both = one.join(found.select(F.col("rep").alias("u"), F.col("text").alias("u_text")), "u").select("u", "v", "u_text", "v_text")
 
@@ -181,19 +233,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     in verification. Other columns are ignored; an empty table gives none.
 
     Equal sets form classes, which only their smallest id stands for. Stars
-    from the first class of each inverted list join the large groups, then all
-    pairs of each list that are not yet connected are compared; sketches filter
-    both and full sets decide. No partner or candidate is left out.
+    from the most central class of each inverted list join the large groups;
+    then all pairs of short lists that are not yet connected are compared, and
+    those of long lists through the rarest shingles of the whole sets. Sketches
+    filter all and full sets decide. No partner or candidate is left out.
     """
     base = written(sketches(docs, words, retained), "sketches")
     real = base.where("n > 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "n", "a", "b", "sketch")
     classes = written(real.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
     lists = written(inverted_lists(classes, retained, shared, similarity), "lists")
-    stars = verified(written(estimated(star_pairs(lists, similarity), classes, retained, shared, similarity), "pairs"), docs, words, similarity)
-    stars = written(stars, "links")
+    close = estimated(star_pairs(lists, classes, similarity), classes, retained, max(shared, int(STAR_SHARE * retained)), similarity)
+    stars = written(verified(written(close, "pairs"), docs, words, similarity), "links")
     labels = component_labels(stars)
-    crossing = written(estimated(crossing_pairs(lists, labels, similarity), classes, retained, shared, similarity), "pairs")
-    links = stars.unionByName(verified(crossing, docs, words, similarity))
+    marked = written(placed_lists(lists, labels), "lists")
+    whole = written(placed_lists(whole_set_lists(marked, docs, words, similarity), labels), "lists")
+    crossing = crossing_pairs(marked.where(F.col("length") <= SHORT_LIST), similarity).unionByName(crossing_pairs(whole, similarity)).distinct()
+    left = written(estimated(crossing, classes, retained, shared, similarity), "pairs")
+    links = stars.unionByName(verified(left, docs, words, similarity))
     # Ids that stand for two classes (a repeated id with two texts) link them, too.
     joined = component_labels(links)
     final = classes.join(joined, F.col("rep") == F.col("node"), "left").select("a", "b", "n", F.coalesce("component", "rep").alias("component_id"))
