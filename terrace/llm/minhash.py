@@ -76,7 +76,7 @@ def sketches(docs: DataFrame, words: int = WORDS, retained: int = RETAINED) -> D
 
 
 def inverted_lists(classes: DataFrame, retained: int, shared: int, similarity: int) -> DataFrame:
-    """``value, rep, n, weight``: the entries of the inverted lists that can bring two classes together.
+    """``value, rep, n, weight, place``: the entries of the inverted lists that can bring two classes together.
 
     ``weight`` sums the lengths of a class's lists: the text that others were
     edited from keeps what each of them shares with it, and has the largest.
@@ -95,7 +95,7 @@ def inverted_lists(classes: DataFrame, retained: int, shared: int, similarity: i
     ranked = met.select("value", "rep", "n", F.row_number().over(order).alias("rank"), F.count(F.lit(1)).over(W.partitionBy("rep")).alias("listed"), F.sum("length").over(W.partitionBy("rep")).alias("weight"))
     alone = F.least("n", F.lit(retained)) - F.col("listed")
     # A class whose listed values are too few shares too little with any other.
-    return ranked.where((F.col("listed") >= need) & (F.col("rank") <= F.least("n", F.lit(retained)) - need + 1 - alone)).select("value", "rep", "n", "weight")
+    return ranked.where((F.col("listed") >= need) & (F.col("rank") <= F.least("n", F.lit(retained)) - need + 1 - alone)).select("value", "rep", "n", "weight", (F.col("rank") + alone).alias("place"))
 
 
 def long_enough(n: Column, other: Column, similarity: int) -> Column:
@@ -122,25 +122,33 @@ def star_pairs(lists: DataFrame, classes: DataFrame, similarity: int) -> DataFra
 
 
 def placed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The entries of lists that several components share: ``value, rep, n, c, main, length``."""
-    placed = lists.join(labels, F.col("rep") == F.col("node"), "left").select("value", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    """The entries of lists that several components share: ``value, rep, n, place, c, main, length``."""
+    placed = lists.join(labels, F.col("rep") == F.col("node"), "left").select("value", "rep", "n", "place", F.coalesce("component", "rep").alias("c"))
     parts = placed.groupBy("value", "c").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("value").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("length"), F.count(F.lit(1)).alias("parts"))
     return placed.join(main.where("parts > 1").drop("parts"), "value")
 
 
-def crossing_pairs(marked: DataFrame, similarity: int) -> DataFrame:
-    """All pairs of a list whose classes are not yet connected.
+def crossing_pairs(marked: DataFrame, similarity: int, whole: bool = False) -> DataFrame:
+    """All pairs of a list whose classes are not yet connected and may be near duplicates.
 
     Lists inside one component are dropped whole. In the others, the entries
     outside the list's largest component meet all entries: a group of near
-    copies that the stars have joined is never paired within itself.
+    copies that is joined already is never paired within itself.
+
+    With ``whole``, ``place`` is the rank of the entry's value in the rarest-first
+    order of the whole set. Two sets of known sizes need ``o`` values in common,
+    so their first common value has a place of ``n - o + 1`` at most in both.
     """
-    outside = marked.where("c <> main").select("value", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("c").alias("x_c"))
-    ends = marked.select("value", F.col("rep").alias("y"), F.col("n").alias("y_n"), F.col("c").alias("y_c"), (F.col("c") == F.col("main")).alias("y_main"))
+    outside = marked.where("c <> main").select("value", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("c").alias("x_c"), F.col("place").alias("x_place"))
+    ends = marked.select("value", F.col("rep").alias("y"), F.col("n").alias("y_n"), F.col("c").alias("y_c"), F.col("place").alias("y_place"), (F.col("c") == F.col("main")).alias("y_main"))
     # Of two entries outside, the smaller comes first; one inside comes as the partner.
-    met = outside.join(ends, "value").where((F.col("x_c") != F.col("y_c")) & (F.col("y_main") | (F.col("x") < F.col("y"))) & long_enough(F.col("x_n"), F.col("y_n"), similarity))
-    return met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+    fit = (F.col("x_c") != F.col("y_c")) & (F.col("y_main") | (F.col("x") < F.col("y"))) & long_enough(F.col("x_n"), F.col("y_n"), similarity)
+    if whole:
+        overlap = F.ceil((F.col("x_n") + F.col("y_n")) * similarity / (100 + similarity) - 1e-9)
+        fit = fit & (F.col("x_place") <= F.col("x_n") - overlap + 1) & (F.col("y_place") <= F.col("y_n") - overlap + 1)
+    joined = outside.alias("x").join(ends.alias("y"), (F.col("x.value") == F.col("y.value")) & fit)
+    return joined.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
 def whole_set_lists(marked: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
@@ -206,18 +214,19 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: int) ->
     both = one.join(found.select(F.col("rep").alias("u"), F.col("text").alias("u_text")), "u").select("u", "v", "u_text", "v_text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, np.empty(0, np.uint64)
         for batch in batches:
-            keep = []
-            us, vs = batch.column("u_text"), batch.column("v_text")
-            for i in range(batch.num_rows):
-                u = us[i].as_py()
-                if u != last:
-                    last, last_set = u, shingle_sets([u], words)[0]
-                other = shingle_sets([vs[i].as_py()], words)[0]
-                common = len(np.intersect1d(last_set, other, assume_unique=True))
-                keep.append(100 * common >= similarity * (len(last_set) + len(other) - common))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for start, end in text_slices(batch, "v_text"):
+                part = batch.slice(start, end - start)
+                us, vs = part.column("u_text").to_pylist(), part.column("v_text").to_pylist()
+                # Each text of the slice is cut into shingles once.
+                texts = list(dict.fromkeys(us + vs))
+                sets = dict(zip(texts, shingle_sets(texts, words), strict=True))
+                keep = []
+                for u, v in zip(us, vs, strict=True):
+                    one, other = sets[u], sets[v]
+                    common = len(np.intersect1d(one, other, assume_unique=True))
+                    keep.append(100 * common >= similarity * (len(one) + len(other) - common))
+                yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return map_batches(both, verify, "u long, v long")
 
@@ -246,10 +255,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     stars = written(verified(written(close, "pairs"), docs, words, similarity), "links")
     labels = component_labels(stars)
     marked = written(placed_lists(lists, labels), "lists")
-    whole = written(placed_lists(whole_set_lists(marked, docs, words, similarity), labels), "lists")
-    crossing = crossing_pairs(marked.where(F.col("length") <= SHORT_LIST), similarity).unionByName(crossing_pairs(whole, similarity)).distinct()
-    left = written(estimated(crossing, classes, retained, shared, similarity), "pairs")
-    links = stars.unionByName(verified(left, docs, words, similarity))
+    whole = written(whole_set_lists(marked, docs, words, similarity), "lists")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        left = written(estimated(pairs, classes, retained, shared, similarity), "pairs")
+        return written(verified(left, docs, words, similarity), "links")
+
+    # Copies that share a rare change meet in short lists; what is left of a large group after them is little.
+    now = placed_lists(whole, labels)
+    short = crossing_pairs(marked.where(F.col("length") <= SHORT_LIST), similarity).unionByName(crossing_pairs(now.where(F.col("length") <= SHORT_LIST), similarity, whole=True))
+    links = written(stars.unionByName(confirmed(short.distinct())), "links")
+    labels = component_labels(links)
+    links = links.unionByName(confirmed(crossing_pairs(placed_lists(whole, labels), similarity, whole=True)))
     # Ids that stand for two classes (a repeated id with two texts) link them, too.
     joined = component_labels(links)
     final = classes.join(joined, F.col("rep") == F.col("node"), "left").select("a", "b", "n", F.coalesce("component", "rep").alias("component_id"))
