@@ -35,7 +35,7 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     n = len(texts)
     per_text = np.bincount(owner, minlength=n)
     rolled = np.zeros(len(hashes), np.uint64)
-    for i in range(words):
+    for i in range(min(words, len(hashes))):
         # The words of a shingle are weighted by their place; those of short texts by what there is.
         rolled[: len(hashes) - i] += mix64(hashes[i:] + np.uint64(0x632BE59BD9B4E019 * (i + 1) & (1 << 64) - 1))
     out, at = [], 0
@@ -44,10 +44,10 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
         if k == 0:
             out.append(np.empty(0, np.uint64))
         elif k < words:
-            whole = np.uint64(k)
-            for h in hashes[at : at + k]:
-                whole = mix64(np.array([whole * np.uint64(31) + h]))[0]
-            out.append(np.array([whole], np.uint64))
+            whole = np.array([k], np.uint64)
+            for i in range(at, at + k):
+                whole = mix64(whole * np.uint64(31) + hashes[i : i + 1])
+            out.append(whole)
         else:
             out.append(np.unique(mix64(rolled[at : at + k - words + 1])))
         at += k

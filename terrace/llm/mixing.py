@@ -97,21 +97,27 @@ def memberships(docs: DataFrame, model: DomainModel, carried: str) -> DataFrame:
     return map_batches(docs.select(carried, body().alias("text")), score, f"{carried} {kind}, tokens long, share array<double>")
 
 
-def rate_after(steps: list[list[float]], least: float) -> Column:
-    """The rate that the steps lead to; each holds the scaled residual of every domain."""
+def rates_after(steps: list[list[float]], least: float) -> Column:
+    """``rate`` and ``look`` (the accelerated point the next residual is taken at) after the steps.
+
+    A step holds the scaled residual of every domain, then its momentum.
+    """
+    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("look"))
     if not steps:
-        return F.lit(1.0)
+        return start
     pace = 1.0 / (1.0 + RIDGE)
 
-    def step(rate: Column, residual: Column) -> Column:
-        slope = F.aggregate(F.zip_with("share", residual, lambda p, r: p * r), F.lit(0.0), lambda a, b: a + b)
-        return F.greatest(F.lit(float(least)), rate - pace * (slope + RIDGE * (rate - 1.0)))
+    def step(at: Column, told: Column) -> Column:
+        slope = F.aggregate(F.zip_with("share", told, lambda p, r: F.coalesce(p * r, F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
+        # The momentum stands behind the residuals, where the shares have ended.
+        after = F.greatest(F.lit(float(least)), at["look"] - pace * (slope + RIDGE * (at["look"] - 1.0)))
+        return F.struct(after.alias("rate"), (after + F.element_at(told, -1) * (after - at["rate"])).alias("look"))
 
-    return F.aggregate(F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in steps]), F.lit(1.0), step)
+    return F.aggregate(F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in steps]), start, step)
 
 
 def fit_rates(parts: DataFrame, domains: list[str], targets: dict[str, float] | None, budget: float | None, least: float) -> list[list[float]]:
-    """Projected-gradient least squares over all documents; returns the residual of every step.
+    """Accelerated projected-gradient least squares over all documents; returns its steps.
 
     The loss is the squared gap between the expected and the wanted tokens of
     each domain, relative to the tokens it has, and a small pull of the rates
@@ -134,14 +140,16 @@ def fit_rates(parts: DataFrame, domains: list[str], targets: dict[str, float] |
     want *= scale
     inverse = 1.0 / np.maximum(have, 1e-9)
     steps: list[list[float]] = []
-    got = have
+    got, speed = have, 1.0
     for _ in range(STEPS):
         gap = got - want
         if np.abs(gap).max() < CLOSE * scale:
             break
-        steps.append((gap * inverse).tolist())
-        rated = parts.withColumn("rate", rate_after(steps, least))
-        sums = rated.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.get("share", F.lit(i))).alias(f"s{i}") for i in range(k)]).first()
+        faster = (1 + np.sqrt(1 + 4 * speed**2)) / 2
+        steps.append([*(gap * inverse).tolist(), (speed - 1) / faster])
+        speed = faster
+        rated = parts.withColumn("look", rates_after(steps, least)["look"])
+        sums = rated.agg(*[F.sum(F.col("look") * F.col("tokens") * F.get("share", F.lit(i))).alias(f"s{i}") for i in range(k)]).first()
         got = np.array([sums[f"s{i}"] for i in range(k)]) / row["all"]
     return steps
 
@@ -167,7 +175,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     model = fit_domains(docs, labelled)
     parts = written(memberships(docs, model, "doc_id"), "memberships")
     steps = fit_rates(parts, model.domains, targets, budget, least)
-    rated = parts.withColumn("rate", rate_after(steps, least))
+    rated = parts.withColumn("rate", rates_after(steps, least)["rate"])
     top = F.array_max("share")
     return rated.select(
         "doc_id", F.col("tokens").alias("n_tokens"), F.get(F.lit(model.domains), F.array_position("share", top).cast("int") - 1).alias("domain"),
@@ -181,5 +189,5 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     parts = written(memberships(docs.select("doc_id", "text"), model, "doc_id"), "memberships")
     steps = fit_rates(parts, model.domains, targets, budget, least)
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    rated = memberships(rows, model, "_row").withColumn("_n", copies(rate_after(steps, least), F.col("_row.doc_id")))
+    rated = memberships(rows, model, "_row").withColumn("_n", copies(rates_after(steps, least)["rate"], F.col("_row.doc_id")))
     return rated.where("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), "_n"))).select("_row.*")
