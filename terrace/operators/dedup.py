@@ -8,18 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.operators.order import running_totals
-from terrace.operators.skew import attach, group_sizes
+from terrace.operators.skew import attach
 from terrace.session import durable
 
 
 def drop_exact_duplicates(df: DataFrame, order: str, columns: list[str] | None = None) -> DataFrame:
     """First of each set of equal rows; all columns but ``order`` are the key.
 
-    ``min`` combines on the map side, so a row copied billions of times
+    Rows are grouped by a digest, so a text is never a shuffle key, and
+    ``min_by`` combines on the map side: a row copied billions of times
     reaches the reducer as one row per task.
     """
     keys = columns or [c for c in df.columns if c != order]
-    return df.groupBy(*keys).agg(F.min(order).alias(order)).select(*df.columns)
+    first = df.groupBy(key_hash(keys).alias("_digest")).agg(F.min_by(F.struct(*[F.col(c) for c in df.columns]), order).alias("_first"))
+    return first.select("_first.*")
 
 
 def drop_key_duplicates(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -41,8 +43,7 @@ def flag_duplicates(df: DataFrame, keys: list[str], order: str, keep: str = "non
 
 def count_duplicates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row: total rows, distinct keys, and rows beyond the first of each key."""
-    keys = columns or df.columns
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    groups = df.groupBy(key_hash(columns or df.columns).alias("_digest")).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
         F.count(F.lit(1)).alias("distinct_rows"),
@@ -197,18 +198,6 @@ def repeat_members(df: DataFrame, row_id: str, group: str = "repeat_group_id") -
     return df.where(F.col(group) != "").select(group, row_id)
 
 
-def repeat_member_lists(df: DataFrame, row_id: str, largest: int, group: str = "repeat_group_id") -> DataFrame:
-    """Sorted ``|``-joined member ids of the groups that have up to ``largest`` rows.
-
-    Larger groups are returned with a NULL list; :func:`repeat_members` has them.
-    """
-    sized = group_sizes(df.where(F.col(group) != "").select(group, row_id), [group], "size")
-    small = sized.where(F.col("size") <= largest).groupBy(group).agg(
-        F.array_join(F.sort_array(F.collect_list(F.col(row_id).cast("string"))), "|").alias("members")
-    )
-    return sized.groupBy(group).agg(F.max("size").alias("size")).join(small, group, "left")
-
-
 def repeat_counts(summary: DataFrame) -> DataFrame:
     """One-row totals over :func:`repeat_group_summary`."""
     crossing = F.col("crosses_folds") == 1

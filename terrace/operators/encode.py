@@ -11,6 +11,7 @@ from terrace.functions.parse import UNSET, band, combine_keys, ratio
 from terrace.operators.filters import training_copies
 from terrace.operators.order import null_safe_join, quantiles
 from terrace.operators.skew import attach
+from terrace.session import durable, shuffle_width
 
 M_GRID = (5.0, 10.0, 20.0, 50.0, 100.0)
 
@@ -89,21 +90,20 @@ def assemble(columns: list[str], output: str = "features") -> VectorAssembler:
 def ordinal_encode(train: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     """Alphabetical code per known label; unknown and missing get -1.
 
-    The code is a running count over distinct labels, made per first-letter
-    bucket so that labels are not sorted in one task.
+    The distinct labels are dealt into ranges and written with the number of
+    their range; a code is the place in the range plus the labels before it,
+    so no task sorts more than its range whatever the labels look like.
     """
     labels = train.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    tagged = labels.withColumn("_bin", F.substring(F.col(column), 1, 2))
+    width = shuffle_width(train.sparkSession)
+    tagged = durable(labels.repartitionByRange(width, column).withColumn("_bin", F.spark_partition_id()), "labels")
+    # At most one row per range.
     ahead = Window.partitionBy(F.lit(1)).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        tagged.groupBy("_bin").agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_o", F.coalesce(F.sum("_c").over(ahead), F.lit(0))).drop("_c")
-    )
+    sizes = tagged.groupBy("_bin").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = sizes.select("_bin", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_o"))
     inside = Window.partitionBy("_bin").orderBy(column)
-    dim = (
-        tagged.withColumn("_r", F.row_number().over(inside)).join(offsets, "_bin")
-        .select(column, (F.col("_o") + F.col("_r") - 1).cast("int").alias(f"{column}_code"), "_n")
-    )
+    ranked = tagged.withColumn("_r", F.row_number().over(inside)).join(F.broadcast(offsets), "_bin")
+    dim = ranked.select(column, (F.col("_o") + F.col("_r") - 1).cast("int").alias(f"{column}_code"), "_n")
     return attach(rows, dim, [column], "_n").withColumn(
         f"{column}_code", F.coalesce(f"{column}_code", F.lit(-1))
     ).drop("_n")

@@ -77,7 +77,8 @@ def link_text(rows: DataFrame, source: DataFrame, key: str, text: str) -> tuple[
     """Attach source text by exact id; also returns a one-row audit.
 
     The audit counts source rows per id before joining, so it reports
-    many-to-many keys without producing their pairs.
+    many-to-many keys without producing their pairs. Reading a linked row
+    whose source id repeats is an error, as one of its texts would be a guess.
     """
     per_id = source.groupBy(key).agg(F.count(F.lit(1)).alias("_copies"), F.min(text).alias(text))
     ids = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
@@ -90,7 +91,9 @@ def link_text(rows: DataFrame, source: DataFrame, key: str, text: str) -> tuple[
         (F.coalesce(F.max("_copies"), F.lit(1)) == 1).cast("int").alias("source_ids_unique"),
         F.count_if((F.col("_rows") > 1) & (F.col("_copies") > 1)).alias("many_to_many"),
     )
-    linked = rows.join(per_id.where("_copies = 1").drop("_copies"), key, "inner")
+    message = F.concat(F.lit(f"the source repeats {key} "), F.col(key).cast("string"))
+    sure = F.when(F.col("_copies") == 1, F.col(text)).otherwise(F.raise_error(message).cast("string"))
+    linked = rows.join(per_id.withColumn(text, sure).drop("_copies"), key, "inner")
     return linked, audit
 
 

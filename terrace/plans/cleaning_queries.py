@@ -285,12 +285,14 @@ MISS = " + ".join(f"CAST({c} IS NULL AS INTEGER)" for c in CORE)
 
 
 @query("filter_completeness", with_listings(
-    f", m AS (SELECT listing_id, {MISS} AS k FROM listings), c AS (SELECT listing_id, unnest(list_filter([CASE WHEN true THEN 'all_rows' END, CASE WHEN k < 3 THEN 'missing_below_3' END, CASE WHEN k < 5 THEN 'missing_below_5' END,"
-    " CASE WHEN 1.0 - k / CAST(4 AS DOUBLE) >= 0.8 THEN 'complete_80' END, CASE WHEN 1.0 - k / CAST(4 AS DOUBLE) >= 0.9 THEN 'complete_90' END, CASE WHEN k = 0 THEN 'complete_core' END], lambda x: x IS NOT NULL)) AS cohort FROM m)"
+    f", m AS (SELECT listing_id, developer IS NOT NULL AND completion_year IS NOT NULL AS ok, completion_year IS NULL OR developer IS NULL OR number_of_floors IS NULL AS part, {MISS} AS k FROM listings),"
+    " c AS (SELECT listing_id, 'A_current' AS cohort FROM m UNION ALL SELECT listing_id, 'B_valid_critical' FROM m WHERE ok UNION ALL SELECT listing_id, 'C_complete_core' FROM m WHERE ok AND NOT part"
+    " UNION ALL SELECT listing_id, 'D_missing_lt3' FROM m WHERE ok AND k < 3 UNION ALL SELECT listing_id, 'E_missing_lt5' FROM m WHERE ok AND k < 5"
+    " UNION ALL SELECT listing_id, 'F_completeness_ge80' FROM m WHERE ok AND 4 - k >= 3.2 UNION ALL SELECT listing_id, 'G_completeness_ge90' FROM m WHERE ok AND 4 - k >= 3.6 UNION ALL SELECT listing_id, 'H_missing_indicators' FROM m)"
     " SELECT cohort, count(*) AS rows, min(listing_id) AS first_id, max(listing_id) AS last_id FROM c GROUP BY cohort"))
 def _(spark, sf):
     df = listings(spark, sf, ["listing_id", *CORE])
-    return filters.cohort_labels(df, CORE, CORE).groupBy("cohort").agg(
+    return filters.cohort_labels(df, CORE, ["completion_year", "developer", "number_of_floors"], ["completion_year", "developer"]).groupBy("cohort").agg(
         F.count(F.lit(1)).alias("rows"), F.min("listing_id").alias("first_id"), F.max("listing_id").alias("last_id"))
 
 
@@ -421,9 +423,9 @@ def _(spark, sf):
     return summary(spark, sf)
 
 
-@query("repeat_member_lists", NUMBERED + " SELECT repeat_group_id, count(*) AS size, CASE WHEN count(*) <= 50 THEN array_to_string(list_sort(list(CAST(doc_id AS VARCHAR))), '|') END AS members FROM named WHERE repeat_group_id <> '' GROUP BY 1")
+@query("repeat_members", NUMBERED + " SELECT repeat_group_id, doc_id FROM named WHERE repeat_group_id <> ''")
 def _(spark, sf):
-    return dedup.repeat_member_lists(numbered(spark, sf), "doc_id", 50)
+    return dedup.repeat_members(numbered(spark, sf), "doc_id")
 
 
 @query("repeat_counts", SUMMARY + " SELECT count(*) AS groups, CAST(sum(size) AS BIGINT) AS grouped_rows, CAST(sum(size - 1) AS BIGINT) AS rows_beyond_first, CAST(sum(crosses_folds) AS BIGINT) AS groups_crossing,"

@@ -444,11 +444,17 @@ def _(spark, sf):
     return out.select(F.round(F.lit(weights["model_a"]), 6).alias("weight_a"), F.round(F.lit(weights["model_b"]), 6).alias("weight_b"), F.round("rmse", 4).alias("rmse"))
 
 
-@query("model_select_complementary")
+@query("model_select_complementary", with_scored(
+    ", r AS (SELECT listing_id, model, predicted - actual AS d FROM scored), e AS (SELECT model, sqrt(avg(d * d)) AS rmse FROM r GROUP BY 1),"
+    " k AS (SELECT a.model AS x, b.model AS y, abs(corr(a.d, b.d)) AS c FROM r a JOIN r b USING (listing_id) GROUP BY 1, 2),"
+    " p1 AS (SELECT model FROM e ORDER BY rmse, model LIMIT 1),"
+    " p2 AS (SELECT e.model FROM e JOIN k ON e.model = k.x WHERE k.y IN (FROM p1) AND e.model NOT IN (FROM p1) GROUP BY e.model, rmse ORDER BY rmse > 1.1 * (SELECT min(rmse) FROM e), avg(c), rmse, e.model LIMIT 1),"
+    " two AS (FROM p1 UNION ALL FROM p2),"
+    " p3 AS (SELECT e.model FROM e JOIN k ON e.model = k.x WHERE k.y IN (FROM two) AND e.model NOT IN (FROM two) GROUP BY e.model, rmse ORDER BY rmse > 1.1 * (SELECT min(rmse) FROM e), avg(c), rmse, e.model LIMIT 1)"
+    " SELECT 1 AS position, model FROM p1 UNION ALL SELECT 2, model FROM p2 UNION ALL SELECT 3, model FROM p3"))
 def _(spark, sf):
     df = scored(spark, sf)
-    names = models.select_complementary(stats.residual_correlation_matrix(df, "listing_id", list(MODELS)), report(spark, sf, "model"))
-    return spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "position int, model string")
+    return models.select_complementary(stats.residual_correlation_matrix(df, "listing_id", list(MODELS)), report(spark, sf, "model"))
 
 
 @query("model_gated_blend", with_scored(

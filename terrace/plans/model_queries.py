@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.operators import evaluate, folds, models, textvec
-from terrace.plans.registry import query, rounded
+from terrace.operators import evaluate, folds, models, quality, textvec
+from terrace.plans.registry import query, rounded, with_listings
 from terrace.sources.surrogate import listings, table
 
 NUMERIC = ("property_size_sqft", "bedroom", "bathroom", "parking_lot", "completion_year", "number_of_floors", "total_units")
@@ -34,6 +34,16 @@ def _(spark, sf):
     return models.oof_predict(prepared(spark, sf), [spec("ridge", "ridge", (("regParam", 0.001),))], folds=5)
 
 
+@query("model_oof_coverage", with_listings(
+    "SELECT 'ridge' AS model, count(*) AS ids, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS non_finite, CAST(0 AS BIGINT) AS foreign_ids, CAST(0 AS BIGINT) AS unscored FROM listings"))
+def _(spark, sf):
+    """Rows whose features are missing or not numbers are scored like all others."""
+    df = prepared(spark, sf).withColumn("total_units", F.when(F.hash("listing_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("total_units")))
+    df = df.withColumn("bedroom", F.when(F.hash("listing_id") % 5 != 0, F.col("bedroom")))
+    scored = models.oof_predict(df, [spec("ridge", "ridge", (("regParam", 0.001),))], folds=5)
+    return quality.oof_coverage(scored, "listing_id", df)
+
+
 @query("model_oof_forest")
 def _(spark, sf):
     scored = models.oof_predict(prepared(spark, sf), [spec("forest", "random_forest", SMALL_TREES, categorical=())], folds=5)
@@ -104,7 +114,7 @@ def _(spark, sf):
 @query("model_premium_routing")
 def _(spark, sf):
     """Classifier, threshold, calibration, both experts and both routes on one outer fold."""
-    df = prepared(spark, sf).fillna(0, subset=list(NUMERIC))
+    df = prepared(spark, sf)
     from terrace.session import durable
 
     labelled = durable(folds.fold_premium_labels(df, "price", 0.9).where("outer_fold = 1"))

@@ -80,8 +80,9 @@ def _(spark, sf):
 
 
 @query("join_link_text_audit",
-       "WITH s AS (SELECT doc_id, count(*) AS copies FROM documents WHERE lang <> 'de' GROUP BY 1), m AS (SELECT l.doc_id, copies FROM labels l LEFT JOIN s USING (doc_id))"
-       " SELECT count(*) AS rows, count(copies) AS linked, count(*) - count(copies) AS missing, 1 AS row_ids_unique, CAST(coalesce(max(copies), 1) = 1 AS INTEGER) AS source_ids_unique, CAST(0 AS BIGINT) AS many_to_many FROM m")
+       "WITH s AS (SELECT doc_id, count(*) AS copies FROM documents WHERE lang <> 'de' GROUP BY 1), m AS (SELECT doc_id, count(*) AS n, max(copies) AS copies FROM labels l LEFT JOIN s USING (doc_id) GROUP BY doc_id)"
+       " SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(CASE WHEN copies IS NOT NULL THEN n END), 0) AS BIGINT) AS linked, CAST(coalesce(sum(CASE WHEN copies IS NULL THEN n END), 0) AS BIGINT) AS missing,"
+       " CAST(max(n) = 1 AS INTEGER) AS row_ids_unique, CAST(coalesce(max(copies), 1) = 1 AS INTEGER) AS source_ids_unique, count(*) FILTER (WHERE n > 1 AND copies > 1) AS many_to_many FROM m")
 def _(spark, sf):
     source = table(spark, sf, "documents").where("lang <> 'de'").select("doc_id", "text")
     return joins.link_text(table(spark, sf, "labels"), source, "doc_id", "text")[1]
