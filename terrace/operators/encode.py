@@ -124,11 +124,11 @@ def fit_target_m(train: DataFrame, column: str, y: str, m: float, keys: list[str
 
 def apply_target(rows: DataFrame, dim: DataFrame, train_mean: DataFrame, column: str, name: str) -> DataFrame:
     """Encoded value by category; unseen categories get the training mean."""
-    tagged = rows.withColumn("category", category(column))
-    joined = attach(tagged, dim.select("category", "encoded", "n"), ["category"], "n")
+    tagged = rows.withColumn("_category", category(column))
+    joined = attach(tagged, dim.select(F.col("category").alias("_category"), F.col("encoded").alias("_encoded"), F.col("n").alias("_n")), ["_category"], "_n")
     return (
         joined.crossJoin(F.broadcast(train_mean.select(F.col("overall").alias("_overall"))))
-        .withColumn(name, F.coalesce("encoded", "_overall")).drop("category", "encoded", "n", "_overall")
+        .withColumn(name, F.coalesce("_encoded", "_overall")).drop("_category", "_encoded", "_n", "_overall")
     )
 
 
@@ -185,7 +185,7 @@ def _outside_folds(df: DataFrame, keys: list[Column], y: str, fold: str) -> Data
 
 
 def _fold_remainders(df: DataFrame, column: str, y: str, fold: str) -> DataFrame:
-    return _outside_folds(df, [category(column)], y, fold).withColumnRenamed("_key0", "category")
+    return _outside_folds(df, [category(column)], y, fold).withColumnRenamed("_key0", "_category")
 
 
 def _fold_means(df: DataFrame, y: str, fold: str) -> DataFrame:
@@ -206,15 +206,15 @@ def target_encode_oof(
     means = _fold_means(df, y, fold)
     encoded = (F.col("_other_sum") + m * F.col("_all_mean")) / (F.col("_other_n") + m)
     dim = cells.join(F.broadcast(means), "fold").select(
-        "category", "fold", "_rows", encoded.alias("_encoded"), F.log1p("_other_n").alias("_log_n")
+        "_category", "fold", "_rows", encoded.alias("_encoded"), F.log1p("_other_n").alias("_log_n")
     )
-    tagged = df.withColumn("category", category(column))
+    tagged = df.withColumn("_category", category(column))
     if fold != "fold":
         dim = dim.withColumnRenamed("fold", fold)
-    joined = attach(tagged, dim, ["category", fold], "_rows").withColumn(name or f"{column}_te", F.col("_encoded"))
+    joined = attach(tagged, dim, ["_category", fold], "_rows").withColumn(name or f"{column}_te", F.col("_encoded"))
     if log_count:
         joined = joined.withColumn(log_count, F.col("_log_n"))
-    return joined.drop("category", "_rows", "_encoded", "_log_n")
+    return joined.drop("_category", "_rows", "_encoded", "_log_n")
 
 
 def target_encode_auto_oof(df: DataFrame, column: str, y: str, fold: str = "fold", name: str | None = None) -> DataFrame:
@@ -224,9 +224,9 @@ def target_encode_auto_oof(df: DataFrame, column: str, y: str, fold: str = "fold
     share = F.col("_all_var") * F.col("_other_n")
     weight = F.when(F.col("_all_var") == 0, F.lit(0.0)).otherwise(share / (share + F.col("_other_var")))
     value = F.when(F.col("_other_n") > 0, weight * F.col("_other_mean") + (1 - weight) * F.col("_all_mean")).otherwise(F.col("_all_mean"))
-    dim = joined.select("category", F.col("fold").alias(fold), "_rows", value.alias("_encoded"))
-    tagged = df.withColumn("category", category(column))
-    return attach(tagged, dim, ["category", fold], "_rows").withColumn(name or f"{column}_te", F.col("_encoded")).drop("category", "_rows", "_encoded")
+    dim = joined.select("_category", F.col("fold").alias(fold), "_rows", value.alias("_encoded"))
+    tagged = df.withColumn("_category", category(column))
+    return attach(tagged, dim, ["_category", fold], "_rows").withColumn(name or f"{column}_te", F.col("_encoded")).drop("_category", "_rows", "_encoded")
 
 
 def select_m(df: DataFrame, columns: list[str], y: str, grid=M_GRID, fold: str = "fold") -> DataFrame:
@@ -236,7 +236,7 @@ def select_m(df: DataFrame, columns: list[str], y: str, grid=M_GRID, fold: str =
     """
     result = df.select(*columns, y, fold)
     for i, c in enumerate(columns):
-        dim = _fold_remainders(df.select(c, y, fold), c, y, fold).drop("_other_mean", "_other_var").withColumnsRenamed({"_other_sum": f"_s{i}", "_other_n": f"_n{i}", "category": f"_c{i}"})
+        dim = _fold_remainders(df.select(c, y, fold), c, y, fold).drop("_other_mean", "_other_var").withColumnsRenamed({"_other_sum": f"_s{i}", "_other_n": f"_n{i}", "_category": f"_c{i}"})
         dim = dim.withColumnRenamed("fold", fold) if fold != "fold" else dim
         tagged = result.withColumn(f"_c{i}", category(c))
         result = attach(tagged, dim, [f"_c{i}", fold], "_rows").drop(f"_c{i}", "_rows")
@@ -252,41 +252,41 @@ def select_m(df: DataFrame, columns: list[str], y: str, grid=M_GRID, fold: str =
 
 
 def target_encode_with_log_count(train: DataFrame, rows: DataFrame, column: str, y: str, m: float) -> DataFrame:
-    dim = fit_target_m(train, column, y, m).select("category", "encoded", "n")
+    dim = fit_target_m(train, column, y, m).select(F.col("category").alias("_category"), F.col("encoded").alias("_encoded"), F.col("n").alias("_n"))
     overall = train.agg(F.avg(y).alias("_overall"))
-    joined = attach(rows.withColumn("category", category(column)), dim, ["category"], "n")
+    joined = attach(rows.withColumn("_category", category(column)), dim, ["_category"], "_n")
     return joined.crossJoin(F.broadcast(overall)).withColumn(
-        f"{column}_te", F.coalesce("encoded", "_overall")
-    ).withColumn(f"{column}_log_count", F.log1p(F.coalesce("n", F.lit(0)))).drop("category", "encoded", "n", "_overall")
+        f"{column}_te", F.coalesce("_encoded", "_overall")
+    ).withColumn(f"{column}_log_count", F.log1p(F.coalesce("_n", F.lit(0)))).drop("_category", "_encoded", "_n", "_overall")
 
 
 def count_encode(train: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     """Category frequency and its log; unseen categories count 0."""
-    dim = train.groupBy(category(column).alias("category")).agg(F.count(F.lit(1)).alias("_n"))
-    joined = attach(rows.withColumn("category", category(column)), dim, ["category"], "_n")
+    dim = train.groupBy(category(column).alias("_category")).agg(F.count(F.lit(1)).alias("_n"))
+    joined = attach(rows.withColumn("_category", category(column)), dim, ["_category"], "_n")
     return joined.withColumn(f"{column}_count", F.coalesce("_n", F.lit(0))).withColumn(
         f"{column}_log_count", F.log1p(f"{column}_count")
-    ).drop("category", "_n")
+    ).drop("_category", "_n")
 
 
 def context_stats(
     train: DataFrame, rows: DataFrame, place: str, size: str, rooms: tuple[str, ...] = ("bedroom", "bathroom")
 ) -> DataFrame:
     """Place-level medians, mean and count, plus the ratio to the place median size."""
-    keyed = train.withColumn("category", category(place))
-    dim = keyed.groupBy("category").agg(F.avg(size).alias("place_mean_size"), F.count(F.lit(1)).alias("place_count"))
+    keyed = train.withColumn("_category", category(place))
+    dim = keyed.groupBy("_category").agg(F.avg(size).alias("place_mean_size"), F.count(F.lit(1)).alias("place_count"))
     overall = train.agg(F.avg(size).alias("_f_place_mean_size"))
     medians = {size: "place_median_size", **{r: f"place_median_{r}" for r in rooms}}
     for column, name in medians.items():
-        dim = null_safe_join(dim, quantiles(keyed, ["category"], column, {name: 0.5}), ["category"], "left")
+        dim = null_safe_join(dim, quantiles(keyed, ["_category"], column, {name: 0.5}), ["_category"], "left")
         overall = overall.crossJoin(quantiles(train, [], column, {f"_f_{name}": 0.5}))
-    joined = attach(rows.withColumn("category", category(place)), dim, ["category"], "place_count")
+    joined = attach(rows.withColumn("_category", category(place)), dim, ["_category"], "place_count")
     filled = joined.crossJoin(F.broadcast(overall))
     names = ["place_mean_size", *medians.values()]
     filled = filled.withColumns({n: F.coalesce(F.col(n), F.col(f"_f_{n}")) for n in names})
     filled = filled.withColumn("place_count", F.coalesce("place_count", F.lit(0)))
     return filled.withColumn("ratio_to_place_median_size", ratio(F.col(size), F.col("place_median_size"))).drop(
-        "category", *[f"_f_{n}" for n in names]
+        "_category", *[f"_f_{n}" for n in names]
     )
 
 

@@ -247,7 +247,7 @@ def nearest(
     found = _search(ask_places, ref_places, _first_ids(refs, place, row_id, payload, want), parts, ["lat", "lon"], want, distance)
     dim = found.join(ask_places.drop(*SPHERE), place)
     keyed = queries.withColumns({"_lat": F.col(lat).cast("double") + 0.0, "_lon": F.col(lon).cast("double") + 0.0})
-    joined = attach(keyed, dim.withColumnsRenamed({"lat": "_lat", "lon": "_lon"}), [*parts, "_lat", "_lon"], "n").drop("n", "_lat", "_lon")
+    joined = attach(keyed, dim.withColumnsRenamed({"lat": "_lat", "lon": "_lon", "n": "_places"}), [*parts, "_lat", "_lon"], "_places").drop("_places", "_lat", "_lon")
     if exclude_self:
         others = F.filter("neighbours", lambda x: x["id"] != F.col(row_id))
         joined = joined.withColumn("neighbours", F.slice(others, 1, k))
@@ -305,10 +305,10 @@ def radius_counts(
     )
     dim = ask_places.drop(*SPHERE).join(total, ["lat", "lon"], "left")
     keyed = queries.withColumns({"_lat": F.col(lat).cast("double") + 0.0, "_lon": F.col(lon).cast("double") + 0.0})
-    joined = attach(keyed, dim.withColumnsRenamed({"lat": "_lat", "lon": "_lon"}), ["_lat", "_lon"], "n").drop("_lat", "_lon")
+    joined = attach(keyed, dim.withColumnsRenamed({"lat": "_lat", "lon": "_lon", "n": "_places"}), ["_lat", "_lon"], "_places").drop("_lat", "_lon")
     own = F.lit(1 if exclude_self else 0)
-    usable = F.col("n").isNotNull()
-    return joined.withColumns({n: F.when(usable, F.coalesce(F.col(n), F.lit(0)) - own) for n in names.values()}).drop("n")
+    usable = F.col("_places").isNotNull()
+    return joined.withColumns({n: F.when(usable, F.coalesce(F.col(n), F.lit(0)) - own) for n in names.values()}).drop("_places")
 
 
 def nearest_vectors(queries: DataFrame, references: DataFrame, k: int, row_id: str, features: list[str], payload: list[str]) -> DataFrame:
@@ -342,7 +342,7 @@ def nearest_vectors(queries: DataFrame, references: DataFrame, k: int, row_id: s
         tuple(features), on_sphere=False,
     )
     dim = found.join(ask_points, features)
-    return attach(queries, dim, features, "n").drop("n")
+    return attach(queries, dim.withColumnRenamed("n", "_places"), features, "_places").drop("_places")
 
 
 def _mean(values: Column) -> Column:

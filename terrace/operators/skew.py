@@ -25,35 +25,31 @@ def row_bytes(kind: DataType) -> int:
 
 
 def attach(rows: DataFrame, dim: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """Left join a one-row-per-key table whose ``weight`` column counts the rows.
+    """Left join a one-row-per-key table; its columns, ``weight`` among them, stand behind the rows'.
 
-    The table is written once to the checkpoint folder and measured, and the
-    measurement picks the plan:
+    The table is written once to the shared folder and measured. One that fits
+    ``BROADCAST_BYTES`` is broadcast, and the rows do not move. Otherwise the
+    frequent keys of the rows, in the table or not, NULL or not, are found
+    with a bounded summary: their table entries (one each) are broadcast and
+    their rows are spread over salts in the shuffle join that serves the other
+    keys, so no reducer receives a hot key whole.
 
-    * it fits ``BROADCAST_BYTES``: broadcast, the rows do not move;
-    * no key holds more than 1/256 of the weight: plain shuffle join;
-    * otherwise the hot keys (at most 255) are broadcast, and their rows are
-      spread over salts in the shuffle join that serves the other keys, so no
-      reducer receives a hot key whole.
-
-    NULL keys match NULL keys.
+    NULL keys match NULL keys. A row column named like a value of the table is
+    an error: one of the two would be lost.
     """
-    dim = durable(dim)
-    size = dim.agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("all"), F.max(weight).alias("top")).first()
-    total, top = size["all"] or 0, size["top"] or 0
     values = [c for c in dim.columns if c not in keys]
+    if clash := sorted(set(values) & set(rows.columns)):
+        raise ValueError(f"the rows have columns of the names {clash}")
+    dim = durable(dim)
     key_copies = [f"_k_{k}" for k in keys]
-    packed = dim.select(
-        *[F.col(k).alias(c) for k, c in zip(keys, key_copies)], F.struct(*values).alias("_packed"), F.col(weight).alias("_w")
-    )
+    packed = dim.select(*[F.col(k).alias(c) for k, c in zip(keys, key_copies)], F.struct(*values).alias("_packed"), F.col(weight).alias("_w"))
     match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(c)) for k, c in zip(keys, key_copies)])
-    kept = [c for c in rows.columns if c not in values]
-    fits = size["n"] * row_bytes(dim.schema) <= BROADCAST_BYTES
-    if fits or top * HOT_KEYS <= total:
-        table = packed.drop("_w")
-        joined = rows.join(F.broadcast(table) if fits else table, match, "left")
-        return joined.select(*kept, *[F.col(f"_packed.{v}").alias(v) for v in values])
-    is_hot = F.col("_w") * HOT_KEYS > F.lit(total)
+    if dim.count() * row_bytes(dim.schema) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(packed.drop("_w")), match, "left").select(*rows.columns, *[F.col(f"_packed.{v}").alias(v) for v in values])
+    # A Misra-Gries summary: at most HOT_KEYS hashes, none that a larger share of the rows has is missing.
+    hashed = rows.select(F.xxhash64(*keys).alias("_h"))
+    frequent = hashed.freqItems(["_h"], 1.0 / HOT_KEYS).first()[0] or [0]
+    is_hot = F.xxhash64(*key_copies).isin(frequent)
     hot = packed.where(is_hot).drop("_w").withColumnRenamed("_packed", "_hot")
     # The salt of the table side reads a column: a literal would be folded out
     # of the join keys, and hot rows would meet in one reducer again.
@@ -61,15 +57,9 @@ def attach(rows: DataFrame, dim: DataFrame, keys: list[str], weight: str) -> Dat
     cold = packed.where(~is_hot).withColumn("_dim_salt", zero).drop("_w").withColumnRenamed("_packed", "_cold")
     spread = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int") + 1
     first = rows.join(F.broadcast(hot), match, "left").drop(*key_copies)
-    salted = first.withColumn("_salt", F.when(F.col("_hot").isNotNull(), spread).otherwise(F.lit(0)))
+    salted = first.withColumn("_salt", F.when(F.xxhash64(*keys).isin(frequent), spread).otherwise(F.lit(0)))
     joined = salted.join(cold, match & (F.col("_salt") == F.col("_dim_salt")), "left")
-    return joined.select(
-        *kept,
-        *[
-            F.when(F.col("_hot").isNotNull(), F.col(f"_hot.{v}")).otherwise(F.col(f"_cold.{v}")).alias(v)
-            for v in values
-        ],
-    )
+    return joined.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")).alias(v) for v in values])
 
 
 def group_sizes(rows: DataFrame, keys: list[str], name: str) -> DataFrame:

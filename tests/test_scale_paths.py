@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terrace.operators import dedup, geo, order, skew
+from terrace.operators import dedup, encode, geo, joins, models, order, quality, skew
 
 
 @pytest.fixture
@@ -122,3 +122,62 @@ def test_vector_neighbours_match_brute_force(spark, monkeypatch):
         distance = np.round(np.sqrt(((x.to_numpy() - point) ** 2).sum(1)), 6)
         nearest = np.lexsort((train.i.to_numpy(), distance))[:5]
         assert out[row] == pytest.approx(train.y.to_numpy()[nearest].mean())
+
+
+def test_attach_spreads_keys_that_only_the_rows_have(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    rows = spark.range(40_000).select(
+        "id", F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(-1)).otherwise(F.col("id") % 500).cast("long").alias("k")
+    )
+    dim = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("twice"), F.lit(1).alias("w"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        out = skew.attach(rows, dim, ["k"], "w")
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 2 * sum(sizes) / 8
+        assert out.where("k >= 0 and twice <> 2 * k or k >= 0 and twice is null or k < 0 and twice is not null").count() == 0
+        assert out.count() == 40_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_encoders_keep_user_columns(spark):
+    rows = spark.createDataFrame([(i, f"c{i % 3}", float(i), 9, "mine", 0.5) for i in range(30)], "id int, city string, y double, n int, category string, encoded double")
+    for out in (encode.target_encode_m(rows, rows, "city", "y", 2.0), encode.count_encode(rows, rows, "city"), encode.target_encode_with_log_count(rows, rows, "city", "y", 2.0)):
+        assert set(rows.columns) <= set(out.columns)
+        assert out.where("n = 9 and category = 'mine' and encoded = 0.5").count() == 30
+    with pytest.raises(ValueError, match="names"):
+        skew.attach(rows, rows.groupBy("city").agg(F.count(F.lit(1)).alias("n")), ["city"], "n")
+
+
+def test_ordinal_codes_of_labels_that_begin_alike(spark):
+    rows = spark.range(900).select(F.format_string("Brand#%03d", F.col("id") % 300).alias("b"))
+    codes = {r.b: r.b_code for r in encode.ordinal_encode(rows.where("b <> 'Brand#007'"), rows, "b").distinct().collect()}
+    known = sorted(set(codes) - {"Brand#007"})
+    assert codes["Brand#007"] == -1 and [codes[b] for b in known] == list(range(299))
+
+
+def test_link_text_refuses_repeated_sources(spark):
+    rows = spark.createDataFrame([(1,), (2,)], "k int")
+    source = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, text string")
+    linked, audit = joins.link_text(rows, source, "k", "text")
+    assert audit.first().source_ids_unique == 0
+    with pytest.raises(Exception, match="repeats k 2"):
+        linked.collect()
+    assert joins.link_text(rows, source.where("text <> 'c'"), "k", "text")[0].count() == 2
+
+
+def test_rows_with_missing_features_are_scored(spark):
+    frame = spark.range(200).select(
+        F.col("id").alias("listing_id"), (F.col("id") % 5 + 1).cast("int").alias("fold"), (F.col("id") * 10.0 + 100).alias("price"),
+        F.when(F.col("id") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("id") * 1.0).alias("size"), F.when(F.col("id") % 7 != 0, F.col("id") * 2.0).alias("rooms"),
+    ).withColumn("premium", (F.col("price") > 1500).cast("int"))
+    spec = models.Spec("ridge", "ridge", ("size", "rooms"), (), (("regParam", 0.01),), "direct", size="size")
+    assert quality.oof_coverage(models.oof_predict(frame, [spec]), "listing_id", frame).first().unscored == 0
+    classifier = models.fit_premium_classifier(frame, ["size", "rooms"], "premium", maxIter=2)
+    scored = models.premium_probability(frame, classifier)
+    assert scored.count() == 200 and scored.where("probability is null").count() == 0 and "size" in scored.columns
