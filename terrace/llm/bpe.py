@@ -19,7 +19,7 @@ from terrace.llm.common import body, map_batches
 
 END = "</w>"
 #: Entries of each of the two generations of a worker's word cache.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 60_000
 #: Words of up to so many symbols are merged at once.
 SHORT = 64
 

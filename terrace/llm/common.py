@@ -17,7 +17,7 @@ from terrace.session import durable as written  # noqa: F401
 #: White space of the contracts: space and the five controls from tab to carriage return.
 WHITE = r"[\x20\x09-\x0D]"
 #: Text bytes that one vectorised step looks at; bounds a Python worker's memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -43,7 +43,13 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
                 out.write(file, file.relative_to(package.parent))
         context.addPyFile(str(archive))
         _SHIPPED.add(context.applicationId)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        # Workers live on; what a task used goes back.
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int]]:

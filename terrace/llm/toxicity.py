@@ -25,6 +25,8 @@ FUZZY_LENGTH = 5
 STEM_LENGTHS = (5, 7)
 #: Words on either side of a hit that are its context.
 WINDOW = 6
+#: Automaton states that a task keeps.
+LIVE_STATES = 5_000
 THRESHOLD = 0.3
 TOKEN = re.compile(r"[^\W_]+|[\"“”„«»]")
 QUOTES = frozenset("\"“”„«»")
@@ -61,8 +63,24 @@ class Automaton:
             self.term[node] = max(self.term.get(node, (0.0, False)), (weight, term.endswith("*")))
             if len(letters) < FUZZY_LENGTH:
                 self.short.add(node)
-        self.start = self._closed({(0, 0)})
-        self.steps: dict[tuple[frozenset, str], frozenset] = {}
+        #: States are numbered; a step leads from a number and a letter to a number, 0 being the empty state.
+        self.numbers: dict[frozenset, int] = {}
+        self.states: list[frozenset] = []
+        self.steps: dict[tuple[int, str], int] = {}
+        self._reset()
+
+    def _reset(self) -> None:
+        self.numbers.clear()
+        self.states.clear()
+        self.steps.clear()
+        self._number(frozenset())
+        self.start = self._number(self._closed({(0, 0)}))
+
+    def _number(self, state: frozenset[tuple[int, int]]) -> int:
+        found = self.numbers.setdefault(state, len(self.states))
+        if found == len(self.states):
+            self.states.append(state)
+        return found
 
     def _closed(self, states: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
         """Adds the states that a missing letter leads to."""
@@ -76,33 +94,34 @@ class Automaton:
                         open_states.append((child, used + 1))
         return frozenset(states)
 
-    def step(self, state: frozenset[tuple[int, int]], letter: str) -> frozenset[tuple[int, int]]:
-        found = self.steps.get((state, letter))
+    def step(self, number: int, letter: str) -> int:
+        found = self.steps.get((number, letter))
         if found is None:
             after = set()
-            for node, used in state:
+            for node, used in self.states[number]:
                 child = self.children[node].get(letter)
                 if child is not None:
                     after.add((child, used))
                 if used < self.edits:
                     after.add((node, used + 1))
                     after.update((c, used + 1) for c in self.children[node].values())
-            found = self._closed(after)
-            if len(self.steps) > 200_000:
-                self.steps.clear()
-            self.steps[state, letter] = found
+            found = self._number(self._closed(after))
+            self.steps[number, letter] = found
         return found
 
     def match(self, word: str) -> tuple[int, float] | None:
         """``(kind, weight)`` of the best term: kind 0 exact, 1 stem, 2 misspelt."""
-        state, stem = self.start, None
+        if len(self.states) > LIVE_STATES:
+            self._reset()
+        number, stem = self.start, None
         for letter in word:
-            state = self.step(state, letter)
-            if not state:
+            number = self.step(number, letter)
+            if not number:
                 break
-            for node, used in state:
+            for node, used in self.states[number]:
                 if used == 0 and node in self.term and self.term[node][1]:
                     stem = max(stem or 0.0, self.term[node][0])
+        state = self.states[number]
         exact = [self.term[n][0] for n, used in state if used == 0 and n in self.term and not self.term[n][1]]
         if exact:
             return 0, max(exact)
@@ -121,7 +140,7 @@ class Hits(dict):
 
     def __missing__(self, word: str):
         found = None if len(word) > 40 else self.automaton.match(word)
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = found
         return found
