@@ -19,7 +19,7 @@ from terrace.llm.common import body, map_batches
 
 END = "</w>"
 #: Entries of each of the two generations of a worker's word cache.
-CACHED_WORDS = 60_000
+CACHED_WORDS = 120_000
 #: Words of up to so many symbols are merged at once.
 SHORT = 64
 
@@ -204,11 +204,12 @@ class WordCache(dict):
 
     def __init__(self, merges: Merges):
         super().__init__()
-        self.merges, self.old = merges, {}
+        self.merges, self.old, self.decoder = merges, {}, Decoder(merges)
 
     def entry(self, ids: list[int]) -> tuple[bytes, bytes]:
-        decoder = Decoder(self.merges)
-        shown = decoder.feed(ids) + decoder.finish()
+        # A word ends with a whole character, so the decoder stands at its start again.
+        self.decoder.started = False
+        shown = self.decoder.feed(ids) + self.decoder.finish()
         return b"".join([i.to_bytes(4, "little") for i in ids]), shown.encode()
 
     def __missing__(self, word: str) -> tuple[bytes, bytes]:

@@ -18,8 +18,8 @@ from terrace.llm.common import body, map_batches, text_slices, words_of, written
 TRAINING_ROWS, DOMAINS = 8_000, 32
 #: Hashed word features.
 WIDTH = 1024
-#: Pull of the rates towards one; end of the fit.
-RIDGE, STEPS, CLOSE = 1e-3, 60, 1e-4
+#: Pull of the rates towards one; most steps, and the gap of a domain in shares of the mix that ends the fit.
+RIDGE, STEPS, CLOSE = 1e-3, 60, 1e-3
 
 
 def word_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,14 +116,15 @@ def rates_after(steps: list[list[float]], least: float) -> Column:
     return F.aggregate(F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in steps]), start, step)
 
 
-def fit_rates(parts: DataFrame, domains: list[str], targets: dict[str, float] | None, budget: float | None, least: float) -> list[list[float]]:
+def fit_rates(parts: DataFrame, domains: list[str], targets: dict[str, float] | None, budget: float | None, least: float, close: float = CLOSE) -> list[list[float]]:
     """Accelerated projected-gradient least squares over all documents; returns its steps.
 
     The loss is the squared gap between the expected and the wanted tokens of
     each domain, relative to the tokens it has, and a small pull of the rates
     towards one. A document's gradient depends on its posteriors and on one
     number per domain, so a step is one distributed sum, and the rates follow
-    from the list of residuals wherever they are needed.
+    from the list of residuals wherever they are needed. The fit ends when
+    every domain is as close as asked, or when steps no longer move the mix.
     """
     k = len(domains)
     held = [F.sum(F.col("tokens") * F.get("share", F.lit(i))).alias(f"s{i}") for i in range(k)]
@@ -140,11 +141,12 @@ def fit_rates(parts: DataFrame, domains: list[str], targets: dict[str, float] |
     want *= scale
     inverse = 1.0 / np.maximum(have, 1e-9)
     steps: list[list[float]] = []
-    got, speed = have, 1.0
+    got, speed, last = have, 1.0, None
     for _ in range(STEPS):
         gap = got - want
-        if np.abs(gap).max() < CLOSE * scale:
+        if np.abs(gap).max() < close * scale or (last is not None and np.abs(gap - last).max() < 0.02 * close * scale):
             break
+        last = gap
         faster = (1 + np.sqrt(1 + 4 * speed**2)) / 2
         steps.append([*(gap * inverse).tolist(), (speed - 1) / faster])
         speed = faster

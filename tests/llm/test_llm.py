@@ -283,7 +283,7 @@ def test_rates_are_the_least_squares_optimum(spark):
     rng = np.random.default_rng(0)
     share, tokens = rng.dirichlet([0.5, 0.5, 0.5], 50), rng.integers(1, 90, 50)
     parts = spark.createDataFrame([(i, int(t), s.tolist()) for i, (t, s) in enumerate(zip(tokens, share, strict=True))], "doc_id long, tokens long, share array<double>")
-    steps = mixing.fit_rates(parts, ["a", "b", "c"], {"a": 0.7, "b": 0.1, "c": 0.2}, 1.0, 0.0)
+    steps = mixing.fit_rates(parts, ["a", "b", "c"], {"a": 0.7, "b": 0.1, "c": 0.2}, 1.0, 0.0, close=1e-5)
     rates = np.array([r.rate for r in parts.withColumn("rate", mixing.rates_after(steps, 0.0)["rate"]).orderBy("doc_id").collect()])
     got = (tokens * rates) @ share / tokens.sum()
     assert rates.min() >= 0 and np.abs(got - [0.7, 0.1, 0.2]).max() < 0.005
