@@ -14,10 +14,10 @@ from terrace.llm.common import body, map_batches, mix64, text_slices, words_of,
 from terrace.operators.dedup import component_labels
 
 #: Values that a sketch retains.
-RETAINED = 24
+RETAINED = 48
 #: Two sets at the similarity bound share so many retained values at least, but for one pair in a billion
-#: (the chance of 5 or fewer hits in 24 draws at 0.8 is 7e-10; it falls fast with the similarity).
-SHARED = 6
+#: (the chance of 19 or fewer hits in 48 draws at 0.8 is 1e-9; it falls fast with the similarity).
+SHARED = 20
 WORDS, SIMILARITY = 5, 80
 #: Lists of up to so many entries are paired as they are; longer ones only through the rarest shingles of the whole sets.
 SHORT_LIST = 16
