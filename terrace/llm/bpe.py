@@ -6,6 +6,7 @@ import codecs
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -22,6 +23,7 @@ END = "</w>"
 CACHED_WORDS = 120_000
 #: Words of up to so many symbols are merged at once.
 SHORT = 64
+NO_RULE = 1 << 62
 
 _SPACE = "\t-\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPACES = regex.compile(f"[{_SPACE}]+")
@@ -54,11 +56,11 @@ class Merges:
         self.first = [vocab[c] for c in letters]
         self.last = [vocab[c + END] for c in letters]
         self.size = {i: len(t.removesuffix(END)) for t, i in vocab.items()}
-        #: ``left << 20 | right`` to (rank, product).
-        self.rules: dict[int, tuple[int, int]] = {}
+        #: ``left << 20 | right`` to ``rank << 20 | product``.
+        self.rules: dict[int, int] = {}
         for rank, pair in enumerate(data["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.rules[vocab[a] << 20 | vocab[b]] = (rank, vocab[a + b])
+            self.rules[vocab[a] << 20 | vocab[b]] = rank << 20 | vocab[a + b]
         self.lookahead = self.sufficient_lookahead()
         self.special_pattern = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
         back = {c: b for b, c in enumerate(letters)}
@@ -77,8 +79,8 @@ class Merges:
         left: dict[int, int] = {}
         anywhere: dict[int, int] = {}
         reach = 1
-        for key, (_, product) in sorted(self.rules.items(), key=lambda r: r[1][0]):
-            a, b = key >> 20, key & 0xFFFFF
+        for key, rule in sorted(self.rules.items(), key=lambda r: r[1]):
+            a, b, product = key >> 20, key & 0xFFFFF, rule & 0xFFFFF
             far = max(self.size[a] + self.size[b], left.get(b, 0) + self.size[a], anywhere.get(a, 0))
             for t in (a, product):
                 left[t] = max(left.get(t, 0), far)
@@ -92,21 +94,21 @@ class Merges:
         if len(symbols) > SHORT:
             return self._merge_long(symbols)
         get = self.rules.get
-        while len(symbols) > 1:
-            best, at = None, 0
-            for i in range(len(symbols) - 1):
-                found = get(symbols[i] << 20 | symbols[i + 1])
-                if found is not None and (best is None or found < best):
-                    best, at = found, i
-            if best is None:
-                break
-            symbols[at : at + 2] = [best[1]]
+        found = [get(a << 20 | b, NO_RULE) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while found and (best := min(found)) != NO_RULE:
+            at = found.index(best)
+            symbols[at : at + 2] = [best & 0xFFFFF]
+            del found[at]
+            if at:
+                found[at - 1] = get(symbols[at - 1] << 20 | symbols[at], NO_RULE)
+            if at < len(found):
+                found[at] = get(symbols[at] << 20 | symbols[at + 1], NO_RULE)
         return symbols
 
     def _merge_long(self, symbols: list[int]) -> list[int]:
         n, get = len(symbols), self.rules.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(found[0], i, symbols[i], symbols[i + 1], found[1]) for i in range(n - 1) if (found := get(symbols[i] << 20 | symbols[i + 1]))]
+        heap = [(found >> 20, i, symbols[i], symbols[i + 1], found & 0xFFFFF) for i in range(n - 1) if (found := get(symbols[i] << 20 | symbols[i + 1]))]
         heapq.heapify(heap)
         while heap:
             _, i, a, b, product = heapq.heappop(heap)
@@ -119,7 +121,7 @@ class Merges:
                 before[after[j]] = i
             for left in (before[i], i):
                 if left >= 0 and (right := after[left]) < n and (found := get(symbols[left] << 20 | symbols[right])):
-                    heapq.heappush(heap, (found[0], left, symbols[left], symbols[right], found[1]))
+                    heapq.heappush(heap, (found >> 20, left, symbols[left], symbols[right], found & 0xFFFFF))
         return [s for s in symbols if s >= 0]
 
     def stream(self, chunks: Iterable[str]) -> Iterator[int]:
@@ -210,7 +212,7 @@ class WordCache(dict):
         # A word ends with a whole character, so the decoder stands at its start again.
         self.decoder.started = False
         shown = self.decoder.feed(ids) + self.decoder.finish()
-        return b"".join([i.to_bytes(4, "little") for i in ids]), shown.encode()
+        return struct.pack(f"<{len(ids)}I", *ids), shown.encode()
 
     def __missing__(self, word: str) -> tuple[bytes, bytes]:
         if len(word) > SHORT:
