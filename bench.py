@@ -14,6 +14,9 @@ HEADLINE = [
     "parse_normalize_text", "parse_places", "dedup_exact", "repeat_levels", "components_compose", "filter_group_minimum",
     "eda_state_type_median", "eda_describe", "agg_missingness_by_group", "agg_ecdf", "fold_balanced", "encode_target_oof",
     "eval_regression_metrics", "eval_tail_segments", "geo_radius_counts",
+    # Since round 2.
+    "quality_validity_audit", "model_oof_ridge", "model_oof_boosting", "text_tfidf", "encode_micro_market_oof", "geo_nearest",
+    "eval_bootstrap_intervals",
 ]
 
 

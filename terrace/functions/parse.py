@@ -139,32 +139,40 @@ def normalize_text(c: Column) -> Column:
 
 
 def extract_state(address: Column) -> Column:
-    """First listed state named in the address as whole words."""
-    result = None
-    for state in STATES:
-        hit = address.rlike(rf"(?i)\b{state}\b")
-        label = F.lit(STATE_ALIASES.get(state, state))
-        result = F.when(hit, label) if result is None else result.when(hit, label)
-    return result.otherwise(F.lit("Unknown"))
+    """First listed state named in the address as whole words.
+
+    One pass finds a name at every place (the look-ahead lets names overlap);
+    the one that the list has first wins.
+    """
+    found = F.regexp_extract_all(address, F.lit(rf"(?i)\b(?=({'|'.join(STATES)})\b)"), F.lit(1))
+    known = F.array(*[F.lit(s.lower()) for s in STATES])
+    first = F.array_min(F.transform(found, lambda x: F.array_position(known, F.lower(x)))).cast("int")
+    return F.coalesce(F.get(F.array(*[F.lit(STATE_ALIASES.get(s, s)) for s in STATES]), first - 1), F.lit("Unknown"))
 
 
 def extract_city(address: Column) -> Column:
     """Locality label: last address part that is neither a state nor a number."""
     text = strip(F.regexp_replace(address, _SPACES, " "))
-    state = extract_state(text)
-    parts = F.filter(F.transform(F.split(text, ","), strip), lambda p: p != "")
     names = [s.lower() for s in STATES]
-    places = F.filter(parts, lambda p: ~F.lower(p).isin(*names) & ~p.rlike(r"^[0-9]+$"))
-    city = F.element_at(places, -1)
-    is_street = reduce(lambda a, b: a | b, [F.lower(city).startswith(p) for p in STREET_PREFIXES])
+    parts = F.filter(F.transform(F.split(text, ","), strip), lambda p: p != "")
     alias = F.create_map(*[F.lit(x) for pair in CITY_ALIASES.items() for x in pair])
-    return (
-        F.when(text.isNull() | (text == ""), F.lit("Unknown"))
-        .when(state.isin(*FEDERAL_TERRITORIES), state)
-        .when(F.size(places) == 0, state)
-        .when((F.size(parts) <= 2) & is_street, state)
-        .otherwise(F.coalesce(F.try_element_at(alias, F.lower(city)), city))
-    )
+
+    def choose(found: Column) -> Column:
+        state, count, places = found["state"], F.size(found["parts"]), found["places"]
+        city = F.try_element_at(places, F.lit(-1))
+        is_street = reduce(lambda a, b: a | b, [F.lower(city).startswith(p) for p in STREET_PREFIXES])
+        return (
+            F.when(state.isin(*FEDERAL_TERRITORIES), state)
+            .when(F.size(places) == 0, state)
+            .when((count <= 2) & is_street, state)
+            .otherwise(F.coalesce(F.try_element_at(alias, F.lower(city)), city))
+        )
+
+    # State and parts are found once and named in the rule.
+    places = F.filter(parts, lambda p: ~F.lower(p).isin(*names) & ~p.rlike(r"^[0-9]+$"))
+    found = F.struct(extract_state(text).alias("state"), parts.alias("parts"), places.alias("places"))
+    chosen = F.get(F.transform(F.array(found), choose), F.lit(0))
+    return F.when(text.isNull() | (text == ""), F.lit("Unknown")).otherwise(chosen)
 
 
 def text_length(c: Column) -> Column:
