@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,8 +19,8 @@ from terrace.llm.common import body, map_batches, text_slices, words_of, written
 TRAINING_ROWS, DOMAINS = 8_000, 32
 #: Hashed word features.
 WIDTH = 1024
-#: Pull of the rates towards one; most steps, and the gap of a domain in shares of the mix that ends the fit.
-RIDGE, STEPS, CLOSE = 1e-3, 60, 1e-3
+#: Pull of the rates towards one at first and at last, and the gap of a domain in shares of the mix that counts as met.
+RIDGE, LEAST_RIDGE, CLOSE = 1e-3, 1e-10, 1e-4
 
 
 def word_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,63 +98,127 @@ def memberships(docs: DataFrame, model: DomainModel, carried: str) -> DataFrame:
     return map_batches(docs.select(carried, body().alias("text")), score, f"{carried} {kind}, tokens long, share array<double>")
 
 
-def rates_after(steps: list[list[float]], least: float) -> Column:
-    """``rate`` and ``look`` (the accelerated point the next residual is taken at) after the steps.
+@dataclass
+class Fit:
+    """Steps of one number per domain, from which every rate follows, and what is left of each target (got - wanted, in shares of the mix)."""
 
-    A step holds the scaled residual of every domain, then its momentum.
-    """
-    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("look"))
-    if not steps:
+    steps: list[list[float]]
+    gaps: dict[str, float]
+
+
+def rates_after(fit: Fit, least: float) -> Column:
+    """``rate``: one, less the gradient of each step in turn, projected to ``least`` and above."""
+    start = F.struct(F.lit(1.0).alias("rate"))
+    if not fit.steps:
         return start
-    pace = 1.0 / (1.0 + RIDGE)
 
     def step(at: Column, told: Column) -> Column:
         slope = F.aggregate(F.zip_with("share", told, lambda p, r: F.coalesce(p * r, F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
-        # The momentum stands behind the residuals, where the shares have ended.
-        after = F.greatest(F.lit(float(least)), at["look"] - pace * (slope + RIDGE * (at["look"] - 1.0)))
-        return F.struct(after.alias("rate"), (after + F.element_at(told, -1) * (after - at["rate"])).alias("look"))
+        return F.struct(F.greatest(F.lit(float(least)), at["rate"] - slope).alias("rate"))
 
-    return F.aggregate(F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in steps]), start, step)
+    return F.aggregate(F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in fit.steps]), start, step)
 
 
-def fit_rates(parts: DataFrame, domains: list[str], targets: dict[str, float] | None, budget: float | None, least: float, close: float = CLOSE) -> list[list[float]]:
-    """Accelerated projected-gradient least squares over all documents; returns its steps.
+def measured(parts: DataFrame, k: int, steps: list[np.ndarray], least: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """One distributed sum: the documents' part of the last step's dual loss, the tokens of each domain after it, and the curvature (documents above ``least``)."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 + k + k * k)
+        for batch in batches:
+            weight = batch.column("tokens").to_numpy(zero_copy_only=False).astype(float)
+            share = batch.column("share").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            rate = np.ones(len(weight))
+            for step in steps[:-1]:
+                rate = np.maximum(least, rate - share @ step)
+            slope = share @ steps[-1]
+            above = np.maximum(0.0, rate - slope - least)
+            free = share[above > 0]
+            out[0] += weight @ (above * above / 2 - least * slope)
+            out[1 : k + 1] += (weight * (least + above)) @ share
+            out[k + 1 :] += (free.T @ (weight[above > 0, None] * free)).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    rows = map_batches(parts.select("tokens", "share"), sums, "sums array<double>").select(F.posexplode("sums").alias("at", "part"))
+    out = np.zeros(1 + k + k * k)
+    for r in rows.groupBy("at").agg(F.sum("part").alias("part")).collect():
+        out[r["at"]] = r["part"]
+    return out[0], out[1 : k + 1], out[k + 1 :].reshape(k, k)
+
+
+def fit_rates(parts: DataFrame, domains: list[str], targets: dict[str, float] | None, budget: float | None, least: float, close: float = CLOSE, least_ridge: float = RIDGE) -> Fit:
+    """Projected-gradient least squares over all documents.
 
     The loss is the squared gap between the expected and the wanted tokens of
     each domain, relative to the tokens it has, and a small pull of the rates
     towards one. A document's gradient depends on its posteriors and on one
-    number per domain, so a step is one distributed sum, and the rates follow
-    from the list of residuals wherever they are needed. The fit ends when
-    every domain is as close as asked, or when steps no longer move the mix.
+    number per domain: its rate is the projection of one less the sum of all
+    moves, so only that sum is kept, and a move is one distributed sum. Moves
+    are scaled by the curvature of the documents that the bound doesn't hold,
+    and halved until the loss falls; they end when the projected gradient is a
+    tenth of ``close``. While targets are missed, a further step follows, with
+    a tenth of the pull and towards the rates of the step before, down to
+    ``least_ridge`` (by default there is one step). The fit ends with the first step that comes within
+    ``close`` of the least gap, so targets that can't be met don't heap the
+    mix on few documents. The gaps are returned.
     """
     k = len(domains)
     held = [F.sum(F.col("tokens") * F.get("share", F.lit(i))).alias(f"s{i}") for i in range(k)]
     row = parts.agg(F.sum("tokens").alias("all"), *held).first()
     if not row["all"]:
-        return []
+        return Fit([], {})
     have = np.array([row[f"s{i}"] for i in range(k)]) / row["all"]
     want = np.array([max(0.0, (targets or {}).get(d, 0.0 if targets else 1.0)) for d in domains])
     want = np.where(have > 1e-9, want, 0.0)
     if want.sum() == 0:
-        return []
+        return Fit([], {})
     want /= want.sum()
     scale = budget if budget is not None else float(max(h / w for h, w in zip(have, want, strict=True) if w > 0))
     want *= scale
-    inverse = 1.0 / np.maximum(have, 1e-9)
-    steps: list[list[float]] = []
-    got, speed, last = have, 1.0, None
-    for _ in range(STEPS):
-        gap = got - want
-        if np.abs(gap).max() < close * scale or (last is not None and np.abs(gap - last).max() < 0.02 * close * scale):
+    floor = np.maximum(have, 1e-9)
+
+    def at(point: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+        loss, got, curve = measured(parts, k, [*steps, point], least)
+        return point, loss / row["all"] + want @ point, got / row["all"] - want, curve / row["all"]
+
+    ridge = RIDGE
+    steps: list[np.ndarray] = []
+    gaps: list[np.ndarray] = []
+    while True:
+        now = at(np.zeros(k))
+        while True:
+            point, loss, gap, curve = now
+            slope = gap - ridge * floor * point
+            if np.abs(slope).max() < 0.1 * close * scale:
+                break
+            loss += ridge / 2 * floor @ point**2
+            step = np.linalg.solve(curve + ridge * np.diag(floor), slope)
+            gain, size = slope @ step, 1.0
+            # Below this the gain is lost in the rounding of the loss.
+            while size * gain > 1e-13 * (1 + abs(loss)):
+                trial = at(point + size * step)
+                if trial[1] + ridge / 2 * floor @ trial[0] ** 2 <= loss - 0.1 * size * gain:
+                    break
+                size /= 2
+            else:
+                break
+            now = trial
+        steps.append(point)
+        gaps.append(gap)
+        if np.abs(gap).max() < close * scale or ridge <= least_ridge:
             break
-        last = gap
-        faster = (1 + np.sqrt(1 + 4 * speed**2)) / 2
-        steps.append([*(gap * inverse).tolist(), (speed - 1) / faster])
-        speed = faster
-        rated = parts.withColumn("look", rates_after(steps, least)["look"])
-        sums = rated.agg(*[F.sum(F.col("look") * F.col("tokens") * F.get("share", F.lit(i))).alias(f"s{i}") for i in range(k)]).first()
-        got = np.array([sums[f"s{i}"] for i in range(k)]) / row["all"]
-    return steps
+        ridge /= 10
+    worst = [np.abs(g).max() for g in gaps]
+    last = next(i for i, w in enumerate(worst) if w < close * scale or w <= min(worst) + close * scale)
+    return Fit([p.tolist() for p in steps[: last + 1]], dict(zip(domains, (gaps[last] / scale).tolist(), strict=True)))
+
+
+def meeting_rates(parts: DataFrame, domains: list[str], targets: dict[str, float] | None, budget: float | None, least: float) -> Fit:
+    """The fit with a pull that shrinks until all targets are met; warns of those that no rates meet."""
+    fit = fit_rates(parts, domains, targets, budget, least, least_ridge=LEAST_RIDGE)
+    missed = {d: round(g, 5) for d, g in fit.gaps.items() if abs(g) >= CLOSE}
+    if missed:
+        warnings.warn(f"mixing: targets missed by these shares of the mix: {missed}", stacklevel=3)
+    return fit
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -169,6 +234,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     wanted size of the mix in sizes of the input; without one it is the least
     at which no domain shrinks. Without ``targets`` all domains weigh alike; a
     domain that no text belongs to, or that ``targets`` leaves out, gets none.
+    Targets that no rates meet are warned of, with the gaps left.
 
     Null and empty texts have no tokens; their posteriors are the domains'
     shares of the labels. Repeated rows and null ids are rated like others;
@@ -176,8 +242,8 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     """
     model = fit_domains(docs, labelled)
     parts = written(memberships(docs, model, "doc_id"), "memberships")
-    steps = fit_rates(parts, model.domains, targets, budget, least)
-    rated = parts.withColumn("rate", rates_after(steps, least)["rate"])
+    fit = meeting_rates(parts, model.domains, targets, budget, least)
+    rated = parts.withColumn("rate", rates_after(fit, least)["rate"])
     top = F.array_max("share")
     return rated.select(
         "doc_id", F.col("tokens").alias("n_tokens"), F.get(F.lit(model.domains), F.array_position("share", top).cast("int") - 1).alias("domain"),
@@ -189,7 +255,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     """The documents, each as often as its rate says, with all their columns. By default none goes."""
     model = fit_domains(docs, labelled)
     parts = written(memberships(docs.select("doc_id", "text"), model, "doc_id"), "memberships")
-    steps = fit_rates(parts, model.domains, targets, budget, least)
+    fit = meeting_rates(parts, model.domains, targets, budget, least)
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    rated = memberships(rows, model, "_row").withColumn("_n", copies(rates_after(steps, least)["rate"], F.col("_row.doc_id")))
+    rated = memberships(rows, model, "_row").withColumn("_n", copies(rates_after(fit, least)["rate"], F.col("_row.doc_id")))
     return rated.where("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), "_n"))).select("_row.*")

@@ -294,6 +294,25 @@ def test_rates_are_the_least_squares_optimum(spark):
     assert np.abs(plain - rates).max() < 0.15
 
 
+def test_soft_posteriors_meet_their_targets(spark):
+    """Production settings; every document belongs to every domain in part."""
+    rng = np.random.default_rng(1)
+    share, tokens, wanted = rng.dirichlet([5, 5, 5], 2000), rng.integers(1, 90, 2000), {"a": 0.7, "b": 0.1, "c": 0.2}
+    parts = spark.createDataFrame([(i, int(t), s.tolist()) for i, (t, s) in enumerate(zip(tokens, share, strict=True))], "doc_id long, tokens long, share array<double>")
+
+    def shares(fit, least):
+        rates = np.array([r.rate for r in parts.withColumn("rate", mixing.rates_after(fit, least)["rate"]).orderBy("doc_id").collect()])
+        assert rates.min() >= least
+        return (tokens * rates) @ share / tokens.sum()
+
+    fit = mixing.meeting_rates(parts, ["a", "b", "c"], wanted, 1.0, 0.0)
+    assert np.abs(shares(fit, 0.0) - [0.7, 0.1, 0.2]).max() < 2e-4 and max(map(abs, fit.gaps.values())) < 1e-4
+    # No rates of one and above meet these: the gap that is left is told.
+    with pytest.warns(UserWarning, match="targets missed"):
+        fit = mixing.meeting_rates(parts, ["a", "b", "c"], wanted, 1.0, 1.0)
+    assert np.allclose(shares(fit, 1.0) - [0.7, 0.1, 0.2], list(fit.gaps.values()), atol=1e-9) and max(map(abs, fit.gaps.values())) > 0.1
+
+
 def test_ordinal_slopes_and_grades(spark):
     rng = np.random.default_rng(3)
     score, grade, cuts = rng.normal(size=40), rng.integers(0, 3, 40), np.array([-0.3, 0.8])
