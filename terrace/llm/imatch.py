@@ -16,6 +16,8 @@ SUBSETS = 16
 DENSITIES = (32, 128, 512, 2048)
 #: The band: terms in at least and at most this share of the documents.
 RAREST, COMMONEST = 0.0002, 0.01
+#: A text with fewer terms in the band has its band widened upwards, by doubling, until it has so many.
+FEW = 16
 #: More lexicon terms than this are not broadcast. The lexicon holds at most (distinct terms in a document, on average) / RAREST.
 LEXICON_LIMIT = 20_000_000
 LOWEST = -(1 << 63)
@@ -45,7 +47,10 @@ def held_terms(terms: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST) -> DataFrame:
-    """Terms inside the document-frequency band, as ``term``.
+    """Terms from the lower limit of the document-frequency band on, as ``term, level``.
+
+    ``level`` 0 is the band; the terms of level k are in at most ``2**k``
+    times its upper limit of the documents.
 
     The lower limit bounds the table: the frequencies of its terms sum to no
     more than all distinct terms of all documents, and each is at least
@@ -54,7 +59,7 @@ def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONES
     total = docs.count()
     low, high = max(2, math.ceil(rarest * total)), max(2, math.floor(commonest * total))
     terms = docs.select(F.explode(held_terms(term_hashes(body()))).alias("term"))
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(low, high)).select("term")
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= low).select("term", F.ceil(F.log2(F.greatest(F.col("n") / high, F.lit(1.0)))).cast("int").alias("level"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -91,6 +96,13 @@ def bind(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def near_band(terms: Column) -> Column:
+    """The known terms of both sides in the narrowest band that holds ``FEW`` of the text's own, or else all it has."""
+    own = F.array_sort(F.transform(F.filter(terms, lambda t: t["sides"].bitwiseAND(F.lit(1)) > 0), lambda t: t["level"]))
+    widest = bind(own, lambda x: F.coalesce(F.get(x, F.least(F.size(x), F.lit(FEW)) - 1), F.lit(0)))
+    return bind(widest, lambda top: F.filter(terms, lambda t: t["level"] <= top))
+
+
 def subset_hashes(terms: Column, side: int) -> Column:
     """One hash per subset over its sorted terms on one side; null where it has none."""
     own = F.transform(F.filter(F.array_sort(terms), lambda t: t["sides"].bitwiseAND(F.lit(side)) > 0), lambda t: t["term"])
@@ -131,7 +143,10 @@ def fingerprints(docs: DataFrame, rarest: float = RAREST, commonest: float = COM
 
     Each subset holds a random share of all terms by hash; its fingerprint is
     the hash of the document's sorted distinct terms that lie in the subset
-    and in the frequency band. Four densities serve short and long texts.
+    and in the frequency band. Four densities serve short and long texts. Terms
+    of a large group of copies lie above the band: a text with fewer than
+    ``FEW`` terms in it takes the rarest known ones above, for itself and for
+    its edited form.
 
     Null texts count as empty; texts without lexicon terms are alike only when
     their term sets are equal. A null ``doc_id`` comes last. Repeated rows are
@@ -169,11 +184,11 @@ def fingerprints(docs: DataFrame, rarest: float = RAREST, commonest: float = COM
     both = F.concat(marked(F.array_intersect("own", "new"), 3), marked(F.array_except("own", "new"), 1), marked(F.array_except("new", "own"), 2))
     kept = ("bucket", "row", "doc_id", "guest", "n_chars", "edited_sha256", "own_plain", "edited_plain")
     flat = tagged.select(*kept, F.explode_outer(both).alias("t")).select(*kept, "t.term", "t.sides")
-    known = F.broadcast(terms.withColumn("known", F.lit(True)))
+    known = F.broadcast(terms)
     held = flat.join(known, "term", "left").groupBy("bucket", "row").agg(
         *[F.first(c).alias(c) for c in ("doc_id", "guest", "n_chars", "edited_sha256", "own_plain", "edited_plain")],
-        F.collect_list(F.when(F.col("known"), F.struct("term", "sides"))).alias("terms"),
-    )
+        F.collect_list(F.when(F.col("level").isNotNull(), F.struct("term", "sides", "level"))).alias("terms"),
+    ).withColumn("terms", near_band(F.col("terms")))
     hashed = held.select("*", subset_hashes(F.col("terms"), 1).alias("own_hashes"), subset_hashes(F.col("terms"), 2).alias("edited_hashes")).drop("terms")
 
     shown_rows = hashed.select("*", printed("own").alias("own_print"), printed("edited").alias("edited_print"))

@@ -356,3 +356,21 @@ def test_edited_texts_and_fingerprints(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert all(led[i] == (texts[after] or "") for i, after in zip(ids, ids[1:] + ids[:1], strict=True))
     assert imatch.fingerprints(odd(spark)).count() == 12 and imatch.fingerprints(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_in_a_large_group_of_near_copies(spark):
+    """A third of the rows are near copies, so that all their terms lie above the band."""
+    rng = random.Random(5)
+    base = " ".join(f"base{i}" for i in range(90)).split()
+    texts = []
+    for i in range(120):
+        if i < 40:
+            words = list(base)
+            words[rng.randrange(30)] = f"odd{i}"
+            texts.append(" ".join(words))
+        else:
+            texts.append(" ".join(f"w{rng.randrange(900)}" for _ in range(90)))
+    rows = {r.doc_id: r for r in imatch.fingerprints(table(spark, texts), rarest=0.001, commonest=0.1).collect()}
+    inside = [rows[i] for i in range(1, 40)]
+    assert min(r.near_next for r in inside) > 0.7 and min(r.near_edited for r in inside) > 0.2
+    assert max(rows[i].near_next for i in range(41, 120)) < 0.3
