@@ -64,11 +64,11 @@ def extended_metrics(scored: DataFrame, by: list[str]) -> DataFrame:
 def tail_segments(scored: DataFrame, row_id: str = "listing_id") -> DataFrame:
     """Rows repeated for each tail segment they lie in; edges from all actuals.
 
-    Segments overlap: the top 5% contains the other two tail segments. Every
-    model scores the same rows, so the first model has the actuals once.
+    Segments overlap: the top 5% contains the other two tail segments. Each row
+    id counts once for the edges, whichever models score it.
     """
-    one_model = scored.join(F.broadcast(scored.agg(F.min("model").alias("_first"))), F.col("model") == F.col("_first")).select(row_id, "actual")
-    edges = quantiles(one_model, [], "actual", {"_p95": 0.95, "_p99": 0.99})
+    actuals = scored.groupBy(row_id).agg(F.max("actual").alias("actual"))
+    edges = quantiles(actuals, [], "actual", {"_p95": 0.95, "_p99": 0.99})
     a = F.col("actual")
     names = F.array(
         F.when(a < F.col("_p95"), F.lit("remaining_95")), F.when(a >= F.col("_p95"), F.lit("top_5")),

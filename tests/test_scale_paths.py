@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terrace.operators import dedup, encode, geo, joins, models, order, quality, skew
+from terrace.operators import dedup, encode, evaluate, geo, joins, models, order, quality, skew
 
 
 @pytest.fixture
@@ -181,3 +181,10 @@ def test_rows_with_missing_features_are_scored(spark):
     classifier = models.fit_premium_classifier(frame, ["size", "rooms"], "premium", maxIter=2)
     scored = models.premium_probability(frame, classifier)
     assert scored.count() == 200 and scored.where("probability is null").count() == 0 and "size" in scored.columns
+
+
+def test_tail_edges_count_every_id_once(spark):
+    """The first model lacks most rows and repeats one."""
+    rows = [("a", 0, 0.0)] * 3 + [("b", i, float(i)) for i in range(101)]
+    edges = evaluate.tail_segments(spark.createDataFrame(rows, "model string, listing_id long, actual double")).select("p95_threshold", "p99_threshold").distinct().collect()
+    assert [tuple(r) for r in edges] == [(95.0, 99.0)]
