@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import bpe, chat, exact, imatch, minhash, mixing, quality, suffix, tokencount, toxicity
+from terrace.llm import bpe, chat, exact, imatch, minhash, mixing, quality, suffix, tokencount, toxicity, winnow
 from terrace.llm.common import read
 
 #: The public vocabulary files; operators take a file's path as a parameter.
@@ -109,3 +109,20 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_document_fingerprints")
 def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return imatch.fingerprints(read(spark, folder, "documents"))
+
+
+@query("op13_benchmark_decontamination", r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM benchmark),
+bw AS (SELECT item_id, ws, least(len(ws), 10) AS n, unnest(generate_series(1, len(ws) - least(len(ws), 10) + 1)) AS i FROM b WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS words FROM bw),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT k, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM d JOIN sizes ON len(ws) >= n),
+hit AS (SELECT k, i, n, item_id FROM (SELECT k, i, n, array_to_string(ws[i:i + n - 1], ' ') AS words FROM dw) JOIN win USING (n, words)),
+pos AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(generate_series(i, i + n - 1)) AS p FROM hit) GROUP BY k),
+its AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY k)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+ sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (k) LEFT JOIN its USING (k)""")
+def op13_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return winnow.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
