@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import bpe, chat, exact, imatch, minhash, mixing, quality, suffix, tokencount, toxicity, winnow
+from terrace.llm import bpe, chat, exact, imatch, minhash, mixing, quality, suffix, tokencount, toxicity, whiten, winnow
 from terrace.llm.common import read
+from terrace.llm.vectors import floored, usable
 
 #: The public vocabulary files; operators take a file's path as a parameter.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -111,6 +112,12 @@ def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return imatch.fingerprints(read(spark, folder, "documents"))
 
 
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "embeddings").where(usable("embedding"))
+    return whiten.whiten(rows.select("vec_id", floored("embedding").alias("x")))
+
+
 @query("op13_benchmark_decontamination", r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM benchmark),
