@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import bpe, chat, exact, imatch, minhash, mixing, quality, suffix, tokencount, toxicity, whiten, winnow
+from terrace.llm import bpe, chat, exact, imatch, minhash, mixing, negatives, quality, suffix, tokencount, toxicity, whiten, winnow
 from terrace.llm.common import read
 from terrace.llm.vectors import floored, usable
 
@@ -112,6 +112,13 @@ def op10_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return imatch.fingerprints(read(spark, folder, "documents"))
 
 
+@query("op11_hard_negatives")
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "embeddings").where(usable("embedding"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.select("vec_id", label.alias("label"), floored("embedding").alias("x"), (F.col("vec_id") % 100 == 0).alias("anchor")))
+
+
 @query("op12_embedding_whitening")
 def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "embeddings").where(usable("embedding"))
