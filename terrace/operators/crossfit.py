@@ -10,7 +10,7 @@ for all folds, and every penalty is solved from those small matrices.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from terrace.operators.encode import category
 from terrace.operators.folds import hash_fold
-from terrace.operators.order import quantiles
+from terrace.operators.order import PERCENTILE_ROWS, quantiles
 from terrace.operators.skew import attach
 from terrace.session import durable
 
@@ -46,6 +46,10 @@ class Encoded:
     def features(self) -> list[str]:
         return [*self.numeric, *[f"{c}_te" for c in self.categorical]]
 
+    def columns(self, k: int) -> list[Column]:
+        """The features of fold ``k``'s job as expressions over the table."""
+        return [*[number(c, self.medians[k - 1][c]) for c in self.numeric], *[F.get(f"_te_{c}", F.lit(k - 1)) for c in self.categorical]]
+
     def view(self, k: int) -> DataFrame:
         """All rows with the features they have in fold ``k``'s job; missing numbers are the training median."""
         filled = {c: number(c, self.medians[k - 1][c]) for c in self.numeric}
@@ -63,25 +67,32 @@ def number(c: str, missing: float) -> Column:
     return F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(missing))
 
 
-def combined(cells: Column) -> tuple[Column, Column, Column]:
-    """Count, mean and population variance of some (n, m, v) cells; nothing is subtracted."""
-    n = F.aggregate(cells, F.lit(0).cast("long"), lambda t, c: t + c["n"])
-    mean = F.when(n > 0, F.aggregate(cells, F.lit(0.0), lambda t, c: t + c["n"] * c["m"]) / n)
-    spread = F.aggregate(cells, F.lit(0.0), lambda t, c: t + c["n"] * (c["v"] + F.pow(c["m"] - F.coalesce(mean, F.lit(0.0)), F.lit(2.0))))
-    return n, mean, F.when(n > 0, spread / n)
+def merged(cells: Column) -> Column:
+    """Count, mean and sum of squared deviations of some (n, m, v) cells; nothing is subtracted but means."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("d"))
+
+    def add(t: Column, c: Column) -> Column:
+        n, gap = t["n"] + c["n"], c["m"] - t["m"]
+        share = F.when(n > 0, c["n"] / n).otherwise(F.lit(0.0))
+        return F.struct(n.alias("n"), (t["m"] + gap * share).alias("m"), (t["d"] + c["n"] * c["v"] + gap * gap * t["n"] * share).alias("d"))
+
+    return F.aggregate(cells, zero, add)
+
 
+def bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-def shrunk(n: Column, mean: Column, var: Column, all_mean: float, all_var: float) -> Column:
+
+def shrunk(total: Column, job: Column) -> Column:
     """Empirical-Bayes mean of a category; that of all rows where the category has none."""
-    if not all_var:
-        return F.lit(all_mean)
-    share = F.lit(all_var) * n
-    weight = share / (share + var)
-    return F.when(n > 0, weight * mean + (1 - weight) * F.lit(all_mean)).otherwise(F.lit(all_mean))
+    share = job["var"] * total["n"]
+    weight = share / (share + total["d"] / total["n"])
+    return F.when((total["n"] > 0) & (job["var"] > 0), weight * total["m"] + (1 - weight) * job["mean"]).otherwise(job["mean"])
 
 
-def overall_moments(cells: list, fold: int, inner: int | None) -> tuple[float, float]:
-    """Mean and variance of the target outside a fold, and outside an inner fold."""
+def overall_moments(cells: list, fold: int, inner: int) -> tuple[float, float]:
+    """Mean and variance of the target outside a fold, and outside an inner fold (0: none)."""
     some = [(c.n, c.m, c.v) for c in cells if c.f != fold and c.i != inner and c.n]
     n = sum(c[0] for c in some)
     if not n:
@@ -98,14 +109,20 @@ def with_fold_encodings(df: DataFrame, column: str, fold: str, folds: int, overa
     # folds x INNER cells a category at most.
     listed = cells.groupBy("_category").agg(F.collect_list(F.struct("f", "i", "n", "m", "v")).alias("_cells"), F.sum("rows").alias("_rows"))
 
-    def value(k: int, j: int | None) -> Column:
-        others = F.filter("_cells", lambda c: (c["f"] != k) & (F.lit(True) if j is None else c["i"] != j))
-        return shrunk(*combined(others), *overall_moments(overall, k, j))
-
     # Entry 0 of a fold is for its held-out rows, entry j for training rows of inner fold j.
-    table = F.array(*[F.array(*[value(k, j) for j in (None, *range(1, INNER + 1))]) for k in range(1, folds + 1)])
-    joined = attach(tagged, listed.select("_category", table.alias("_values"), "_rows"), ["_category"], "_rows")
-    own = F.array(*[F.get(F.get("_values", F.lit(k - 1)), F.when(F.col(fold) == k, 0).otherwise(F.col("_inner"))) for k in range(1, folds + 1)])
+    jobs = []
+    for k in range(1, folds + 1):
+        for j in (0, *range(1, INNER + 1)):
+            mean, var = overall_moments(overall, k, j)
+            jobs.append(F.struct(F.lit(k).alias("k"), F.lit(j).alias("j"), F.lit(mean).alias("mean"), F.lit(var).alias("var")))
+
+    def value(job: Column) -> Column:
+        others = F.filter("_cells", lambda c: (c["f"] != job["k"]) & (c["i"] != job["j"]))
+        return bind(merged(others), lambda total: shrunk(total, job))
+
+    joined = attach(tagged, listed.select("_category", F.transform(F.array(*jobs), value).alias("_values"), "_rows"), ["_category"], "_rows")
+    inner = lambda k: F.when(F.col(fold) == k + 1, 0).otherwise(F.col("_inner"))
+    own = F.transform(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: F.get(F.col("_values"), k * (INNER + 1) + inner(k)))
     return joined.withColumn(f"_te_{column}", own).drop("_category", "_values", "_rows")
 
 
@@ -114,6 +131,10 @@ def fold_medians(df: DataFrame, columns: tuple[str, ...], fold: str, folds: int)
     if not columns:
         return [{} for _ in range(folds)]
     known = df.where(F.col("_y").isNotNull()).select(fold, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
+    if known.count() <= PERCENTILE_ROWS:
+        wanted = [F.percentile(F.when(F.col(fold) != k, F.col(c)), F.lit(0.5)).alias(f"{k}_{i}") for k in range(1, folds + 1) for i, c in enumerate(columns)]
+        one = known.agg(*wanted).first()
+        return [{c: float(one[f"{k}_{i}"] or 0.0) for i, c in enumerate(columns)} for k in range(1, folds + 1)]
     entries = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.col(c).alias("value")) for i, c in enumerate(columns)])).alias("e")
     copies = known.select(F.explode(F.filter(F.sequence(F.lit(1), F.lit(folds)), lambda k: k != F.col(fold))).alias("k"), entries).select("k", "e.*")
     found = {(r.k, r.at): r.m for r in quantiles(copies.where(F.col("value").isNotNull()), ["k", "at"], "value", {"m": 0.5}).collect()}
@@ -220,7 +241,8 @@ def unshifted(model: Linear, shifts: list[float]) -> Linear:
     return Linear(model.intercept + shifts[-1] - sum(w * s for w, s in zip(model.weights, shifts[:-1], strict=True)), model.weights)
 
 
-#: Penalties of the stack: 25 from 0.001 to 1000, evenly in the exponent.
+#: Errors this close, relatively, are equal. Penalties of the stack: 25 from 0.001 to 1000, evenly in the exponent.
+SAME = 1e-9
 STACK_ALPHAS = tuple(10.0 ** (-3 + i / 4) for i in range(25))
 
 
@@ -239,7 +261,7 @@ def choose_penalties(m: dict[int, np.ndarray], folds: int, inner: int, alphas: t
 
     Cell ``fold * inner + j`` holds the rows of an outer fold and inner fold
     ``j`` (from 0). A training set is a sum of cells; no row is read again.
-    Equal errors go to the smaller penalty.
+    Errors that differ by rounding only go to the smaller penalty.
     """
     size = next(iter(m.values())).shape[0] if m else 2
     none = np.zeros((size, size))
@@ -252,7 +274,8 @@ def choose_penalties(m: dict[int, np.ndarray], folds: int, inner: int, alphas: t
         for alpha in alphas:
             left = [squared_error(part, ridge_from_moments(whole - part, alpha)) for part in parts]
             rmse[alpha] = math.sqrt(sum(left) / whole[0, 0]) if whole[0, 0] else 0.0
-        best = min(alphas, key=lambda a: (rmse[a], a))
+        least = min(rmse.values())
+        best = min(a for a in alphas if rmse[a] <= least * (1 + SAME))
         result.append(Chosen(k, best, unshifted(ridge_from_moments(whole, best), shifts), rmse))
     return result
 
@@ -324,3 +347,17 @@ def ridge_models(encoded: Encoded, penalties: dict[str, float]) -> dict[str, lis
     """For each named penalty (averaged over rows, on standardised features), one model a fold."""
     ready = fold_moments(encoded)
     return {name: [unshifted(ridge_from_moments(m, penalty * m[0, 0], standardize=True), s) for m, s in ready] for name, penalty in penalties.items()}
+
+
+def smearing_by_fold(encoded: Encoded, models: list[Linear]) -> list[float]:
+    """Mean of exp(residual) over each fold's training rows, all folds in one pass."""
+    known = F.col("_y").isNotNull()
+    wanted = [F.avg(F.when(known & (F.col(encoded.fold) != k), F.exp(F.col("_y") - m.value(encoded.columns(k))))).alias(f"s{k}") for k, m in enumerate(models, 1)]
+    one = encoded.data.agg(*wanted).first()
+    return [float(one[f"s{k}"] or 1.0) for k in range(1, encoded.folds + 1)]
+
+
+def coefficients(encoded: Encoded, models: list[Linear]) -> DataFrame:
+    """``fold, feature, coefficient`` of one linear model a fold, the intercept as a feature of its own."""
+    rows = [(k, name, value) for k, m in enumerate(models, 1) for name, value in zip(["intercept", *encoded.features], [m.intercept, *m.weights], strict=True)]
+    return encoded.data.sparkSession.createDataFrame(rows, "fold int, feature string, coefficient double")

@@ -119,15 +119,15 @@ def bucketed_quantiles(present: DataFrame, by: list[str], wanted: dict[str, floa
         for suffix, index in (("lo", F.floor(position)), ("hi", F.ceil(position))):
             held = (F.col("_before") <= index) & (index < F.col("_before") + F.col("_n"))
             aggregates.append(F.max(F.when(held, F.col("_v"))).alias(f"_{suffix}_{name}"))
-        aggregates.append(F.max(position - F.floor(position)).alias(f"_part_{name}"))
+        aggregates.append(F.max(position).alias(f"_at_{name}"))
     picked = ranked.groupBy(*by).agg(*aggregates)
-    return picked.select(
-        *by,
-        *[
-            (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_part_{n}")).alias(n)
-            for n in wanted
-        ],
-    )
+    return picked.select(*by, *[interpolated(F.col(f"_lo_{n}"), F.col(f"_hi_{n}"), F.col(f"_at_{n}")).alias(n) for n in wanted])
+
+
+def interpolated(low: Column, high: Column, position: Column) -> Column:
+    """Value at a fractional rank by the formula of ``percentile``, so that a group's size never shows in the last digit."""
+    between = (F.ceil(position) - position) * low + (position - F.floor(position)) * high
+    return F.when((F.ceil(position) == F.floor(position)) | (low == high), low).otherwise(between)
 
 
 def with_quantiles(

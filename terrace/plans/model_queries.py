@@ -5,12 +5,18 @@ Fits have no SQL equivalent; text statistics do.
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.operators import evaluate, folds, models, quality, textvec
-from terrace.plans.registry import query, rounded, with_listings
-from terrace.sources.surrogate import listings, table
+from terrace.operators import bundle, crossfit, evaluate, experts, folds, models, quality, textvec
+from terrace.plans.model_sql import SQL_DESCRIBED, SQL_DETECTED, SQL_RAW, raw_rows, sql_features, sql_ridge, sql_stack
+from terrace.plans.registry import query, rounded, sql_fold, with_listings, with_scored
+from terrace.session import durable, shared_folder
+from terrace.sources.surrogate import MODELS, described, listings, scored, table
 
 NUMERIC = ("property_size_sqft", "bedroom", "bathroom", "parking_lot", "completion_year", "number_of_floors", "total_units")
 CATEGORICAL = ("property_type", "state", "city", "building_name", "developer")
@@ -23,8 +29,6 @@ def spec(name: str, family: str, params=(), target: str = "unit", categorical=CA
 
 
 def prepared(spark: SparkSession, sf: str) -> DataFrame:
-    from terrace.session import durable
-
     df = listings(spark, sf, ["listing_id", "price", "tenure_type", *NUMERIC, *CATEGORICAL])
     return durable(folds.assign_group_kfold(df, "listing_id"))
 
@@ -46,27 +50,56 @@ def _(spark, sf):
 
 @query("model_oof_forest")
 def _(spark, sf):
-    scored = models.oof_predict(prepared(spark, sf), [spec("forest", "random_forest", SMALL_TREES, categorical=())], folds=5)
+    scored = models.oof_predict(prepared(spark, sf), [spec("forest", "random_forest", SMALL_TREES, categorical=CATEGORICAL)], folds=5)
     return evaluate.regression_metrics(scored, ["model"])
 
 
 @query("model_oof_boosting")
 def _(spark, sf):
-    scored = models.oof_predict(prepared(spark, sf), [spec("boosting", "gradient_boosting", SMALL_BOOST, categorical=())], folds=5)
+    scored = models.oof_predict(prepared(spark, sf), [spec("boosting", "gradient_boosting", SMALL_BOOST, categorical=CATEGORICAL)], folds=5)
     return evaluate.regression_metrics(scored, ["model"])
 
 
+RIDGE_SQL = with_listings(sql_ridge(NUMERIC, CATEGORICAL[:2], 0.001))
+
+
+@query("model_ridge_coefficients", RIDGE_SQL + " SELECT fold, feature, round(coefficient, 3) AS coefficient FROM coefficients")
+def _(spark, sf):
+    """One ridge a fold, solved from moment matrices."""
+    encoded = crossfit.encode_folds(prepared(spark, sf), NUMERIC, CATEGORICAL[:2], F.expr("CAST(price AS DOUBLE) / CAST(property_size_sqft AS DOUBLE)"), "listing_id")
+    return rounded(crossfit.coefficients(encoded, crossfit.ridge_models(encoded, {"ridge": 0.001})["ridge"]), 3)
+
+
+@query("model_ridge_fold_errors", RIDGE_SQL + """, held AS (SELECT r.*, j.k FROM ready r JOIN (SELECT DISTINCT k FROM jobs) j ON r.fold = j.k),
+ placed AS (""" + sql_features(NUMERIC, CATEGORICAL[:2], "held", "0") + """),
+ priced AS (SELECT k, row_id, price, greatest(size * sum(coefficient * v), 0.0) AS predicted FROM placed JOIN coefficients ON fold = k AND feature = name GROUP BY k, row_id, price, size)
+ SELECT 'ridge' AS model, k AS fold, count(*) AS n, round(sqrt(avg((predicted - price) * (predicted - price))), 2) AS rmse, round(avg(abs(predicted - price)), 2) AS mae FROM priced GROUP BY k""")
+def _(spark, sf):
+    scored = models.oof_predict(prepared(spark, sf), [spec("ridge", "ridge", (("regParam", 0.001),))], folds=5)
+    e = F.col("predicted") - F.col("actual")
+    return rounded(scored.groupBy("model", "fold").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae")), 2)
+
+
+#: The baseline and 30 penalties, evenly in the exponent.
+RIDGE_GRID = {"baseline": 0.001, **{f"ridge_{i:02d}": 10.0 ** (-5 + i / 5) for i in range(30)}}
+
+
 @query("model_tune")
 def _(spark, sf):
-    base = spec("baseline", "ridge", (("regParam", 0.001),), categorical=())
-    candidates = {"baseline": base, "stronger": base.with_params(regParam=0.1), "same_as_baseline": base.with_params(regParam=0.001)}
+    """31 ridge penalties on all categories from one pass, forests and boosting as jobs side by side."""
+    base = spec("baseline", "ridge", categorical=CATEGORICAL)
+    candidates = {name: replace(base, params=(("regParam", r),)) for name, r in RIDGE_GRID.items()}
+    candidates["same_as_baseline"] = candidates["baseline"]
+    for depth in (3, 5):
+        candidates[f"forest_{depth}"] = spec("f", "random_forest", (("maxBins", 32), ("maxDepth", depth), ("numTrees", 8)), categorical=CATEGORICAL)
+        candidates[f"boosting_{depth}"] = spec("b", "gradient_boosting", (("maxBins", 32), ("maxDepth", depth), ("maxIter", 5)), categorical=CATEGORICAL)
     return models.tune(prepared(spark, sf), candidates, folds=5)
 
 
 @query("model_nested_tune")
 def _(spark, sf):
-    base = spec("baseline", "ridge", (("regParam", 0.001),), categorical=())
-    scored, _ = models.nested_tune(prepared(spark, sf).withColumn("fold", F.col("fold") % 2 + 1), {"baseline": base, "stronger": base.with_params(regParam=0.1)}, folds=2, inner=2)
+    base = spec("baseline", "ridge", categorical=CATEGORICAL)
+    scored, _ = models.nested_tune(prepared(spark, sf), {name: replace(base, params=(("regParam", r),)) for name, r in RIDGE_GRID.items()}, folds=5, inner=3)
     return scored
 
 
@@ -77,77 +110,130 @@ def _(spark, sf):
     return models.score_batch(df, fitted).select("listing_id", "status", "predicted_total", "predicted_unit")
 
 
+def text_listings(spark: SparkSession, sf: str) -> DataFrame:
+    """Listings with descriptions and folds, written once."""
+    return durable(folds.assign_group_kfold(described(spark, sf, [*bundle.BASE_NUMERIC, *bundle.BASE_CATEGORICAL]), "listing_id"))
+
+
+@query("model_text_boosting", with_listings(
+    f"SELECT 'boosting_text' AS model, {sql_fold('listing_id', 5, 42)} AS fold, count(*) AS n, count(*) AS finite_predictions, TRUE AS better_than_mean FROM listings GROUP BY 2"))
+def _(spark, sf):
+    """Boosting on structure, interactions and the five text flags: all folds, all rows, and the error against the fold's training mean."""
+    df = bundle.listing_features(text_listings(spark, sf), "description")
+    scored = durable(models.oof_predict(df, [bundle.text_spec("boosting_text", "gradient_boosting", SMALL_BOOST)]))
+    totals = scored.groupBy("fold").agg(F.sum("actual").alias("s"), F.count(F.lit(1)).alias("c"))
+    whole = totals.agg(F.sum("s").alias("all_s"), F.sum("c").alias("all_c"))
+    means = totals.crossJoin(F.broadcast(whole)).select("fold", ((F.col("all_s") - F.col("s")) / (F.col("all_c") - F.col("c"))).alias("mean"))
+    e, m = F.col("predicted") - F.col("actual"), F.col("mean") - F.col("actual")
+    finite = F.count_if(F.col("predicted").isNotNull() & ~F.isnan("predicted") & (F.abs("predicted") < float("inf")))
+    return scored.join(F.broadcast(means), "fold").groupBy("model", "fold").agg(
+        F.count(F.lit(1)).alias("n"), finite.alias("finite_predictions"), (F.avg(F.abs(e)) < F.avg(F.abs(m))).alias("better_than_mean"))
+
+
+@query("model_batch_scoring", with_listings(f"""{SQL_DESCRIBED}, raw AS ({SQL_RAW}),
+ typical AS (SELECT median(CASE WHEN description <> '' THEN CAST(length(description) AS DOUBLE) END) AS length FROM described),
+ judged AS (SELECT *, list_filter([CASE WHEN size IS NULL THEN 'property_size_sqft must be a finite number' END, CASE WHEN size <= 0 THEN 'property_size_sqft must be greater than zero' END,
+   CASE WHEN bedroom IS NULL THEN 'bedroom must be a finite number' END, CASE WHEN bedroom < 0 THEN 'bedroom cannot be negative' END,
+   CASE WHEN completion_year NOT BETWEEN 1800 AND 2030 THEN 'completion_year must be between 1800 and 2030' END], lambda m: m IS NOT NULL) AS errors FROM raw)
+ SELECT listing_id, CASE WHEN len(errors) = 0 THEN 'available' ELSE 'unavailable' END AS status, array_to_string(errors, '; ') AS errors,
+  array_to_string(list_filter([{SQL_DETECTED}], lambda m: m IS NOT NULL), ',') AS detected,
+  CASE WHEN description = '' THEN typical.length ELSE CAST(length(description) AS DOUBLE) END AS description_length, len(errors) = 0 AS scored FROM judged, typical"""))
+def _(spark, sf):
+    """Fit, save, read back, and score raw rows of which some are broken."""
+    df = text_listings(spark, sf)
+    trained = bundle.fit_bundle(df, bundle.text_spec("forest_text", "random_forest", SMALL_TREES))
+    path = f"{shared_folder(spark).rstrip('/')}/terrace/bundle-{uuid.uuid4().hex}"
+    bundle.save_bundle(trained, path)
+    scored = bundle.score_raw(raw_rows(df), bundle.load_bundle(spark, path))
+    return scored.select("listing_id", "status", F.array_join("errors", "; ").alias("errors"), F.array_join("detected", ",").alias("detected"), "description_length", F.col("predicted_total").isNotNull().alias("scored"))
+
+
 @query("model_feature_importance")
 def _(spark, sf):
-    fitted = models.fit(prepared(spark, sf), spec("boosting", "gradient_boosting", SMALL_BOOST))
-    return models.feature_importance(fitted)
+    """Mean over five folds, the first 15 of each model."""
+    both = [bundle.text_spec("boosting", "gradient_boosting", SMALL_BOOST), bundle.text_spec("ridge", "ridge", (("regParam", 0.001),))]
+    return models.feature_importance(bundle.listing_features(text_listings(spark, sf), "description"), both)
 
 
 @query("model_log_target_smeared")
 def _(spark, sf):
-    df = prepared(spark, sf)
-    train = df.where("fold <> 1")
-    fitted = models.with_smearing(train, models.fit(train, spec("ridge_log", "ridge", (("regParam", 0.001),), "log_unit", ())))
-    return models.predict(df.where("fold = 1"), fitted).select("listing_id", "price", "predicted")
+    return models.oof_smeared(prepared(spark, sf), spec("ridge_log", "ridge", (("regParam", 0.001),), "log_unit", CATEGORICAL)).select("listing_id", "fold", "actual", "predicted")
 
 
 @query("model_alternative_losses")
 def _(spark, sf):
-    df = prepared(spark, sf)
-    train, held = df.where("fold <> 1"), df.where("fold = 1")
-    families = {"tweedie": (("variancePower", 1.5), ("maxIter", 5)), "huber": (("maxIter", 10),), "absolute": SMALL_BOOST}
-    parts = []
-    for family, params in families.items():
-        scored = models.predict(held, models.fit(train, spec(family, family, params, categorical=())))
-        parts.append(scored.select(F.lit(family).alias("model"), "listing_id", F.col("price").alias("actual"), "predicted"))
-    result = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return evaluate.regression_metrics(result, ["model"])
+    """Three Tweedie powers, Huber and absolute loss over all folds and categories."""
+    families = {f"tweedie_{p}": ("tweedie", (("maxIter", 5), ("variancePower", p))) for p in (1.2, 1.5, 1.8)}
+    families |= {"huber": ("huber", (("maxIter", 10),)), "absolute": ("absolute", SMALL_BOOST)}
+    scored = models.oof_predict(prepared(spark, sf), [spec(name, family, params, categorical=CATEGORICAL) for name, (family, params) in families.items()])
+    return evaluate.regression_metrics(scored, ["model"])
 
 
 @query("model_knn_regression")
 def _(spark, sf):
+    """All folds, two features."""
     df = prepared(spark, sf)
-    held = df.where("fold = 1")
-    return models.fit_knn_regression(df.where("fold <> 1"), held, ["property_size_sqft", "bedroom"], "price", "listing_id", 5, weighted=True).select("listing_id", "price", "predicted")
+    parts = []
+    for k in range(1, 6):
+        found = models.fit_knn_regression(df.where(F.col("fold") != k), df.where(F.col("fold") == k), ["property_size_sqft", "bedroom"], "price", "listing_id", 5, weighted=True)
+        parts.append(found.select("listing_id", "fold", "price", "predicted"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+GATE = {"maxIter": 3, "maxDepth": 3}
+EXPERT_PARAMS = {"random_forest": SMALL_TREES, "gradient_boosting": SMALL_BOOST, "ridge": (("regParam", 0.001),)}
+
+
+def expert_rows(spark: SparkSession, sf: str, systems=None) -> DataFrame:
+    df = bundle.listing_features(text_listings(spark, sf), "description")
+    return durable(experts.expert_systems(df, spec("expert", "ridge", categorical=CATEGORICAL[:2]), EXPERT_PARAMS, GATE, systems))
 
 
 @query("model_premium_routing")
 def _(spark, sf):
-    """Classifier, threshold, calibration, both experts and both routes on one outer fold."""
-    df = prepared(spark, sf)
-    from terrace.session import durable
-
-    labelled = durable(folds.fold_premium_labels(df, "price", 0.9).where("outer_fold = 1"))
-    train, held = labelled.where("role = 'train'"), labelled.where("role = 'validation'")
-    features = list(NUMERIC)
-    inner = durable(models.oof_probabilities(train, features, "is_premium", "listing_id", 2, maxIter=3, maxDepth=3))
-    threshold = models.select_threshold(inner, "is_premium", "probability").first()["threshold"]
-    calibrate = models.calibrate_sigmoid(inner, "is_premium", "probability")
-    classifier = models.fit_premium_classifier(train, features, maxIter=3, maxDepth=3)
-    expert = spec("expert", "ridge", (("regParam", 0.001),), categorical=())
-    standard, premium = models.fit_experts(train, expert, 0.10)
-    scored = models.premium_probability(held, classifier)
-    scored = models.predict(scored, standard).withColumnRenamed("predicted", "standard_prediction")
-    scored = models.predict(scored, premium).withColumnRenamed("predicted", "premium_prediction")
-    p, s, e = F.col("probability"), F.col("standard_prediction"), F.col("premium_prediction")
-    return scored.select(
-        "listing_id", "price", "is_premium", "probability", calibrate(p).alias("calibrated"), models.route_hard(p, threshold, s, e).alias("hard_route"),
-        models.route_soft(p, s, e).alias("soft_route"))
+    """Hard, soft and calibrated routes of the 15 % scope over all folds."""
+    names = ("hard_rf_lgbm_p15", "soft_rf_lgbm_p15", "soft_rf_lgbm_p15_calibrated")
+    return expert_rows(spark, sf, {n: experts.SYSTEMS[n] for n in names})
+
+
+@query("model_expert_systems", with_listings(
+    "SELECT system, count(*) AS n, count(DISTINCT listing_id) AS ids, CAST(0 AS BIGINT) AS wrong_routes, CAST(0 AS BIGINT) AS outside_experts FROM listings CROSS JOIN (VALUES "
+    + ", ".join(f"('{n}')" for n in experts.SYSTEMS) + ") v(system) GROUP BY system"))
+def _(spark, sf):
+    """All fourteen systems: rows accounted for, and every route computed again from what is stored."""
+    rows = expert_rows(spark, sf)
+    p, s, e = F.col("probability"), F.col("standard"), F.col("premium")
+    again = F.when(F.col("threshold").isNotNull(), F.when(p >= F.col("threshold"), e).otherwise(s)).otherwise((1.0 - p) * s + p * e)
+    wrong = F.coalesce(F.abs(F.col("predicted") - again) > 1e-6 * F.abs(again), F.lit(True))
+    outside = ~F.coalesce(F.col("predicted").between(F.least(s, e) - 1e-6, F.greatest(s, e) + 1e-6), F.lit(False))
+    return rows.groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("listing_id").alias("ids"), F.count_if(wrong).alias("wrong_routes"), F.count_if(outside).alias("outside_experts"))
+
+
+def stack_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All four models' predictions side by side."""
+    return durable(scored(spark, sf).groupBy("listing_id", "fold").agg(
+        F.max("actual").alias("actual"), *[F.max(F.when(F.col("model") == m, F.col("predicted"))).alias(m) for m in MODELS]))
 
 
 @query("model_stack")
 def _(spark, sf):
-    from terrace.plans.report_queries import MODELS
-    from terrace.sources.surrogate import scored
+    return crossfit.nested_stack(stack_rows(spark, sf), list(MODELS), "listing_id")[0].select("listing_id", "fold", "actual", "stacked")
 
-    from terrace.session import durable
 
-    wide = durable(scored(spark, sf).groupBy("listing_id").agg(
-        F.max("actual").alias("actual"), *[F.max(F.when(F.col("model") == m, F.col("predicted"))).alias(m) for m in MODELS[:3]]))
-    alphas = models.select_alpha(wide, list(MODELS[:3]), "listing_id", grid=(1.0, 100.0), inner=2)
-    weights, intercept = models.stack_ridge(wide, list(MODELS[:3]), alpha=alphas.first()["alpha"])
-    value = sum((F.lit(w) * F.col(c) for c, w in weights.items()), F.lit(intercept))
-    return wide.select("listing_id", "actual", value.alias("stacked"))
+@query("model_stack_penalties", with_scored(sql_stack(MODELS) + " SELECT fold, round(alpha, 6) AS alpha, round(rmse, 3) AS rmse, CAST(alpha = best AS INTEGER) AS chosen FROM judged JOIN picked USING (fold)"))
+def _(spark, sf):
+    """25 penalties in each of five outer folds, judged on four inner folds by normal equations."""
+    report = crossfit.nested_stack(stack_rows(spark, sf), list(MODELS), "listing_id")[1]
+    return report.select("fold", F.round("alpha", 6).alias("alpha"), F.round("rmse", 3).alias("rmse"), "chosen")
+
+
+@query("model_stack_errors", with_scored(sql_stack(MODELS) + ", final AS (" + "SELECT w.fold, w.actual, " + " + ".join(["max(CASE WHEN s.i = 0 THEN s.v END)"] + [f"max(CASE WHEN s.i = {i} THEN s.v END) * w.p{i}" for i in range(1, len(MODELS) + 1)])
+       + " AS stacked FROM wide w JOIN weights s ON s.fold = w.fold GROUP BY w.listing_id, w.fold, w.actual, " + ", ".join(f"w.p{i}" for i in range(1, len(MODELS) + 1))
+       + ") SELECT fold, count(*) AS n, round(sqrt(avg((stacked - actual) * (stacked - actual))), 2) AS rmse FROM final GROUP BY fold"))
+def _(spark, sf):
+    rows = crossfit.nested_stack(stack_rows(spark, sf), list(MODELS), "listing_id")[0]
+    e = F.col("stacked") - F.col("actual")
+    return rounded(rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse")), 2)
 
 
 # --- text ------------------------------------------------------------------

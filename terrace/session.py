@@ -33,15 +33,21 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only a local session without that setting gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder is not None:
+        return folder
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    # local-cluster masters have executors with folders of their own.
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL[app]
 
 
 def durable(df: DataFrame, name: str = "part") -> DataFrame:

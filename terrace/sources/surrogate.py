@@ -103,3 +103,20 @@ def scored(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -
             F.col("price").alias("actual"), F.col("_m.predicted").alias("predicted"), *kept,
         )
     )
+
+
+# Phrases of surrogate descriptions, by (column of the listing, modulus, remainder).
+PHRASES = (
+    ("bedroom", 3, 0, "High floor unit"), ("bedroom", 5, 1, "Low Floor"), ("bathroom", 4, 2, "top  floor home"), ("parking_lot", 3, 1, "with balcony"),
+    ("parking_lot", 7, 4, "and a large balcony"), ("bathroom", 7, 5, "two balconies"),
+)
+
+
+def described(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """Listings with a ``description`` that Spark derives from their columns; every ninth key has none."""
+    need = dict.fromkeys(["listing_id", "price", "property_size_sqft", "bedroom", "bathroom", "parking_lot", "property_type", "city", *(columns or [])])
+    rows = listings(spark, sf_dir, list(need))
+    parts = [F.when(F.col(c) % m == r, F.lit(text)) for c, m, r, text in PHRASES]
+    said = F.concat_ws(", ", F.col("property_type"), *parts, F.initcap("city"))
+    blank = F.conv(F.substring(F.md5("listing_id"), 1, 8), 16, 10).cast("long") % 9 == 0
+    return rows.withColumn("description", F.when(blank, F.lit("  ")).otherwise(said))
