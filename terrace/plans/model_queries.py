@@ -118,16 +118,17 @@ def text_listings(spark: SparkSession, sf: str) -> DataFrame:
 @query("model_text_boosting", with_listings(
     f"SELECT 'boosting_text' AS model, {sql_fold('listing_id', 5, 42)} AS fold, count(*) AS n, count(*) AS finite_predictions, TRUE AS better_than_mean FROM listings GROUP BY 2"))
 def _(spark, sf):
-    """Boosting on structure, interactions and the five text flags: all folds, all rows, and the error against the fold's training mean."""
+    """Boosting on structure, interactions and the five text flags: all folds, all rows, and less than half of the squared unit-price error that the training mean has."""
     df = bundle.listing_features(text_listings(spark, sf), "description")
-    scored = durable(models.oof_predict(df, [bundle.text_spec("boosting_text", "gradient_boosting", SMALL_BOOST)]))
-    totals = scored.groupBy("fold").agg(F.sum("actual").alias("s"), F.count(F.lit(1)).alias("c"))
+    scored = durable(models.oof_predict(df, [bundle.text_spec("boosting_text", "gradient_boosting", SMALL_BOOST)], keep=("property_size_sqft",)))
+    unit = F.col("actual") / F.col("property_size_sqft")
+    totals = scored.groupBy("fold").agg(F.sum(unit).alias("s"), F.count(F.lit(1)).alias("c"))
     whole = totals.agg(F.sum("s").alias("all_s"), F.sum("c").alias("all_c"))
     means = totals.crossJoin(F.broadcast(whole)).select("fold", ((F.col("all_s") - F.col("s")) / (F.col("all_c") - F.col("c"))).alias("mean"))
-    e, m = F.col("predicted") - F.col("actual"), F.col("mean") - F.col("actual")
+    e, m = F.col("predicted") / F.col("property_size_sqft") - unit, F.col("mean") - unit
     finite = F.count_if(F.col("predicted").isNotNull() & ~F.isnan("predicted") & (F.abs("predicted") < float("inf")))
     return scored.join(F.broadcast(means), "fold").groupBy("model", "fold").agg(
-        F.count(F.lit(1)).alias("n"), finite.alias("finite_predictions"), (F.avg(F.abs(e)) < F.avg(F.abs(m))).alias("better_than_mean"))
+        F.count(F.lit(1)).alias("n"), finite.alias("finite_predictions"), (F.avg(e * e) < 0.5 * F.avg(m * m)).alias("better_than_mean"))
 
 
 @query("model_batch_scoring", with_listings(f"""{SQL_DESCRIBED}, raw AS ({SQL_RAW}),
