@@ -33,8 +33,8 @@ def piece_model(path: str):
 
 
 def pre_tokens(text: str) -> list[str]:
-    """The model puts one blank before a text that is not empty."""
-    return PRE_TOKEN.findall(" " + text) if text else []
+    """The model puts one blank before a text that is not empty, and its own mark U+2581 is a blank like any other."""
+    return PRE_TOKEN.findall(" " + text.replace("\u2581", " ")) if text else []
 
 
 def document_frequencies(texts: DataFrame) -> DataFrame:
