@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 import re
 from collections.abc import Iterator
 
@@ -131,6 +132,9 @@ class Automaton:
         return (2, max(near)) if near else None
 
 
+KEPT_LETTERS = 64
+
+
 class Hits(dict):
     """Memo of :meth:`Automaton.match`, of a bounded size."""
 
@@ -139,7 +143,10 @@ class Hits(dict):
         self.automaton = automaton
 
     def __missing__(self, word: str):
-        found = None if len(word) > 40 else self.automaton.match(word)
+        found = self.automaton.match(word)
+        # Overlong words are matched, which ends early, but not kept.
+        if len(word) > KEPT_LETTERS:
+            return found
         if len(self) > 100_000:
             self.clear()
         self[word] = found
@@ -159,10 +166,10 @@ def features(text: str, hits: Hits) -> list[float]:
     kinds, quoted, weight, top, clustered, last = [0, 0, 0], 0, 0.0, 0.0, 0, -1 << 30
     for i, (kind, value) in found:
         kinds[kind] += 1
-        before = sum(1 for m in marks if m < i) if marks else 0
+        before = bisect_left(marks, i)
         near = words[max(0, i - WINDOW) : i + WINDOW + 1]
         # Inside an open pair of quotation marks that closes, or beside a reporting word.
-        is_quoted = (before % 2 == 1 and any(m > i for m in marks)) or not REPORTING.isdisjoint(near)
+        is_quoted = (before % 2 == 1 and marks[-1] > i) or not REPORTING.isdisjoint(near)
         quoted += is_quoted
         clustered += i - last <= WINDOW
         last = i
@@ -190,7 +197,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROW
 def learn_lexicon(rows: DataFrame, terms: int = LEXICON_TERMS) -> dict[str, float]:
     """Words and stems whose texts are toxic far more often than others, with shrunken log odds as weights."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
-    sized = F.filter(words, lambda w: (F.length(w) >= 3) & (F.length(w) <= 40))
+    sized = F.filter(words, lambda w: F.length(w) >= 3)
 
     def stems(length: int) -> Column:
         return F.array_distinct(F.transform(F.filter(sized, lambda w: F.length(w) > length), lambda w: F.concat(F.substring(w, 1, length), F.lit("*"))))
