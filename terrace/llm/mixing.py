@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from terrace.llm.common import body, map_batches, text_slices, words_of, written
 
-#: Bounds of what training looks at: labelled rows (about), and domains.
-TRAINING_ROWS, DOMAINS = 8_000, 32
+#: Labelled rows that training looks at (about).
+TRAINING_ROWS = 8_000
 #: Hashed word features.
 WIDTH = 1024
 #: Pull of the rates towards one at first and at last, and the gap of a domain in shares of the mix that counts as met.
@@ -55,10 +55,10 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, limit: int = TRAINING_ROWS
     """Learns domain posteriors from ``labelled`` (``doc_id, domain``), about ``limit`` rows chosen by a hash of the id.
 
     Null domains don't teach; of several domains of one id the first by order
-    counts; the ``DOMAINS`` most frequent are told apart.
+    counts. All labelled domains are told apart; they are a short list.
     """
     usable = labelled.where(F.col("domain").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col("domain").cast("string")).alias("domain"))
-    sizes = usable.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "domain").limit(DOMAINS).collect()
+    sizes = usable.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "domain").collect()
     domains = sorted(r.domain for r in sizes)
     if len(domains) < 2:
         return DomainModel(domains or ["all"], np.zeros((1, WIDTH)), np.zeros(1), np.ones(1))
@@ -213,7 +213,10 @@ def fit_rates(parts: DataFrame, domains: list[str], targets: dict[str, float] |
 
 
 def meeting_rates(parts: DataFrame, domains: list[str], targets: dict[str, float] | None, budget: float | None, least: float) -> Fit:
-    """The fit with a pull that shrinks until all targets are met; warns of those that no rates meet."""
+    """The fit with a pull that shrinks until all targets are met; warns of those that no rates meet or no label names."""
+    unknown = sorted(set(targets or {}) - set(domains))
+    if unknown:
+        warnings.warn(f"mixing: no label teaches these domains of the targets, the others share their part: {unknown}", stacklevel=3)
     fit = fit_rates(parts, domains, targets, budget, least, least_ridge=LEAST_RIDGE)
     missed = {d: round(g, 5) for d, g in fit.gaps.items() if abs(g) >= CLOSE}
     if missed:
