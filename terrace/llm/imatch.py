@@ -96,16 +96,15 @@ def bind(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def near_band(terms: Column) -> Column:
-    """The known terms of both sides in the narrowest band that holds ``FEW`` of the text's own, or else all it has."""
-    own = F.array_sort(F.transform(F.filter(terms, lambda t: t["sides"].bitwiseAND(F.lit(1)) > 0), lambda t: t["level"]))
-    widest = bind(own, lambda x: F.coalesce(F.get(x, F.least(F.size(x), F.lit(FEW)) - 1), F.lit(0)))
-    return bind(widest, lambda top: F.filter(terms, lambda t: t["level"] <= top))
+def band_top(side: int) -> Column:
+    """Level of the narrowest band that holds ``FEW`` of a side's known terms, or else all it has; it depends on that side's text alone."""
+    own = F.array_sort(F.transform(F.filter("terms", lambda t: t["sides"].bitwiseAND(F.lit(side)) > 0), lambda t: t["level"]))
+    return bind(own, lambda x: F.coalesce(F.get(x, F.least(F.size(x), F.lit(FEW)) - 1), F.lit(0)))
 
 
-def subset_hashes(terms: Column, side: int) -> Column:
-    """One hash per subset over its sorted terms on one side; null where it has none."""
-    own = F.transform(F.filter(F.array_sort(terms), lambda t: t["sides"].bitwiseAND(F.lit(side)) > 0), lambda t: t["term"])
+def subset_hashes(side: int, top: Column) -> Column:
+    """One hash per subset over its sorted terms on one side up to a level; null where it has none."""
+    own = F.transform(F.filter(F.array_sort("terms"), lambda t: (t["sides"].bitwiseAND(F.lit(side)) > 0) & (t["level"] <= top)), lambda t: t["term"])
 
     def parts(sorted_terms: Column, scale: int) -> Column:
         numbers = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
@@ -145,8 +144,8 @@ def fingerprints(docs: DataFrame, rarest: float = RAREST, commonest: float = COM
     the hash of the document's sorted distinct terms that lie in the subset
     and in the frequency band. Four densities serve short and long texts. Terms
     of a large group of copies lie above the band: a text with fewer than
-    ``FEW`` terms in it takes the rarest known ones above, for itself and for
-    its edited form.
+    ``FEW`` terms in it takes the rarest known ones above. The edited text takes
+    its own; where the two differ, they are compared on the wider band.
 
     Null texts count as empty; texts without lexicon terms are alike only when
     their term sets are equal. A null ``doc_id`` comes last. Repeated rows are
@@ -188,13 +187,19 @@ def fingerprints(docs: DataFrame, rarest: float = RAREST, commonest: float = COM
     held = flat.join(known, "term", "left").groupBy("bucket", "row").agg(
         *[F.first(c).alias(c) for c in ("doc_id", "guest", "n_chars", "edited_sha256", "own_plain", "edited_plain")],
         F.collect_list(F.when(F.col("level").isNotNull(), F.struct("term", "sides", "level"))).alias("terms"),
-    ).withColumn("terms", near_band(F.col("terms")))
-    hashed = held.select("*", subset_hashes(F.col("terms"), 1).alias("own_hashes"), subset_hashes(F.col("terms"), 2).alias("edited_hashes")).drop("terms")
-
-    shown_rows = hashed.select("*", printed("own").alias("own_print"), printed("edited").alias("edited_print"))
+    ).withColumns({"own_top": band_top(1), "edited_top": band_top(2)})
+    own_top, edited_top = F.col("own_top"), F.col("edited_top")
+    hashed = held.select("*", subset_hashes(1, own_top).alias("own_hashes"), subset_hashes(2, edited_top).alias("edited_hashes"))
+    # Where the two bands differ, the sides are compared on the wider one.
+    wide = hashed.select(
+        "*", F.when(own_top < edited_top, subset_hashes(1, edited_top)).otherwise(F.col("own_hashes")).alias("own_wide_hashes"),
+        F.when(edited_top < own_top, subset_hashes(2, own_top)).otherwise(F.col("edited_hashes")).alias("edited_wide_hashes"),
+    ).drop("terms", "own_top", "edited_top")
+
+    shown_rows = wide.select("*", printed("own").alias("own_print"), printed("edited").alias("edited_print")).withColumns({"own_wide_print": F.col("own_print"), "edited_wide_print": F.col("edited_print")})
     order = W.partitionBy("bucket").orderBy("row")
     led = shown_rows.select("*", F.lead("own_hashes").over(order).alias("next_hashes"), F.lead("own_print").over(order).alias("next_print"))
     return led.where(~F.col("guest")).select(
         "doc_id", "n_chars", "edited_sha256", F.col("own_print").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"),
-        likeness("own", "edited").alias("near_edited"), likeness("own", "next").alias("near_next"),
+        likeness("own_wide", "edited_wide").alias("near_edited"), likeness("own", "next").alias("near_next"),
     )
