@@ -93,7 +93,7 @@ def shrunk(total: Column, job: Column) -> Column:
 
 def overall_moments(cells: list, fold: int, inner: int) -> tuple[float, float]:
     """Mean and variance of the target outside a fold, and outside an inner fold (0: none)."""
-    some = [(c.n, c.m, c.v) for c in cells if c.f != fold and c.i != inner and c.n]
+    some = [(c.n, c.m, c.v) for c in sorted(cells) if c.f != fold and c.i != inner and c.n]
     n = sum(c[0] for c in some)
     if not n:
         return 0.0, 0.0
@@ -106,8 +106,8 @@ def with_fold_encodings(df: DataFrame, column: str, fold: str, folds: int, overa
     cell = [F.count("_y").alias("n"), F.coalesce(F.avg("_y"), F.lit(0.0)).alias("m"), F.coalesce(F.var_pop("_y"), F.lit(0.0)).alias("v")]
     tagged = df.withColumn("_category", category(column))
     cells = tagged.groupBy("_category", F.col(fold).alias("f"), F.col("_inner").alias("i")).agg(*cell, F.count(F.lit(1)).alias("rows"))
-    # folds x INNER cells a category at most.
-    listed = cells.groupBy("_category").agg(F.collect_list(F.struct("f", "i", "n", "m", "v")).alias("_cells"), F.sum("rows").alias("_rows"))
+    # folds x INNER cells a category at most, in a fixed order so that sums round alike.
+    listed = cells.groupBy("_category").agg(F.sort_array(F.collect_list(F.struct("f", "i", "n", "m", "v"))).alias("_cells"), F.sum("rows").alias("_rows"))
 
     # Entry 0 of a fold is for its held-out rows, entry j for training rows of inner fold j.
     jobs = []

@@ -42,6 +42,17 @@ def test_attach_splits_hot_keys(spark, skewed, monkeypatch):
     assert all("_salt#" in line or "_dim_salt#" in line for line in exchanges)
 
 
+def test_quantiles_do_not_change_with_the_size_of_a_group(spark, monkeypatch):
+    """Both paths give the same doubles, to the last digit."""
+    rng = np.random.default_rng(11)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(5, size=3000), rng.normal(0, 1, 3000) * 10.0 ** rng.integers(-8, 9, 3000))]
+    df = spark.createDataFrame(rows + [(9, 1.0), (9, 1.0), (8, -0.5)], "g int, v double")
+    wanted = {f"q{i}": i / 37 for i in range(38)}
+    small = sorted(map(tuple, order.quantiles(df, ["g"], "v", wanted).collect()))
+    monkeypatch.setattr(order, "PERCENTILE_ROWS", 0)
+    assert small == sorted(map(tuple, order.quantiles(df, ["g"], "v", wanted).collect()))
+
+
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_bucketed_quantiles_match_pandas(skewed, monkeypatch, by):
     monkeypatch.setattr(order, "PERCENTILE_ROWS", 0)
