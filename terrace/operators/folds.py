@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.operators.filters import training_copies
 from terrace.operators.order import hashed_rank, null_safe_join, quantiles
 from terrace.operators.skew import attach, group_sizes
+from terrace.session import durable
 
 
 def salted(key: Column, seed: int) -> Column:
@@ -40,24 +41,24 @@ def assign_group_kfold(df: DataFrame, group: str, k: int = 5, seed: int = 42) ->
     return df.withColumn("fold", hash_fold(F.col(group), k, seed))
 
 
-def assign_group_kfold_balanced(df: DataFrame, group: str, k: int = 5, seed: int = 42, dealt: int = 1024) -> DataFrame:
-    """Group folds with the largest groups dealt by size.
+def assign_group_kfold_balanced(df: DataFrame, group: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """Whole groups in one fold, dealt by falling size: fold sizes differ by no more rows than the largest group has.
 
-    The ``dealt`` largest groups (a bounded list) go greedily to the lightest
-    fold on the driver; the many small ones are hashed, which balances them.
+    Groups of one size are a class, in digest order; classes follow each other
+    from the largest size down, and the folds take groups in turn, forwards
+    and backwards. A group's turn is its rank in its class plus the groups of
+    larger classes, which come from a histogram of sizes (at most about the
+    square root of twice the rows), so no list of groups is gathered or
+    sorted whole. A missing group is one group.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.orderBy(F.desc("_n"), group).limit(dealt).collect()
-    load = [0] * k
-    rows = []
-    for row in largest:
-        fold = load.index(min(load))
-        load[fold] += row["_n"]
-        rows.append((row[group], fold + 1))
-    schema = f"_g {dict(df.dtypes)[group]}, _fold int"
-    dealt_df = F.broadcast(df.sparkSession.createDataFrame(rows, schema))
-    joined = df.join(dealt_df, F.col(group).eqNullSafe(F.col("_g")), "left")
-    return joined.withColumn("fold", F.coalesce("_fold", hash_fold(F.col(group), k, seed))).drop("_g", "_fold")
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_digest", salted(F.col(group), seed))
+    ranked = durable(hashed_rank(sizes, "_digest", "_rank", ["_n"]))
+    larger = Window.partitionBy(F.lit(1)).orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, -1)
+    classes = ranked.groupBy("_n").agg(F.count(F.lit(1)).alias("_groups")).select("_n", F.coalesce(F.sum("_groups").over(larger), F.lit(0)).alias("_ahead"))
+    turn = (F.col("_ahead") + F.col("_rank")) % (2 * k)
+    fold = F.when(turn < k, turn + 1).otherwise(2 * k - turn).cast("int")
+    dealt = ranked.join(F.broadcast(classes), "_n").select(group, fold.alias("fold"), "_n")
+    return attach(df, dealt, [group], "_n").drop("_n")
 
 
 def inner_folds(df: DataFrame, key: str, k: int, seed: int, folds: int = 5) -> DataFrame:

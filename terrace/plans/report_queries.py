@@ -485,11 +485,24 @@ def _(spark, sf):
     return folds.assign_group_kfold(table(spark, sf, "documents").select("doc_id", "source"), "source")
 
 
-@query("fold_by_group_balanced")
+BALANCED = """{groups} AS (SELECT {key} AS k, row_number() OVER (ORDER BY count(*) DESC, md5('42:' || CAST({key} AS VARCHAR))) - 1 AS turn FROM listings GROUP BY {key})"""
+DEALT = "CAST(CASE WHEN turn % 10 < 5 THEN turn % 10 + 1 ELSE 10 - turn % 10 END AS INTEGER)"
+
+
+@query("fold_by_group_balanced", with_listings(f", {BALANCED.format(groups='g', key='building_name')} SELECT listing_id, building_name, {DEALT} AS fold FROM listings JOIN g ON building_name = k"))
 def _(spark, sf):
     return folds.assign_group_kfold_balanced(listings(spark, sf, ["listing_id", "building_name"]), "building_name")
 
 
+@query("fold_balance_many_groups", with_listings(f""", orders_of AS (SELECT split_part(listing_id, '-', 1) AS order_key FROM listings), g AS (SELECT order_key AS k, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, md5('42:' || order_key)) - 1 AS turn FROM orders_of GROUP BY order_key)
+ SELECT {DEALT} AS fold, count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows, CAST(max(n) AS BIGINT) AS largest FROM g GROUP BY 1"""))
+def _(spark, sf):
+    """As many groups as orders; the folds differ by no more than the largest group."""
+    rows = listings(spark, sf, ["listing_id"]).select(F.split_part("listing_id", F.lit("-"), F.lit(1)).alias("order_key"))
+    dealt = folds.assign_group_kfold_balanced(rows, "order_key").groupBy("fold", "order_key").agg(F.count(F.lit(1)).alias("n"))
+    return dealt.groupBy("fold").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows"), F.max("n").alias("largest"))
+
+
 @query("fold_nested", with_listings(FOLDED + COPIES + f" SELECT listing_id, CAST(outer_fold AS INTEGER) AS outer_fold, {sql_fold(chr(39) + chr(39) + ' || outer_fold || ' + chr(39) + '|' + chr(39) + ' || listing_id', 3, 43)} AS inner_fold FROM t"))
 def _(spark, sf):
     return folds.inner_folds(with_folds(spark, sf), "listing_id", 3, 42).select("listing_id", "outer_fold", "inner_fold")

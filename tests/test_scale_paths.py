@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terrace.operators import dedup, encode, evaluate, geo, joins, models, order, quality, skew
+from terrace.operators import dedup, encode, evaluate, folds, geo, joins, models, order, quality, skew
 
 
 @pytest.fixture
@@ -199,3 +199,24 @@ def test_tail_edges_count_every_id_once(spark):
     rows = [("a", 0, 0.0)] * 3 + [("b", i, float(i)) for i in range(101)]
     edges = evaluate.tail_segments(spark.createDataFrame(rows, "model string, listing_id long, actual double")).select("p95_threshold", "p99_threshold").distinct().collect()
     assert [tuple(r) for r in edges] == [(95.0, 99.0)]
+
+
+@pytest.mark.parametrize("shape", ["many", "hot", "few"])
+def test_group_folds_balance_whatever_the_number_of_groups(spark, shape):
+    rng = np.random.default_rng(4)
+    sizes = {"many": rng.integers(1, 9, 3000), "hot": np.array([900, *rng.integers(1, 4, 700)]), "few": np.array([5, 3, 3])}[shape]
+    rows = [(None if g == 1 else f"g{g}", i) for g, n in enumerate(sizes) for i in range(int(n))]
+    df = spark.createDataFrame(rows, "g string, i int")
+    got = folds.assign_group_kfold_balanced(df, "g", 5).collect()
+    assert len(got) == len(rows)
+    of = {}
+    for r in got:
+        assert of.setdefault(r.g, r.fold) == r.fold and 1 <= r.fold <= 5
+    loads = np.bincount([r.fold for r in got], minlength=6)[1:]
+    assert loads.max() - loads.min() <= sizes.max()
+    again = {r.g: r.fold for r in folds.assign_group_kfold_balanced(df.repartition(7), "g", 5).collect()}
+    assert again == of
+
+
+def test_group_folds_of_an_empty_table(spark):
+    assert folds.assign_group_kfold_balanced(spark.createDataFrame([], "g string"), "g").count() == 0
