@@ -349,6 +349,57 @@ def ridge_models(encoded: Encoded, penalties: dict[str, float]) -> dict[str, lis
     return {name: [unshifted(ridge_from_moments(m, penalty * m[0, 0], standardize=True), s) for m, s in ready] for name, penalty in penalties.items()}
 
 
+#: Total prices from predictions of a target form, in NumPy; sizes are known numbers.
+TOTALS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "unit": lambda value, size: value * size,
+    "direct": lambda value, size: value,
+    "log_unit": lambda value, size: np.expm1(value) * size,
+    "log_price": lambda value, size: np.expm1(value),
+}
+
+
+def held_out_sums(encoded: Encoded, models: dict[str, list[Linear]], target: str, price: str, size: str) -> list[tuple]:
+    """``name, fold, n, squared, absolute, total, total_squared`` of many linear models on their held-out rows, in one pass.
+
+    Sums of squared and absolute price errors and of prices; a batch of rows
+    is one matrix product for all models. Rows without price, size or
+    prediction do not count.
+    """
+    names, folds, p = list(models), encoded.folds, len(encoded.numeric)
+    medians = np.array([[m[c] for c in encoded.numeric] for m in encoded.medians]).reshape(folds, p)
+    weights = np.array([[models[n][k].weights for n in names] for k in range(folds)])
+    intercepts = np.array([[models[n][k].intercept for n in names] for k in range(folds)])
+    total_of = TOTALS[target]
+    columns = {f"n{i}": F.col(c).cast("double") for i, c in enumerate(encoded.numeric)}
+    columns |= {f"t{i}": F.get(f"_te_{c}", F.col(encoded.fold) - 1) for i, c in enumerate(encoded.categorical)}
+    ready = encoded.data.select(F.col(encoded.fold).cast("int").alias("fold"), F.col(price).cast("double").alias("price"), F.col(size).cast("double").alias("size"), *[c.alias(n) for n, c in columns.items()])
+    labels = list(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((folds, len(names), 5))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fold, actual, area = (batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in ("fold", "price", "size"))
+            x = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in labels])
+            for k in range(folds):
+                rows = fold == k + 1
+                own = x[rows]
+                own[:, :p] = np.where(np.isnan(own[:, :p]), medians[k], own[:, :p])
+                value = np.maximum(total_of(own @ weights[k].T + intercepts[k], area[rows][:, None]), 0.0)
+                error = value - actual[rows][:, None]
+                known = np.isfinite(error)
+                error, price_of = np.where(known, error, 0.0), np.where(known, actual[rows][:, None], 0.0)
+                sums[k] += np.stack([known.sum(axis=0), (error**2).sum(axis=0), np.abs(error).sum(axis=0), price_of.sum(axis=0), (price_of**2).sum(axis=0)], axis=1)
+        k, i, j = np.indices(sums.shape).reshape(3, -1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(i), pa.array(j), pa.array(sums.ravel())], names=["k", "i", "j", "value"])
+
+    found = np.zeros((folds, len(names), 5))
+    for r in ready.mapInArrow(run, "k int, i int, j int, value double").groupBy("k", "i", "j").agg(F.sum("value").alias("value")).collect():
+        found[r.k, r.i, r.j] = r.value
+    return [(name, k + 1, int(found[k, i, 0]), *map(float, found[k, i, 1:])) for k in range(folds) for i, name in enumerate(names)]
+
+
 def smearing_by_fold(encoded: Encoded, models: list[Linear]) -> list[float]:
     """Mean of exp(residual) over each fold's training rows, all folds in one pass."""
     known = F.col("_y").isNotNull()
