@@ -374,3 +374,50 @@ def test_fingerprints_in_a_large_group_of_near_copies(spark):
     inside = [rows[i] for i in range(1, 40)]
     assert min(r.near_next for r in inside) > 0.7 and min(r.near_edited for r in inside) > 0.2
     assert max(rows[i].near_next for i in range(41, 120)) < 0.3
+
+
+def test_equal_texts_have_equal_fingerprints_on_either_side(spark):
+    """A short text in a hot group: the edited form of one row is the text of another, in a table that widens their bands."""
+    common = [f"common{i}" for i in range(30)]
+    rows = [" ".join(common + [f"n{i}", f"m{i % 7}"]) for i in range(80)] + sentences(9, 60, 40)
+    texts = rows + ["", ""]
+    docs = table(spark, texts)
+    edited = {}
+    for i, text in enumerate(texts):
+        following = texts[i - 1] if i else texts[-1]
+        third = len(text) // 3
+        edited[i] = text[: len(text) - third] + following[:third]
+    # Add the edited texts as documents of their own, far down in the order, so that each has a twin.
+    more = spark.createDataFrame([(-1000 - i, t, "en", 1, "r", "x") for i, t in edited.items() if i > 0], DOCS)
+    got = {r.doc_id: r for r in imatch.fingerprints(docs.unionByName(more)).collect()}
+    for i in range(1, len(texts)):
+        twin = got[-1000 - i]
+        assert got[i].edited_sha256 == hashlib.sha256(edited[i].encode()).hexdigest()
+        assert got[i].edited_fingerprint == twin.fingerprint
+
+
+def test_token_counts_of_the_models_own_blank(spark):
+    model = tokencount.piece_model(PIECE_BPE)
+    texts = ["▁ ", "▁ ▁a", "x▁  ▁y", "▁", "a▁b", " ▁▁ the▁ ", "\n▁"]
+    got = {r.doc_id: r.n_tokens for r in tokencount.token_counts(table(spark, texts), PIECE_BPE).collect()}
+    assert [got[i] for i in range(len(texts))] == [len(model.encode(t)) for t in texts]
+
+
+def test_every_labelled_domain_is_mixed(spark):
+    """Forty domains, and a target that no label names."""
+    texts = [f"word{d} " * 8 + f"tail{d}" for d in range(40) for _ in range(6)]
+    docs = table(spark, texts)
+    marks = spark.createDataFrame([(i, f"d{i // 6:02d}") for i in range(len(texts))], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="nope"):
+        rates = mixing.mixing_rates(docs, marks, {"d00": 0.5, "d39": 0.3, "nope": 0.2}).collect()
+    assert len({r.domain for r in rates}) == 40
+    held = {d: sum(r.rate * r.n_tokens for r in rates if r.domain == d) for d in ("d00", "d39")}
+    assert held["d39"] > 0 and 1.3 < held["d00"] / held["d39"] < 2.1
+
+
+def test_long_words_meet_stems():
+    hits = toxicity.Hits(toxicity.Automaton({"clown": 1.0, "idiot*": 0.5}))
+    assert hits["clown"] == (0, 1.0)
+    for n in (30, 40, 4000):
+        assert hits["idiot" + "x" * n] == (1, 0.5)
+    assert "idiot" + "x" * 4000 not in hits and hits["z" * 100] is None
