@@ -20,18 +20,25 @@ SUMS = ("w", "cand_sq", "ref_sq", "abs_delta", "tail_w", "tail_cand_sq", "tail_r
 DRAW_BLOCK = 64
 ROW_BLOCK = 8192
 POISSON_STEPS = np.cumsum([math.exp(-1.0) / math.factorial(i) for i in range(16)])
+#: Count for each 16-bit number: a Poisson(1) variable in steps of 1/65536, so that one mixed word serves four draws.
+POISSON_TABLE = np.searchsorted(POISSON_STEPS, (np.arange(1 << 16) + 0.5) / (1 << 16), side="right").astype(np.float64)
+LANES = 4
 
 
 def poisson_weights(row_key: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
-    """Rows x draws matrix of Poisson(1) counts from a 64-bit integer mix."""
+    """Rows x draws matrix of Poisson(1) counts from a 64-bit integer mix; ``draws`` are numbers in a row."""
+    if not len(draws):
+        return np.zeros((len(row_key), 0))
+    words = np.arange(int(draws[0]) // LANES, int(draws[-1]) // LANES + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         x = row_key.astype(np.int64).view(np.uint64)[:, None] + np.uint64(seed) * np.uint64(0xD1342543DE82EF95)
-        x = x + (draws.astype(np.uint64)[None, :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = x + (words[None, :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x = x ^ (x >> np.uint64(31))
-    uniform = (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-    return np.searchsorted(POISSON_STEPS, uniform, side="right").astype(np.float64)
+    lanes = np.ascontiguousarray(x).astype("<u8").view("<u2")
+    first = int(draws[0]) % LANES
+    return POISSON_TABLE[lanes[:, first : first + len(draws)]]
 
 
 def _partial_sums(by: list[str], draws: int, seed: int):
@@ -39,20 +46,21 @@ def _partial_sums(by: list[str], draws: int, seed: int):
         totals: dict[tuple, np.ndarray] = {}
         for batch in batches:
             for start in range(0, len(batch), ROW_BLOCK):
-                block = batch.iloc[start:start + ROW_BLOCK]
-                groups = block.groupby(by, dropna=False) if by else [((), block)]
-                for key, part in groups:
-                    key = key if isinstance(key, tuple) else (key,)
-                    held = totals.setdefault(key, np.zeros((draws, len(SUMS))))
-                    tail = part["is_tail"].to_numpy(float)
-                    cand, ref = part["cand_sq"].to_numpy(float), part["ref_sq"].to_numpy(float)
-                    values = np.column_stack(
-                        [np.ones(len(part)), cand, ref, part["abs_delta"].to_numpy(float), tail, tail * cand, tail * ref]
-                    )
-                    row_key = part["row_key"].to_numpy()
-                    for first in range(0, draws, DRAW_BLOCK):
-                        span = np.arange(first, min(first + DRAW_BLOCK, draws))
-                        held[span] += poisson_weights(row_key, span, seed).T @ values
+                block = batch.iloc[start:start + ROW_BLOCK].reset_index(drop=True)
+                groups = block.groupby(by, dropna=False).indices if by else {(): np.arange(len(block))}
+                tail = block["is_tail"].to_numpy(float)
+                cand, ref = block["cand_sq"].to_numpy(float), block["ref_sq"].to_numpy(float)
+                values = np.column_stack([np.ones(len(block)), cand, ref, block["abs_delta"].to_numpy(float), tail, tail * cand, tail * ref])
+                # Groups that share a row share its weights.
+                keys, at = np.unique(block["row_key"].to_numpy(), return_inverse=True)
+                sums = {key if isinstance(key, tuple) else (key,): rows for key, rows in groups.items()}
+                for key in sums:
+                    totals.setdefault(key, np.zeros((draws, len(SUMS))))
+                for first in range(0, draws, DRAW_BLOCK):
+                    span = np.arange(first, min(first + DRAW_BLOCK, draws))
+                    weights = poisson_weights(keys, span, seed)
+                    for key, rows in sums.items():
+                        totals[key][span] += weights[at[rows]].T @ values[rows]
         for key, sums in totals.items():
             out = pd.DataFrame(sums, columns=list(SUMS))
             out.insert(0, "draw", np.arange(draws))
@@ -64,7 +72,7 @@ def _partial_sums(by: list[str], draws: int, seed: int):
 
 
 def paired_bootstrap(
-    pairs: DataFrame, row_id: str, by: list[str] | None = None, draws: int = 1000, seed: int = 42
+    pairs: DataFrame, row_id: str, by: list[str] | None = None, draws: int = 5000, seed: int = 42
 ) -> DataFrame:
     """Candidate minus reference: points, 95% intervals, zero-inside flags, P(better).
 

@@ -277,7 +277,7 @@ def model_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("eval_bootstrap_intervals")
 def _(spark, sf):
-    return bootstrap.paired_bootstrap(model_pairs(spark, sf), "listing_id", ["reference_model"], draws=200)
+    return bootstrap.paired_bootstrap(model_pairs(spark, sf), "listing_id", ["reference_model"], draws=5000)
 
 
 SCORES = "s AS (SELECT doc_id, quality AS label, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 2) AS BIGINT) / 16 / CAST(16 AS DOUBLE) * 0.6 + quality * 0.3 AS score FROM labels), t AS (SELECT *, floor(score * 20) / 20 AS sc FROM s)"

@@ -235,3 +235,31 @@ def test_expert_systems_recompute(spark):
         steps = [sure[b] - sure[a] for a, b in zip(order, order[1:])]
         assert all(d >= -1e-12 for d in steps) or all(d <= 1e-12 for d in steps)
     assert len(experts.SYSTEMS) == 14 and {e for s in experts.SYSTEMS.values() for e in (s.standard, s.premium)} == set(experts.EXPERTS)
+
+
+def test_bootstrap_intervals_against_numpy(spark):
+    """5,000 draws; the same weights in one NumPy run give the same intervals."""
+    from terrace.operators import bootstrap
+
+    rng = np.random.default_rng(6)
+    actual = rng.normal(100, 15, 250)
+    rows = [(f"k{i}", ref, float(actual[i]), float(actual[i] + e), float(actual[i] + f), int(actual[i] > 115))
+            for i, (e, f, h) in enumerate(rng.normal(0, (4, 5, 6), (250, 3))) for ref, f in (("x", f), ("y", h))]
+    df = spark.createDataFrame(rows, "listing_id string, reference_model string, actual double, candidate double, reference double, is_tail int")
+    got = {r.reference_model: r for r in bootstrap.paired_bootstrap(df.repartition(5), "listing_id", ["reference_model"]).collect()}
+    keys = {r.listing_id: r.k for r in df.select("listing_id", F.xxhash64("listing_id").alias("k")).collect()}
+    for ref, one in got.items():
+        some = [r for r in rows if r[1] == ref]
+        w = bootstrap.poisson_weights(np.array([keys[r[0]] for r in some]), np.arange(5000), 42)
+        c, f = (np.array([r[j] - r[2] for r in some]) for j in (3, 4))
+        tail = np.array([r[5] for r in some], dtype=float)
+        root = lambda e, v: np.sqrt((v * w.T) @ (e * e) / (v * w.T).sum(axis=1))
+        draws = {"rmse": root(c, 1.0) - root(f, 1.0), "mae": w.T @ (np.abs(c) - np.abs(f)) / w.sum(axis=0), "tail": root(c, tail) - root(f, tail)}
+        assert one.draws == 5000
+        for name, d in draws.items():
+            low, middle, high = np.percentile(d, [2.5, 50, 97.5])
+            assert np.allclose([one[f"{name}_ci_lower"], one[f"{name}_median_difference"], one[f"{name}_ci_upper"]], [low, middle, high], rtol=1e-8, atol=1e-10)
+            assert math.isclose(one[f"{name}_p_better"], (d < 0).mean(), abs_tol=1e-12)
+    many = bootstrap.poisson_weights(np.arange(20000), np.arange(3, 13), 1)
+    assert abs(many.mean() - 1) < 0.01 and abs(many.var() - 1) < 0.03
+    assert (many[:, 2:5] == bootstrap.poisson_weights(np.arange(20000), np.arange(5, 8), 1)).all()
