@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions.numeric import haversine_km, to_target
 from terrace.operators import audit, bootstrap, encode, evaluate, geo, models, quality, stats
+from terrace.operators.order import quantiles
 from terrace.plans.cleaning_queries import CORE, KEY, RAW, raw, raw_sql, numbered, NUMBERED
 from terrace.plans.registry import query, rounded, sql_fold, with_listings, with_scored
 from terrace.plans.report_queries import COPIES, FOLDED, METRICS, REPORT, report, with_folds
+from terrace.session import durable
 from terrace.sources import tables
 from terrace.sources.surrogate import MODELS, listings, scored, table
 
@@ -352,6 +355,72 @@ def _(spark, sf):
     return out.select("model", "failed_checks", "passed", "adopted")
 
 
+#: Predictors that the adjusted R2 of the rule sets counts.
+PREDICTORS = 7
+RULE_SQL = """, edge AS (SELECT quantile_cont(actual, 0.95) AS e5, quantile_cont(actual, 0.99) AS e1 FROM scored WHERE model = 'model_a'),
+ m AS (SELECT model, count(*) AS n, sqrt(avg(power(predicted - actual, 2))) AS rmse, avg(abs(predicted - actual)) AS mae, 1 - avg(power(predicted - actual, 2)) / var_pop(actual) AS r2, avg(predicted - actual) AS mean_error, avg(actual) AS mean_actual,
+  sqrt(avg(power(predicted - actual, 2)) FILTER (WHERE actual >= e5)) AS rmse5, avg(abs(predicted - actual)) FILTER (WHERE actual >= e5) AS mae5, sqrt(avg(power(predicted - actual, 2)) FILTER (WHERE actual >= e1)) AS rmse1 FROM scored, edge GROUP BY model),
+ f AS (SELECT model, fold, sqrt(avg(power(predicted - actual, 2))) AS rmse, avg(abs(predicted - actual)) AS mae, 1 - avg(power(predicted - actual, 2)) / var_pop(actual) AS r2 FROM scored GROUP BY 1, 2),
+ w AS (SELECT f.model, count(*) FILTER (WHERE f.rmse < b.rmse) AS rmse_wins, count(*) FILTER (WHERE f.mae < b.mae) AS mae_wins, avg(f.rmse - b.rmse) + 1.96 * stddev_samp(f.rmse - b.rmse) / sqrt(count(*)) AS rmse_upper,
+  avg(f.mae - b.mae) + 1.96 * stddev_samp(f.mae - b.mae) / sqrt(count(*)) AS mae_upper, max(f.r2) - min(f.r2) AS gap, max(b.r2) - min(b.r2) AS base_gap FROM f JOIN f b ON b.fold = f.fold AND b.model = 'model_a' GROUP BY f.model),
+ c AS (SELECT m.*, w.* EXCLUDE (model), b.rmse AS brmse, b.mae AS bmae, b.r2 AS br2, b.rmse5 AS brmse5, b.mae5 AS bmae5, b.rmse1 AS brmse1 FROM m JOIN w USING (model) JOIN m b ON b.model = 'model_a'),
+ winsor AS (SELECT model, rmse - brmse AS d, ['improves_rmse', 'mae_within_half_percent', 'r2_not_worse', 'top5_rmse_within_5_percent', 'top5_mae_within_5_percent'] AS names,
+  [rmse < brmse, (mae - bmae) / bmae * 100 <= 0.5, r2 >= br2, (rmse5 - brmse5) / brmse5 * 100 <= 5, (mae5 - bmae5) / bmae5 * 100 <= 5] AS held, c.* EXCLUDE (model) FROM c),
+ sets AS (SELECT 'trim' AS rules, model, d, ['improves_rmse', 'improves_mae', 'rmse_interval_below_zero', 'mae_interval_below_zero', 'rmse_fold_wins', 'mae_fold_wins', 'top5_not_worse', 'top1_not_worse'] AS names,
+   [rmse < brmse, mae < bmae, rmse_upper < 0, mae_upper < 0, rmse_wins >= 3, mae_wins >= 3, rmse5 <= brmse5, rmse1 <= brmse1] AS held FROM winsor
+  UNION ALL SELECT 'winsor_adjusted', model, d, list_append(names, 'adjusted_r2_not_worse'), list_append(held, (1 - (1 - r2) * (n - 1) / (n - {p} - 1)) >= (1 - (1 - br2) * (n - 1) / (n - {p} - 1))) FROM winsor
+  UNION ALL SELECT 'log_target', model, d, list_append(names, 'mean_bias_within_2_percent'), list_append(held, abs(mean_error) <= 0.02 * mean_actual) FROM winsor
+  UNION ALL SELECT 'promotion', model, d, ['rmse_gain_1_percent', 'mae_within_half_percent', 'r2_stable', 'top5_rmse_within_5_percent', 'mean_bias_below_2_percent', 'r2_gap_within_0_05', 'rmse_interval_below_zero'],
+   [(rmse - brmse) / brmse * 100 <= -1, (mae - bmae) / bmae * 100 <= 0.5, r2 - br2 >= -0.001, (rmse5 - brmse5) / brmse5 * 100 <= 5, abs(mean_error) <= 0.02 * mean_actual, gap <= base_gap + 0.05, rmse_upper < 0] FROM winsor),
+ told AS (SELECT rules, model, d, array_to_string(list_filter(names, lambda x, i: NOT coalesce(held[i], FALSE)), ';') AS failed_checks FROM sets),
+ best AS (SELECT rules, first(model ORDER BY d, model) AS model FROM told WHERE failed_checks = '' GROUP BY rules)
+ SELECT t.rules, t.model, t.failed_checks, CAST(t.failed_checks = '' AS INTEGER) AS passed, coalesce(b.model, 'model_a') AS adopted FROM told t LEFT JOIN best b USING (rules)""".replace("{p}", str(PREDICTORS))
+
+
+def rule_input(spark: SparkSession, sf: str) -> DataFrame:
+    """Every model against ``model_a``: whole-table, tail and fold metrics, and the upper ends of the fold differences' 95 % intervals."""
+    rows = scored(spark, sf)
+    edges = quantiles(rows.where("model = 'model_a'"), [], "actual", {"e5": 0.95, "e1": 0.99})
+    e = F.col("predicted") - F.col("actual")
+    square, size = e * e, F.abs(e)
+
+    def tail(values, edge: str):
+        return F.avg(F.when(F.col("actual") >= F.col(edge), values))
+
+    r2 = 1 - F.avg(square) / F.var_pop("actual")
+    whole = rows.crossJoin(F.broadcast(edges)).groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(square)).alias("rmse"), F.avg(size).alias("mae"), r2.alias("r2"), F.avg(e).alias("mean_error"), F.avg("actual").alias("mean_actual"),
+        F.sqrt(tail(square, "e5")).alias("rmse5"), tail(size, "e5").alias("mae5"), F.sqrt(tail(square, "e1")).alias("rmse1"))
+    whole = whole.withColumn("adjusted", evaluate.adjusted_r2(F.col("r2"), F.col("n"), F.lit(PREDICTORS)))
+    fold = rows.groupBy("model", "fold").agg(F.sqrt(F.avg(square)).alias("rmse"), F.avg(size).alias("mae"), r2.alias("r2"))
+    against = fold.join(F.broadcast(fold.where("model = 'model_a'").select("fold", F.col("rmse").alias("b_rmse"), F.col("mae").alias("b_mae"), F.col("r2").alias("b_r2"))), "fold")
+
+    def upper(metric: str):
+        d = F.col(metric) - F.col(f"b_{metric}")
+        return (F.avg(d) + 1.96 * F.stddev_samp(d) / F.sqrt(F.count(d))).alias(f"{metric}_ci_upper")
+
+    wins = against.groupBy("model").agg(
+        F.count_if(F.col("rmse") < F.col("b_rmse")).alias("rmse_fold_wins"), F.count_if(F.col("mae") < F.col("b_mae")).alias("mae_fold_wins"), upper("rmse"), upper("mae"),
+        (F.max("r2") - F.min("r2")).alias("r2_gap"), (F.max("b_r2") - F.min("b_r2")).alias("baseline_r2_gap"))
+    names = ("rmse", "mae", "r2", "rmse5", "mae5", "rmse1", "adjusted")
+    base = whole.where("model = 'model_a'").select(*[F.col(c).alias(f"b_{c}") for c in names])
+    change = lambda c: F.col(c) - F.col(f"b_{c}")
+    percent = lambda c: change(c) / F.col(f"b_{c}") * 100
+    return whole.join(wins, "model").crossJoin(F.broadcast(base)).select(
+        "model", "mean_error", "mean_actual", "rmse_fold_wins", "mae_fold_wins", "rmse_ci_upper", "mae_ci_upper", "r2_gap", "baseline_r2_gap",
+        change("rmse").alias("rmse_change"), change("mae").alias("mae_change"), percent("rmse").alias("rmse_change_pct"), percent("mae").alias("mae_change_pct"), change("r2").alias("r2_change"),
+        change("adjusted").alias("adjusted_r2_change"), change("rmse5").alias("top5_rmse_change"), percent("rmse5").alias("top5_rmse_change_pct"), percent("mae5").alias("top5_mae_change_pct"), change("rmse1").alias("top1_rmse_change"))
+
+
+@query("eval_adoption_rule_sets", with_scored(RULE_SQL))
+def _(spark, sf):
+    """The other four rule sets, each with its own choice."""
+    found = durable(rule_input(spark, sf))
+    sets = {"trim": evaluate.trim_rules(), "winsor_adjusted": evaluate.winsor_rules(with_adjusted=True), "log_target": evaluate.log_target_rules(), "promotion": evaluate.promotion_rules()}
+    parts = [evaluate.adoption_gate(found, rules, [F.asc("rmse_change")], "model", "model_a").select(F.lit(name).alias("rules"), "model", "failed_checks", "passed", "adopted") for name, rules in sets.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("eval_scope_metrics", with_scored(f", m AS (SELECT model, {METRICS} FROM scored WHERE actual <= 60000 GROUP BY 1) SELECT model, n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(r2, 4) AS r2 FROM m"))
 def _(spark, sf):
     return rounded(evaluate.scope_metrics(scored(spark, sf), 60000, ["model"]))
