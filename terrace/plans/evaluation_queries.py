@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +14,7 @@ from terrace.operators.order import quantiles
 from terrace.plans.cleaning_queries import CORE, KEY, RAW, raw, raw_sql, numbered, NUMBERED
 from terrace.plans.registry import query, rounded, sql_fold, with_listings, with_scored
 from terrace.plans.report_queries import COPIES, FOLDED, METRICS, REPORT, report, with_folds
-from terrace.session import durable
+from terrace.session import durable, shared_folder
 from terrace.sources import tables
 from terrace.sources.surrogate import MODELS, listings, scored, table
 
@@ -786,15 +786,8 @@ def _(spark, sf):
 
 
 def scratch(spark: SparkSession) -> str:
-    """Folder for a round trip: beside the checkpoints on a cluster, temporary in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix="spark-")
+    """Folder for a round trip, beside the other intermediate tables."""
+    return f"{shared_folder(spark).rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
 
 
 @query("io_csv_round_trip", "SELECT count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars, count(DISTINCT doc_id) AS ids, 0::BIGINT AS first_seq, count(*) - 1 AS last_seq, count(*) AS distinct_seq FROM documents")
