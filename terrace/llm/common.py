@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from terrace.session import durable as written  # noqa: F401
 
@@ -32,7 +33,7 @@ def body() -> Column:
 _SHIPPED: set[str] = set()
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` that first sends this package to the workers, once a context."""
     context = df.sparkSession.sparkContext
     if context.applicationId not in _SHIPPED:
@@ -52,12 +53,12 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
     return df.mapInArrow(run, schema)
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int]]:
-    """Row ranges ``(start, end)`` of a batch whose texts stay near ``SLICE_BYTES``; one long text may exceed it."""
+def text_slices(batch: pa.RecordBatch, column: str = "text", rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Row ranges ``(start, end)`` of a batch, of up to ``rows`` rows, whose texts stay near ``SLICE_BYTES``; one long text may exceed it."""
     sizes = [0 if not v.is_valid else v.as_buffer().size for v in batch.column(column)]
     start = total = 0
     for i, n in enumerate(sizes):
-        if total and total + n > SLICE_BYTES:
+        if i > start and (total + n > SLICE_BYTES or i - start >= rows):
             yield start, i
             start, total = i, 0
         total += n

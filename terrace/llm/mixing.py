@@ -12,6 +12,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from terrace.llm.common import body, map_batches, text_slices, words_of, written
 
@@ -19,6 +20,8 @@ from terrace.llm.common import body, map_batches, text_slices, words_of, written
 TRAINING_ROWS = 8_000
 #: Hashed word features.
 WIDTH = 1024
+#: Texts that are described at once, however short; bounds their dense features.
+SLICE_ROWS = 2048
 #: Pull of the rates towards one at first and at last, and the gap of a domain in shares of the mix that counts as met.
 RIDGE, LEAST_RIDGE, CLOSE = 1e-3, 1e-10, 1e-4
 
@@ -71,7 +74,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, limit: int = TRAINING_ROWS
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, end in text_slices(batch):
+            for start, end in text_slices(batch, rows=SLICE_ROWS):
                 part = batch.slice(start, end - start)
                 x, _ = word_features(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["label", "found"])
@@ -85,17 +88,24 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, limit: int = TRAINING_ROWS
 
 
 def memberships(docs: DataFrame, model: DomainModel, carried: str) -> DataFrame:
-    """The column ``carried``, then ``tokens`` and ``share`` (posterior of each domain), where the text is read."""
+    """The column ``carried``, then ``tokens`` and ``share`` (posterior of each domain), where the text is read.
+
+    A carried struct brings its own ``text``, so texts go to the worker once.
+    """
+    kind = docs.schema[carried].dataType
+    inside = isinstance(kind, StructType)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, end in text_slices(batch):
-                part = batch.slice(start, end - start)
+            rows = batch.column(carried)
+            both = pa.RecordBatch.from_arrays([rows, rows.field("text") if inside else batch.column("text")], [carried, "text"])
+            for start, end in text_slices(both, rows=SLICE_ROWS):
+                part = both.slice(start, end - start)
                 p, tokens = model.posteriors(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(carried), pa.array(tokens, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], [carried, "tokens", "share"])
 
-    kind = docs.schema[carried].dataType.simpleString()
-    return map_batches(docs.select(carried, body().alias("text")), score, f"{carried} {kind}, tokens long, share array<double>")
+    out = StructType([StructField(carried, kind), StructField("tokens", LongType()), StructField("share", ArrayType(DoubleType()))])
+    return map_batches(docs.select(carried) if inside else docs.select(carried, body().alias("text")), score, out)
 
 
 @dataclass
@@ -255,10 +265,14 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, least: float = 1.0) -> DataFrame:
-    """The documents, each as often as its rate says, with all their columns. By default none goes."""
+    """The documents, each as often as its rate says, with all their columns. By default none goes.
+
+    Texts are read and scored once: whole rows are written beside their
+    posteriors, of which the fit reads the posteriors only.
+    """
     model = fit_domains(docs, labelled)
-    parts = written(memberships(docs.select("doc_id", "text"), model, "doc_id"), "memberships")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    parts = written(memberships(rows, model, "_row"), "memberships")
     fit = meeting_rates(parts, model.domains, targets, budget, least)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    rated = memberships(rows, model, "_row").withColumn("_n", copies(rates_after(fit, least)["rate"], F.col("_row.doc_id")))
+    rated = parts.withColumn("_n", copies(rates_after(fit, least)["rate"], F.col("_row.doc_id")))
     return rated.where("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), "_n"))).select("_row.*")

@@ -18,6 +18,8 @@ TRAINING_ROWS = 20_000
 #: Hashed features: words, and triples of character classes.
 WORDS, SHAPES = 4096, 4096
 STEPS, PACE, RIDGE = 80, 8.0, 1e-6
+#: Texts that are described at once, however short; bounds their dense features.
+SLICE_ROWS = 256
 #: A document is kept if its grade reaches ``KEPT_GRADE`` with at least this probability.
 KEPT_GRADE, KEPT_CHANCE = 1, 0.5
 
@@ -93,7 +95,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, limit: int = TRAINING_
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, end in text_slices(batch):
+            for start, end in text_slices(batch, rows=SLICE_ROWS):
                 part = batch.slice(start, end - start)
                 x = text_features(part.column("text").to_pylist())
                 places = [np.flatnonzero(r).astype(np.int32) for r in x]
@@ -153,7 +155,7 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int = 3, kept_g
 
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, end in text_slices(batch):
+            for start, end in text_slices(batch, rows=SLICE_ROWS):
                 part = batch.slice(start, end - start)
                 tails = model.tails(text_features(part.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(tails.sum(axis=1)), pa.array(tails[:, kept_grade - 1])], ["doc_id", "expected_grade", "tail_probability"])

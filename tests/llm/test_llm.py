@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -278,6 +279,29 @@ def test_mixing_meets_the_targets(spark):
     assert mixing.mixing_rates(docs.limit(0), marks.limit(0)).count() == 0
 
 
+def test_mixed_rows_come_back_whole(spark):
+    """Nulls, empty and repeated rows, odd column names and nested columns leave as they came, each as often as rated."""
+    texts = [None, "", "en one en two", "fr un", "en one en two", "fr un fr deux"] * 20
+    docs = spark.createDataFrame([(i % 6 if i % 7 else None, t, f"x{i % 6}", ["a", None]) for i, t in enumerate(texts)], "doc_id long, text string, `_row` string, `odd name` array<string>")
+    marks = spark.createDataFrame([(i % 6, t[:2]) for i, t in enumerate(texts) if t], "doc_id long, domain string")
+    out = mixing.mixed(docs, marks, {"en": 0.5, "fr": 0.5})
+    assert out.columns == docs.columns
+    came, left = (Counter(tuple(map(str, r)) for r in rows.collect()) for rows in (docs, out))
+    assert left >= came and set(left) == set(came)
+    assert mixing.mixed(docs.limit(0), marks, {"en": 1.0}).count() == 0
+
+
+def test_slices_bound_rows_and_bytes():
+    import pyarrow as pa
+
+    from terrace.llm.common import SLICE_BYTES, text_slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array([None, "", "abc"] * 400 + ["x" * (SLICE_BYTES + 1)] * 2)], ["text"])
+    ranges = list(text_slices(batch, rows=256))
+    assert [a for a, _ in ranges[1:]] == [b for _, b in ranges[:-1]] and (ranges[0][0], ranges[-1][1]) == (0, 1202)
+    assert max(b - a for a, b in ranges) == 256 and ranges[-2:] == [(1200, 1201), (1201, 1202)]
+
+
 def test_rates_are_the_least_squares_optimum(spark):
     """The targets are met, and by the rates that plain projected gradient in NumPy ends with."""
     rng = np.random.default_rng(0)
