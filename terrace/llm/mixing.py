@@ -58,7 +58,8 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, limit: int = TRAINING_ROWS
     """Learns domain posteriors from ``labelled`` (``doc_id, domain``), about ``limit`` rows chosen by a hash of the id.
 
     Null domains don't teach; of several domains of one id the first by order
-    counts. All labelled domains are told apart; they are a short list.
+    counts. All labelled domains are told apart; they are a short list. Without
+    a labelled document every text has the domains' shares of the labels.
     """
     usable = labelled.where(F.col("domain").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col("domain").cast("string")).alias("domain"))
     sizes = usable.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "domain").collect()
@@ -80,6 +81,9 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, limit: int = TRAINING_ROWS
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["label", "found"])
 
     table = written(map_batches(rows, describe, "label double, found array<double>"), "domain-training")
+    if table.isEmpty():
+        # No labelled document has a row: the shares of the labels are all that is known.
+        return DomainModel(domains, np.zeros((len(domains), WIDTH)), np.log(prior), prior)
     model = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=50).fit(table.select("label", array_to_vector("found").alias("features")))
     weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     # A domain without a sampled row has no weights of its own.
