@@ -237,8 +237,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> Score
     lexicon = learn_lexicon(rows)
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0.0)).alias("toxic")).first()
     if not lexicon:
-        rate = (size.toxic + 0.5) / (size.n + 1)
-        return Scorer({}, [0.0] * len(FEATURES), math.log(rate / (1 - rate)) if 0 < rate < 1 else -3.0)
+        # Half a text at a tenth: without labels nothing speaks against a text.
+        rate = (size.toxic + 0.05) / (size.n + 0.5)
+        return Scorer({}, [0.0] * len(FEATURES), math.log(rate / (1 - rate)) if 0 < rate < 1 else 3.0)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = Hits(Automaton(lexicon))
@@ -273,8 +274,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that score below the threshold, with all their columns."""
+    """The rows that score below the threshold, with all their columns; all of them where the labels teach no lexicon."""
     scorer = fit(docs, labels)
+    if not scorer.lexicon:
+        return docs
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = scorer.hits()

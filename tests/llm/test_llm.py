@@ -223,6 +223,15 @@ def test_toxicity_finds_held_out_and_misspelt_texts(spark):
     assert toxicity.toxicity(docs.limit(0), marks.limit(0)).count() == 0
 
 
+def test_toxicity_without_evidence_keeps_all(spark):
+    docs = odd(spark)
+    for marks in (labels(spark, [(0, 1, 0)]).limit(0), labels(spark, [(i, 1, i % 2) for i in range(8)]), labels(spark, [(4, 1, 1), (5, None, None)])):
+        assert toxicity.drop_toxic(docs, marks).count() == 12
+        assert toxicity.drop_toxic(docs.limit(0), marks).count() == 0
+    rows = toxicity.toxicity(docs, labels(spark, [(0, 1, 0)]).limit(0)).collect()
+    assert len(rows) == 12 and {r.predicted for r in rows} == {0} and all(0 <= r.score <= 1 for r in rows)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
