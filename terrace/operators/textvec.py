@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from terrace.functions.parse import normalize_text
+from terrace.session import durable
 
 # Vectorizer settings.
 WORD_SETTINGS = {"ngrams": (1, 2), "min_df": 5, "max_df": 0.95, "terms": 5000}
@@ -84,9 +85,11 @@ def term_stats(df: DataFrame, text: str, analyzer: str = "word", min_df: int | N
     settings = WORD_SETTINGS if analyzer == "word" else CHAR_SETTINGS
     lowest = settings["min_df"] if min_df is None else min_df
     total = df.agg(F.count(F.lit(1)).alias("_docs"))
-    numbered = df.select(F.monotonically_increasing_id().alias("_row"), tokens(analyzer, F.col(text)).alias("_t"))
-    counts = numbered.select("_row", F.explode("_t").alias("term")).groupBy("_row", "term").agg(F.count(F.lit(1)).alias("_tf"))
-    found = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("_tf").alias("total_count"))
+    # A row's sorted tokens tell the first of each term, so only per-task counts of terms are shuffled.
+    ordered = df.select(F.sort_array(tokens(analyzer, F.col(text))).alias("_t"))
+    first = F.transform("_t", lambda t, i: F.struct(t.alias("term"), F.coalesce(F.get("_t", i - 1) != t, F.lit(True)).alias("first")))
+    marked = ordered.select(F.inline(first))
+    found = marked.groupBy("term").agg(F.sum(F.col("first").cast("long")).alias("df"), F.count(F.lit(1)).alias("total_count"))
     joined = found.join(F.broadcast(total), F.lit(True))
     kept = joined.where((F.col("df") >= lowest) & (F.col("df") <= settings["max_df"] * F.col("_docs")))
     # At most `terms` rows reach the numbering window.
@@ -101,15 +104,17 @@ def tfidf_rows(df: DataFrame, row_id: str, text: str, vocabulary: DataFrame, ana
     """Long sparse form: unit-length ``(1 + ln tf) * idf`` weights per row and term.
 
     The vocabulary is bounded by its term limit, so it is broadcast; terms
-    outside it vanish before the weights are grouped by row.
+    outside it vanish before the weights are grouped by row. Texts move once,
+    to the task of their row; counts and norms then need no further shuffle.
     """
-    exploded = df.select(row_id, F.explode(tokens(analyzer, F.col(text))).alias("term"))
+    placed = df.select(row_id, text).repartition(F.col(row_id))
+    exploded = placed.select(row_id, F.explode(tokens(analyzer, F.col(text))).alias("term"))
     counts = exploded.join(F.broadcast(vocabulary.select("term", "idf", "term_index")), "term").groupBy(
         row_id, "term", "term_index", "idf"
     ).agg(F.count(F.lit(1)).alias("tf"))
     weighted = counts.withColumn("_w", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-    norms = weighted.groupBy(row_id).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return weighted.join(norms, row_id).select(row_id, "term", "term_index", "tf", (F.col("_w") / F.col("_norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(row_id)))
+    return weighted.select(row_id, "term", "term_index", "tf", (F.col("_w") / norm).alias("weight"))
 
 
 def tokens(analyzer: str, c: Column) -> Column:
@@ -164,8 +169,9 @@ def text_svd(train: DataFrame, rows: DataFrame, row_id: str, text: str, componen
     size = vocabulary.count()
     if components >= size:
         raise ValueError("fewer components than terms are needed")
-    weights = tfidf_rows(train, row_id, text, vocabulary, analyzer)
-    basis, _ = truncated_svd(sparse_vectors(weights, row_id, size), "tfidf", components)
+    # Every step of the decomposition reads the vectors again, so they are written once.
+    weights = durable(tfidf_rows(train, row_id, text, vocabulary, analyzer), "tfidf")
+    basis, _ = truncated_svd(durable(sparse_vectors(weights, row_id, size), "tfidf-vectors"), "tfidf", components)
     names = [f"svd_{i + 1:02d}" for i in range(components)]
     scored = _zero_filled(rows, project(tfidf_rows(rows, row_id, text, vocabulary, analyzer), row_id, basis), row_id, names)
     fitted = _zero_filled(train, project(weights, row_id, basis), row_id, names)

@@ -680,6 +680,30 @@ def _(spark, sf):
     return audited(spark, sf).select("listing_id", F.array_join("rules_fired", ";").alias("rules_fired"), "validity_status", "recommended_action")
 
 
+SAME_ROW = "price, sz, property_type, building_name, developer, city, state, bedroom, bathroom, parking_lot, completion_year, number_of_floors, total_units, floor_range"
+
+
+@query("quality_audit_evidence", AUDIT_SQL + (
+    f", s AS (SELECT *, CASE WHEN copies > 1 THEN min(listing_id) OVER (PARTITION BY {SAME_ROW}) END AS repeat_group, count(*) OVER (PARTITION BY {SAME_ROW}, tx) > 1 AS same_text FROM c),"
+    " e AS (SELECT *, unnest(fired) AS rule FROM s),"
+    # Field, value and bounds by rule.
+    " f AS (SELECT listing_id, rule, repeat_group, same_text, unnest(CASE rule"
+    " WHEN 'OUTSIDE_BROAD_SIZE_DOMAIN' THEN {'field': 'property_size_sqft', 'value': sz::DOUBLE, 'low': 100::DOUBLE, 'high': 20000::DOUBLE, 'span': NULL::VARCHAR}"
+    r" WHEN 'MULTI_UNIT_BUNDLE_NOT_SINGLE_OBSERVATION' THEN {'field': 'description', 'value': least(len(sizes), len(prices))::DOUBLE, 'low': NULL, 'high': 1, 'span': regexp_extract(tx, '\bselling\s+(?:two|2)\s+units?\b')}"
+    r" WHEN 'BEDROOM_COUNT_DESCRIPTION_CONTRADICTION' THEN {'field': 'bedroom', 'value': bedroom::DOUBLE, 'low': NULL, 'high': 7, 'span': regexp_extract(tx, '\b3\s*[- ]?bedrooms?\b')}"
+    r" WHEN 'BATHROOM_COUNT_CONFIGURATION_CONTRADICTION' THEN {'field': 'bathroom', 'value': bathroom::DOUBLE, 'low': NULL, 'high': bedroom + 3, 'span': regexp_extract(tx, '\b2\s*[- ]?(?:bathrooms?|baths?)\b')}"
+    " WHEN 'POSSIBLE_REPEAT_DIFFERENT_LISTING_ID' THEN {'field': 'listing_id', 'value': copies::DOUBLE, 'low': NULL, 'high': 1, 'span': NULL}"
+    " WHEN 'ISOLATED_FLOOR_COUNT_NEEDS_REVIEW' THEN {'field': 'number_of_floors', 'value': number_of_floors::DOUBLE, 'low': NULL, 'high': 79, 'span': NULL}"
+    " WHEN 'STRATA_TOTAL_UNITS_NEEDS_REVIEW' THEN {'field': 'total_units', 'value': total_units::DOUBLE, 'low': 4, 'high': 4999, 'span': NULL}"
+    " WHEN 'UNSUPPORTED_HIGH_PARKING_COUNT' THEN {'field': 'parking_lot', 'value': parking_lot::DOUBLE, 'low': NULL, 'high': 4, 'span': NULL}"
+    " WHEN 'SINGLE_DESCRIPTION_SIZE_MISMATCH' THEN {'field': 'property_size_sqft', 'value': sz::DOUBLE, 'low': sizes[1] / 1.1::DOUBLE, 'high': sizes[1] / 0.9::DOUBLE, 'span': NULL}"
+    " ELSE {'field': 'total_units', 'value': total_units::DOUBLE, 'low': 1, 'high': 20000, 'span': NULL} END) FROM e)"
+    " SELECT listing_id, rule, field, round(value, 6) AS value, round(low, 6) AS low, round(high, 6) AS high, span, repeat_group, same_text FROM f"))
+def _(spark, sf):
+    rows = audited(spark, sf).select("listing_id", "repeat_group", "same_text", F.explode("evidence").alias("e")).select("listing_id", "e.*", "repeat_group", "same_text")
+    return rounded(rows, 6)
+
+
 @query("quality_audit_diagnostics", AUDIT_SQL + (
     ", q AS (SELECT quantile_cont(price / sz, 0.005) AS u0, quantile_cont(price / sz, 0.995) AS u1, quantile_cont(price, 0.95) AS p95, quantile_cont(price, 0.99) AS p99 FROM c)"
     " SELECT validity_status, count(*) AS rows, CAST(sum((price / sz <= u0 OR price / sz >= u1)::INT) AS BIGINT) AS ppsf_extreme, CAST(sum((bedroom >= 6 OR bathroom >= 6 OR parking_lot >= 5 OR sz < 400 OR sz > 5000 OR coalesce(number_of_floors >= 60, false) OR coalesce(total_units >= 3600, false))::INT) AS BIGINT) AS physical_extreme,"
