@@ -356,7 +356,7 @@ def _(spark, sf):
 
 
 #: Predictors that the adjusted R2 of the rule sets counts.
-PREDICTORS = 7
+RULE_PREDICTORS = 7
 RULE_SQL = """, edge AS (SELECT quantile_cont(actual, 0.95) AS e5, quantile_cont(actual, 0.99) AS e1 FROM scored WHERE model = 'model_a'),
  m AS (SELECT model, count(*) AS n, sqrt(avg(power(predicted - actual, 2))) AS rmse, avg(abs(predicted - actual)) AS mae, 1 - avg(power(predicted - actual, 2)) / var_pop(actual) AS r2, avg(predicted - actual) AS mean_error, avg(actual) AS mean_actual,
   sqrt(avg(power(predicted - actual, 2)) FILTER (WHERE actual >= e5)) AS rmse5, avg(abs(predicted - actual)) FILTER (WHERE actual >= e5) AS mae5, sqrt(avg(power(predicted - actual, 2)) FILTER (WHERE actual >= e1)) AS rmse1 FROM scored, edge GROUP BY model),
@@ -374,7 +374,7 @@ RULE_SQL = """, edge AS (SELECT quantile_cont(actual, 0.95) AS e5, quantile_cont
    [(rmse - brmse) / brmse * 100 <= -1, (mae - bmae) / bmae * 100 <= 0.5, r2 - br2 >= -0.001, (rmse5 - brmse5) / brmse5 * 100 <= 5, abs(mean_error) <= 0.02 * mean_actual, gap <= base_gap + 0.05, rmse_upper < 0] FROM winsor),
  told AS (SELECT rules, model, d, array_to_string(list_filter(names, lambda x, i: NOT coalesce(held[i], FALSE)), ';') AS failed_checks FROM sets),
  best AS (SELECT rules, first(model ORDER BY d, model) AS model FROM told WHERE failed_checks = '' GROUP BY rules)
- SELECT t.rules, t.model, t.failed_checks, CAST(t.failed_checks = '' AS INTEGER) AS passed, coalesce(b.model, 'model_a') AS adopted FROM told t LEFT JOIN best b USING (rules)""".replace("{p}", str(PREDICTORS))
+ SELECT t.rules, t.model, t.failed_checks, CAST(t.failed_checks = '' AS INTEGER) AS passed, coalesce(b.model, 'model_a') AS adopted FROM told t LEFT JOIN best b USING (rules)""".replace("{p}", str(RULE_PREDICTORS))
 
 
 def rule_input(spark: SparkSession, sf: str) -> DataFrame:
@@ -391,7 +391,7 @@ def rule_input(spark: SparkSession, sf: str) -> DataFrame:
     whole = rows.crossJoin(F.broadcast(edges)).groupBy("model").agg(
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(square)).alias("rmse"), F.avg(size).alias("mae"), r2.alias("r2"), F.avg(e).alias("mean_error"), F.avg("actual").alias("mean_actual"),
         F.sqrt(tail(square, "e5")).alias("rmse5"), tail(size, "e5").alias("mae5"), F.sqrt(tail(square, "e1")).alias("rmse1"))
-    whole = whole.withColumn("adjusted", evaluate.adjusted_r2(F.col("r2"), F.col("n"), F.lit(PREDICTORS)))
+    whole = whole.withColumn("adjusted", evaluate.adjusted_r2(F.col("r2"), F.col("n"), F.lit(RULE_PREDICTORS)))
     fold = rows.groupBy("model", "fold").agg(F.sqrt(F.avg(square)).alias("rmse"), F.avg(size).alias("mae"), r2.alias("r2"))
     against = fold.join(F.broadcast(fold.where("model = 'model_a'").select("fold", F.col("rmse").alias("b_rmse"), F.col("mae").alias("b_mae"), F.col("r2").alias("b_r2"))), "fold")
 

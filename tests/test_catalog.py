@@ -28,3 +28,10 @@ def test_query_matches_oracle(spark, name):
     mine = sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=repr)
     at = [result.columns.index(c) for c in sorted(df.columns)]
     assert mine == sorted((tuple(r[i] for i in at) for r in result.fetchall()), key=repr)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are absent")
+@pytest.mark.parametrize("name", ["eval_adjusted_r2", "eval_adoption_rule_sets"])
+def test_predictor_counts_keep_to_their_query(spark, name):
+    """Each of the two queries has its own predictor counts; neither replaces the other's."""
+    test_query_matches_oracle(spark, name)
