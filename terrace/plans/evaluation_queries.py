@@ -341,7 +341,8 @@ GATE = REPORT + ", g AS (SELECT r.model, (r.rmse - b.rmse) AS dr, (r.mae - b.mae
 
 
 def gate_input(spark: SparkSession, sf: str) -> DataFrame:
-    rep = report(spark, sf, "model")
+    # model_a is compared with itself, too: both sides must be the same sums.
+    rep = durable(report(spark, sf, "model"))
     base = rep.where("model = 'model_a'").select(F.col("rmse").alias("_r"), F.col("mae").alias("_m"), F.col("r2").alias("_q"))
     return rep.crossJoin(F.broadcast(base)).select(
         "model", (F.col("rmse") - F.col("_r")).alias("rmse_change"), ((F.col("mae") - F.col("_m")) / F.col("_m") * 100).alias("mae_change_pct"),
@@ -391,8 +392,9 @@ def rule_input(spark: SparkSession, sf: str) -> DataFrame:
     whole = rows.crossJoin(F.broadcast(edges)).groupBy("model").agg(
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(square)).alias("rmse"), F.avg(size).alias("mae"), r2.alias("r2"), F.avg(e).alias("mean_error"), F.avg("actual").alias("mean_actual"),
         F.sqrt(tail(square, "e5")).alias("rmse5"), tail(size, "e5").alias("mae5"), F.sqrt(tail(square, "e1")).alias("rmse1"))
-    whole = whole.withColumn("adjusted", evaluate.adjusted_r2(F.col("r2"), F.col("n"), F.lit(RULE_PREDICTORS)))
-    fold = rows.groupBy("model", "fold").agg(F.sqrt(F.avg(square)).alias("rmse"), F.avg(size).alias("mae"), r2.alias("r2"))
+    # Both sides of a comparison are the same sums: summed again in another order, model_a would differ from itself.
+    whole = durable(whole.withColumn("adjusted", evaluate.adjusted_r2(F.col("r2"), F.col("n"), F.lit(RULE_PREDICTORS))))
+    fold = durable(rows.groupBy("model", "fold").agg(F.sqrt(F.avg(square)).alias("rmse"), F.avg(size).alias("mae"), r2.alias("r2")))
     against = fold.join(F.broadcast(fold.where("model = 'model_a'").select("fold", F.col("rmse").alias("b_rmse"), F.col("mae").alias("b_mae"), F.col("r2").alias("b_r2"))), "fold")
 
     def upper(metric: str):
