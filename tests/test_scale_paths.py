@@ -220,3 +220,45 @@ def test_group_folds_balance_whatever_the_number_of_groups(spark, shape):
 
 def test_group_folds_of_an_empty_table(spark):
     assert folds.assign_group_kfold_balanced(spark.createDataFrame([], "g string"), "g").count() == 0
+
+
+@pytest.mark.parametrize("rows", [0, 1_000_000])
+def test_fold_quantiles_count_values_before_copying(spark, monkeypatch, rows):
+    """Each fold's training quantiles are those of the training rows themselves, on either path."""
+    df = spark.range(4000).selectExpr("id % 2 AS g", "CAST(id % 5 + 1 AS INT) AS fold", "CASE WHEN id % 11 <> 0 THEN CAST(id * 7919 % 1013 AS DOUBLE) / 7 END AS v")
+    wanted = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 1.0}
+    plain = {(g, k): df.where(f"g = {g} AND fold <> {k}").selectExpr(*[f"percentile(v, {q}D) AS {n}" for n, q in wanted.items()]).first() for g in (0, 1) for k in range(1, 6)}
+    monkeypatch.setattr(order, "PERCENTILE_ROWS", rows)
+    found = order.fold_quantiles(df, ["g"], "v", wanted, "fold", 5).collect()
+    assert {(r.g, r.outer_fold): tuple(r[n] for n in wanted) for r in found} == {key: tuple(r) for key, r in plain.items()}
+
+
+def test_large_groups_rank_only_the_rows_near_a_quantile(spark, monkeypatch):
+    """Rows that cannot be a quantile are counted and never shuffled or sorted."""
+    monkeypatch.setattr(order, "PERCENTILE_ROWS", 0)
+    monkeypatch.setattr(order, "bucketed_quantiles", lambda *a: pytest.fail("all rows were ranked"))
+    df = spark.range(200_000).selectExpr("id % 3 AS g", "CAST(id * 7919 % 200003 AS DOUBLE) AS v")
+    found = {r.g: (r.a, r.b) for r in order.quantiles(df, ["g"], "v", {"a": 0.5, "b": 0.99}).collect()}
+    exact = {r.g: (r.a, r.b) for r in df.groupBy("g").agg(*[F.expr(f"percentile(v, {q}D)").alias(n) for n, q in (("a", 0.5), ("b", 0.99))]).collect()}
+    assert found == exact
+
+
+def test_fold_encodings_are_not_interpreted_row_by_row(spark):
+    """The pick of each fold's encoding is compiled: no lambda runs over the joined rows."""
+    from pyspark.sql import functions as F
+
+    from terrace.operators.crossfit import with_fold_encodings
+
+    df = spark.range(100).selectExpr("CAST(id % 3 AS STRING) AS c", "CAST(id % 5 + 1 AS INT) AS fold", "CAST(id % 4 + 1 AS INT) AS _inner", "CAST(id AS DOUBLE) AS _y")
+    overall = df.groupBy(F.col("fold").alias("f"), F.col("_inner").alias("i")).agg(F.count("_y").alias("n"), F.avg("_y").alias("m"), F.var_pop("_y").alias("v")).collect()
+    made = with_fold_encodings(df, "c", "fold", 5, overall)
+    assert "lambdafunction" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_medians_of_many_rows_count_values_once(spark, monkeypatch):
+    """One pass for all columns of a large table, with the medians of a small one."""
+    df = spark.range(3000).selectExpr("CAST(id * 7 % 101 AS DOUBLE) AS a", "CASE WHEN id % 3 <> 0 THEN id % 17 END AS b", "CAST(NULL AS DOUBLE) AS c")
+    small = models._medians(df, ["a", "b", "c"])
+    monkeypatch.setattr(models, "PERCENTILE_ROWS", 0)
+    monkeypatch.setattr(models, "quantiles", lambda *a: pytest.fail("one job a column"))
+    assert models._medians(df, ["a", "b", "c"]) == small
