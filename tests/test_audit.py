@@ -84,3 +84,13 @@ def test_term_counts_by_hand(spark):
     assert norms == {1: pytest.approx(1.0), 2: pytest.approx(1.0)}
     plan = weights._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1
+
+
+def test_exploding_a_list_leaves_the_rules_to_one_place(spark):
+    rows = [case[0] for case in CASES.values()] + [row(30)]
+    listed = audit.validity_audit(spark.createDataFrame(rows, SCHEMA))
+    entries = audit.exploded(listed.select("row_seq", "rules_fired"), "rules_fired", "rule")
+    filters = [line for line in entries._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter " in line]
+    # A filter in front of the generator would hold the rules' expressions once more.
+    assert filters and not any("RLIKE" in line or "size(" in line for line in filters)
+    assert sorted((r.row_seq, r.rule) for r in entries.collect()) == sorted((case[0][0], rule) for rule, case in CASES.items())
