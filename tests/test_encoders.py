@@ -148,3 +148,14 @@ def test_fit_learns_and_blend_weights_sum_to_one(spark):
     wide = scored.select(F.col("actual"), F.col("predicted").alias("x"), (F.col("predicted") * 1.2).alias("y"))
     weights = models.blend_weights(wide, ["x", "y"])
     assert sum(weights.values()) == pytest.approx(1.0) and min(weights.values()) >= 0
+
+
+def test_market_columns_are_written_and_need_no_join_of_their_rows(spark):
+    rows = [(i, "s" if i % 2 else None, f"c{i % 3}", "t", "b", None, float(i), i % 5 + 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, state string, city string, property_type string, building_name string, developer string, unit double, fold int")
+    out = encode.micro_market_oof(df, "unit")
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    first = {r.id: r for r in out.collect()}[0]
+    # Row 0 learns from the other folds' rows of its state (none given), that is from the even ids outside fold 1.
+    others = [r[6] for r in rows if r[1] is None and r[7] != 1]
+    assert first.micro_state_count == len(others) and first.micro_state_mean == pytest.approx(sum(others) / len(others))
