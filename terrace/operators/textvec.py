@@ -6,9 +6,11 @@ aggregates; sparse ML vectors are made from it only where MLlib needs them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.linalg import VectorUDT
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -19,6 +21,8 @@ from terrace.session import durable
 # Vectorizer settings.
 WORD_SETTINGS = {"ngrams": (1, 2), "min_df": 5, "max_df": 0.95, "terms": 5000}
 CHAR_SETTINGS = {"ngrams": (3, 5), "min_df": 5, "max_df": 1.0, "terms": 3000}
+# Block width beyond the wanted components, most columns of the search space, error bound of the eigenpairs, most passes, and entries that a task multiplies at once.
+EXTRA, SPACE, TOLERANCE, PASSES, ENTRIES = 10, 400, 1e-10, 300, 1 << 17
 
 
 def plain(c: Column) -> Column:
@@ -47,24 +51,25 @@ def _cuts(word: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.substr(word, i, F.lit(n)))
 
 
-def word_tokens(c: Column, ngrams: tuple[int, int] = (1, 2)) -> Column:
-    """Words of two or more characters, and runs of them joined by a space."""
-    words = F.regexp_extract_all(plain(c), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    grams = []
-    for n in range(ngrams[0], ngrams[1] + 1):
-        if n == 1:
-            grams.append(words)
-        else:
-            grams.append(_runs(words, n))
-    return F.concat(*grams)
+def word_list(c: Column) -> Column:
+    """Words of two or more characters."""
+    return F.regexp_extract_all(plain(c), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+
+
+def word_grams(words: Column, ngrams: tuple[int, int] = (1, 2)) -> Column:
+    """Words and runs of them joined by a space."""
+    return F.concat(*[words if n == 1 else _runs(words, n) for n in range(ngrams[0], ngrams[1] + 1)])
+
 
+def padded_words(c: Column) -> Column:
+    return F.transform(F.filter(F.split(plain(c), " "), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
-def char_tokens(c: Column, ngrams: tuple[int, int] = (3, 5)) -> Column:
+
+def char_grams(words: Column, ngrams: tuple[int, int] = (3, 5)) -> Column:
     """Character n-grams inside words, each word padded with one space.
 
     A padded word shorter than n yields itself, once.
     """
-    words = F.transform(F.filter(F.split(plain(c), " "), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
     def of(word: Column) -> Column:
         pieces = []
@@ -86,9 +91,10 @@ def term_stats(df: DataFrame, text: str, analyzer: str = "word", min_df: int | N
     lowest = settings["min_df"] if min_df is None else min_df
     total = df.agg(F.count(F.lit(1)).alias("_docs"))
     # A row's sorted tokens tell the first of each term, so only per-task counts of terms are shuffled.
-    ordered = df.select(F.sort_array(tokens(analyzer, F.col(text))).alias("_t"))
+    ordered = with_tokens(df.select(text), analyzer, text).select(F.sort_array("_tokens").alias("_t"))
     first = F.transform("_t", lambda t, i: F.struct(t.alias("term"), F.coalesce(F.get("_t", i - 1) != t, F.lit(True)).alias("first")))
-    marked = ordered.select(F.inline(first))
+    # An outer generator: Spark infers a filter in front of others, which would cut each text once more.
+    marked = ordered.select(F.inline_outer(first)).where("term IS NOT NULL")
     found = marked.groupBy("term").agg(F.sum(F.col("first").cast("long")).alias("df"), F.count(F.lit(1)).alias("total_count"))
     joined = found.join(F.broadcast(total), F.lit(True))
     kept = joined.where((F.col("df") >= lowest) & (F.col("df") <= settings["max_df"] * F.col("_docs")))
@@ -108,7 +114,7 @@ def tfidf_rows(df: DataFrame, row_id: str, text: str, vocabulary: DataFrame, ana
     to the task of their row; counts and norms then need no further shuffle.
     """
     placed = df.select(row_id, text).repartition(F.col(row_id))
-    exploded = placed.select(row_id, F.explode(tokens(analyzer, F.col(text))).alias("term"))
+    exploded = with_tokens(placed, analyzer, text).select(row_id, F.explode_outer("_tokens").alias("term"))
     counts = exploded.join(F.broadcast(vocabulary.select("term", "idf", "term_index")), "term").groupBy(
         row_id, "term", "term_index", "idf"
     ).agg(F.count(F.lit(1)).alias("tf"))
@@ -117,12 +123,12 @@ def tfidf_rows(df: DataFrame, row_id: str, text: str, vocabulary: DataFrame, ana
     return weighted.select(row_id, "term", "term_index", "tf", (F.col("_w") / norm).alias("weight"))
 
 
-def tokens(analyzer: str, c: Column) -> Column:
-    if analyzer == "word":
-        return word_tokens(c, WORD_SETTINGS["ngrams"])
-    if analyzer == "char":
-        return char_tokens(c, CHAR_SETTINGS["ngrams"])
-    raise ValueError(f"unknown analyzer: {analyzer}")
+def with_tokens(df: DataFrame, analyzer: str, text: str) -> DataFrame:
+    """Adds ``_tokens``. The words are a column of their own, so that each text is cut once, however often its words are used."""
+    if analyzer not in ("word", "char"):
+        raise ValueError(f"unknown analyzer: {analyzer}")
+    cut, grams, settings = (word_list, word_grams, WORD_SETTINGS) if analyzer == "word" else (padded_words, char_grams, CHAR_SETTINGS)
+    return df.withColumn("_words", cut(F.col(text))).withColumn("_tokens", grams(F.col("_words"), settings["ngrams"])).drop("_words")
 
 
 def sparse_vectors(weights: DataFrame, row_id: str, size: int, output: str = "tfidf") -> DataFrame:
@@ -136,15 +142,88 @@ def sparse_vectors(weights: DataFrame, row_id: str, size: int, output: str = "tf
     return entries.select(row_id, F.from_json(F.to_json(F.struct(fields.alias("v"))), holder)["v"].alias(output))
 
 
-def truncated_svd(vectors: DataFrame, column: str, components: int):
-    """Right singular vectors and singular values of the rows.
-
-    The rows stay distributed; the term-by-component basis (vocabulary size
-    times ``components``) is the only thing that reaches the driver.
+def sparse_rows(weights: DataFrame, row_id: str) -> DataFrame:
+    """``indices`` and ``values`` of each row, as arrays."""
+    entries = weights.groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("term_index", "weight"))).alias("_e"))
+    return entries.select(row_id, F.col("_e.term_index").alias("indices"), F.col("_e.weight").alias("values"))
+
+
+def gram_product(rows: DataFrame, size: int, block: np.ndarray) -> np.ndarray:
+    """``X'X block`` of sparse rows ``X``: one pass, in which a task emits one line a term."""
+    width = block.shape[1]
+    shared = rows.sparkSession.sparkContext.broadcast(block)
+    names = [f"c{i}" for i in range(width)]
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right, total = shared.value, np.zeros((width, size))
+        for batch in batches:
+            index, value = (batch.column(n).flatten().to_numpy() for n in ("indices", "values"))
+            lengths = np.diff(batch.column("indices").offsets.to_numpy())
+            ends = np.cumsum(lengths)
+            first = 0
+            while first < len(ends):
+                begin = ends[first] - lengths[first]
+                last = max(first + 1, int(np.searchsorted(ends, begin + ENTRIES, side="right")))
+                i, v, per_row = index[begin : ends[last - 1]], value[begin : ends[last - 1]], lengths[first:last]
+                sums = np.add.reduceat(v[:, None] * right[i], (ends[first:last] - per_row - begin), axis=0)
+                spread = np.repeat(sums, per_row, axis=0) * v[:, None]
+                for c in range(width):
+                    total[c] += np.bincount(i, weights=spread[:, c], minlength=size)
+                first = last
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), *[pa.array(c) for c in total]], ["term_index", *names])
+
+    parts = rows.select("indices", "values").mapInArrow(multiply, "term_index int, " + ", ".join(f"{n} double" for n in names))
+    found = parts.groupBy("term_index").agg(*[F.sum(n).alias(n) for n in names]).collect()
+    shared.destroy()
+    out = np.zeros((size, width))
+    for line in found:
+        out[line[0]] = line[1:]
+    return out
+
+
+def _orthonormal(block: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Orthonormal columns of what ``block`` adds to ``basis``; columns that add nothing vanish."""
+    norms = np.linalg.norm(block, axis=0)
+    left = block[:, norms > 0] / norms[norms > 0]
+    for _ in range(2):
+        left = left - basis @ (basis.T @ left)
+    u, s, _ = np.linalg.svd(left, full_matrices=False)
+    kept = u[:, s > 1e-12]
+    kept = kept - basis @ (basis.T @ kept)
+    return np.linalg.qr(kept)[0]
+
+
+def truncated_svd(rows: DataFrame, size: int, components: int) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors and singular values of sparse rows (``indices``, ``values``).
+
+    Block Lanczos on ``X'X`` with full reorthogonalisation: a pass multiplies a
+    whole block of vectors, so few passes are needed, and their number doesn't
+    depend on the rows. Only term-by-block matrices reach the driver.
     """
-    old = MLUtils.convertVectorColumnsFromML(vectors.select(column), column)
-    svd = RowMatrix(old).computeSVD(components, computeU=False)
-    return svd.V.toArray(), svd.s.toArray()
+    width = min(size, components + EXTRA)
+    block = np.linalg.qr(np.random.default_rng(42).standard_normal((size, width)))[0]
+    basis, products = np.zeros((size, 0)), np.zeros((size, 0))
+    for _ in range(PASSES):
+        product = gram_product(rows, size, block)
+        basis, products = np.hstack([basis, block]), np.hstack([products, product])
+        small = basis.T @ products
+        values, turns = np.linalg.eigh((small + small.T) / 2.0)
+        turns = turns[:, ::-1]
+        found, image = basis @ turns, products @ turns
+        values = values[::-1]
+        gaps = np.linalg.norm(image[:, :components] - found[:, :components] * values[:components], axis=0)
+        if gaps.max() <= TOLERANCE * max(values[0], 0.0):
+            break
+        if basis.shape[1] + width > SPACE and basis.shape[1] > 3 * width:
+            # Start again from the best part of the space; its products are known.
+            held = 2 * width
+            basis, products = found[:, :held], image[:, :held]
+        block = _orthonormal(product, basis)
+        if block.shape[1] == 0:
+            break
+    else:
+        raise ValueError("the components did not converge")
+    return found[:, :components], np.sqrt(np.maximum(values[:components], 0.0))
 
 
 def project(weights: DataFrame, row_id: str, basis) -> DataFrame:
@@ -169,16 +248,21 @@ def text_svd(train: DataFrame, rows: DataFrame, row_id: str, text: str, componen
     size = vocabulary.count()
     if components >= size:
         raise ValueError("fewer components than terms are needed")
-    # Every step of the decomposition reads the vectors again, so they are written once.
-    weights = durable(tfidf_rows(train, row_id, text, vocabulary, analyzer), "tfidf")
-    basis, _ = truncated_svd(durable(sparse_vectors(weights, row_id, size), "tfidf-vectors"), "tfidf", components)
+    # Every step of the decomposition reads the rows again, so they are written once.
+    vectors = durable(sparse_rows(tfidf_rows(train, row_id, text, vocabulary, analyzer), row_id), "tfidf-rows")
+    basis, _ = truncated_svd(vectors, size, components)
+    weights = vectors.select(row_id, F.inline(F.arrays_zip(F.col("indices").alias("term_index"), F.col("values").alias("weight"))))
     names = [f"svd_{i + 1:02d}" for i in range(components)]
-    scored = _zero_filled(rows, project(tfidf_rows(rows, row_id, text, vocabulary, analyzer), row_id, basis), row_id, names)
     fitted = _zero_filled(train, project(weights, row_id, basis), row_id, names)
-    total = _zero_filled(train, weights.groupBy(row_id, "term_index").agg(F.sum("weight").alias("_w")), row_id, [])
-    spread = total.groupBy("term_index").agg(F.sum("_w").alias("_s"), F.sum(F.col("_w") * F.col("_w")).alias("_q"))
+    scored = fitted if rows is train else _zero_filled(rows, project(tfidf_rows(rows, row_id, text, vocabulary, analyzer), row_id, basis), row_id, names)
+    # A row counts as often as its id comes in the table.
+    copies = train.groupBy(row_id).agg(F.count(F.lit(1)).alias("_k"))
+    repeated = copies.where("_k > 1").withColumn("_k", F.col("_k") - 1).join(vectors, row_id)
+    counted = vectors.where(F.col(row_id).isNotNull()).withColumn("_k", F.lit(1)).unionByName(repeated)
+    entries = counted.select("_k", F.inline(F.arrays_zip(F.col("indices").alias("term_index"), F.col("values").alias("_w"))))
+    spread = entries.groupBy("term_index").agg(F.sum(F.col("_k") * F.col("_w")).alias("_s"), F.sum(F.col("_k") * F.col("_w") * F.col("_w")).alias("_q"))
     docs = train.agg(F.count(F.lit(1)).alias("_n"))
-    overall = spread.where(F.col("term_index").isNotNull()).crossJoin(F.broadcast(docs)).agg(
+    overall = spread.crossJoin(F.broadcast(docs)).agg(
         F.sum(F.col("_q") / F.col("_n") - F.pow(F.col("_s") / F.col("_n"), F.lit(2.0))).alias("_total")
     )
     parts = fitted.agg(*[F.var_pop(n).alias(n) for n in names]).unpivot([], names, "component", "variance")

@@ -1,5 +1,6 @@
 """Every audit rule on a literal row, with the evidence it leaves."""
 
+import numpy as np
 import pytest
 
 from terrace.operators import audit, textvec
@@ -94,3 +95,33 @@ def test_exploding_a_list_leaves_the_rules_to_one_place(spark):
     # A filter in front of the generator would hold the rules' expressions once more.
     assert filters and not any("RLIKE" in line or "size(" in line for line in filters)
     assert sorted((r.row_seq, r.rule) for r in entries.collect()) == sorted((case[0][0], rule) for rule, case in CASES.items())
+
+
+def test_svd_equals_the_dense_decomposition(spark):
+    """Repeated ids and texts without terms count as rows; the parts of the variance come from the whole spectrum."""
+    words = [f"w{i}x" for i in range(12)]
+    docs = [(i, " ".join(words[(i * k + i // 3) % 12] for k in range(1, 6))) for i in range(40)] + [(7, "w1x w2x"), (90, ""), (None, "w3x w4x")]
+    df = spark.createDataFrame(docs, "i long, t string")
+    vocabulary = textvec.term_stats(df, "t", min_df=2)
+    size = vocabulary.count()
+    weights = textvec.tfidf_rows(df, "i", "t", vocabulary).collect()
+    ids = sorted({r.i for r in weights}, key=lambda v: (v is None, v))
+    dense = np.zeros((len(ids), size))
+    for r in weights:
+        dense[ids.index(r.i), r.term_index] = r.weight
+    right = np.linalg.svd(dense, full_matrices=False)[2][:3]
+    full = np.array([dense[ids.index(i)] if i is not None and i in ids else np.zeros(size) for i, _ in docs])
+    expected = np.abs(full @ right.T)
+    scores, ratio = textvec.text_svd(df, df, "i", "t", 3, min_df=2)
+    found = sorted(np.abs([r.svd_01, r.svd_02, r.svd_03]).round(8).tolist() for r in scores.collect())
+    assert np.allclose(found, sorted(expected.round(8).tolist()), atol=1e-7)
+    shares = (full @ right.T).var(axis=0) / full.var(axis=0).sum()
+    assert [r.explained_ratio for r in ratio.orderBy("component").collect()] == [pytest.approx(v) for v in shares]
+
+
+def test_texts_are_cut_once(spark):
+    """No inferred filter cuts the texts a second time, and the words are a column of their own."""
+    docs = spark.createDataFrame([(1, "red red blue")], "i long, t string")
+    vocabulary = textvec.term_stats(docs, "t", min_df=1)
+    for df in (vocabulary, textvec.tfidf_rows(docs, "i", "t", spark.createDataFrame(vocabulary.collect(), vocabulary.schema))):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
