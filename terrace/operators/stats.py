@@ -407,9 +407,11 @@ def row_missing_distribution(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def wide_predictions(scored: DataFrame, row_id: str, models: list[str]) -> DataFrame:
-    """One row per id with a ``prediction__<model>`` column per model."""
-    wide = scored.groupBy(row_id).pivot("model", models).agg(F.first("predicted"))
-    return wide.withColumnsRenamed({m: f"prediction__{m}" for m in models})
+    """One row per id with a ``prediction__<model>`` column per model; of repeated predictions the greatest.
+
+    A pivot would shuffle every prediction with its model's name first, and the ids once more.
+    """
+    return scored.groupBy(row_id).agg(*[F.max(F.when(F.col("model") == m, F.col("predicted"))).alias(f"prediction__{m}") for m in models])
 
 
 def long_predictions(wide: DataFrame, row_id: str, models: list[str]) -> DataFrame:

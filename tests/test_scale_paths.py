@@ -279,3 +279,12 @@ def test_cohorts_are_told_without_a_sort(spark):
     assert "Generate explode" not in plan and "Sort [" not in plan
     none = filters.cohort_summary(df.where("developer IS NULL"), ["developer"], ["developer"], ["developer"], "i")
     assert sorted(r.cohort for r in none.collect()) == ["A_current", "H_missing_indicators"]
+
+
+def test_wide_predictions_shuffle_each_id_once(spark):
+    from terrace.operators import stats
+
+    rows = spark.createDataFrame([(1, "a", 1.0), (1, "b", None), (1, "b", 4.0), (2, "b", 3.0), (2, "b", 2.0), (3, "c", 1.0)], "i long, model string, predicted double")
+    wide = stats.wide_predictions(rows, "i", ["a", "b"])
+    assert sorted(map(tuple, wide.collect())) == [(1, 1.0, 4.0), (2, None, 3.0), (3, None, None)]
+    assert wide._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 2
