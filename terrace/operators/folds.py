@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.operators.filters import training_copies
-from terrace.operators.order import hashed_rank, null_safe_join, quantiles
+from terrace.operators.order import hashed_rank, null_safe_join, quantiles, training_quantiles
 from terrace.operators.skew import attach, group_sizes
 from terrace.session import durable
 
@@ -106,12 +106,10 @@ def tail_trim_cutoffs(df: DataFrame, value: str, levels=TRIM_LEVELS, folds: int
     Counts come from (fold, value) totals, so the table is read once and the
     five training copies are made of counts, not of rows.
     """
-    copies = training_copies(df.select("fold", value), "fold", folds)
-    cuts = quantiles(copies, ["outer_fold"], value, _cutoff_columns(levels))
+    counts = durable(df.groupBy("fold", value).agg(F.count(F.lit(1)).alias("_k")), "counts")
+    cuts = training_quantiles(df, value, _cutoff_columns(levels), folds=folds)
     per_level = cuts.select("outer_fold", F.explode(_level_structs(levels)).alias("_l")).select("outer_fold", "_l.*")
-    joined = copies.groupBy("outer_fold", value).agg(F.count(F.lit(1)).alias("_n")).join(
-        F.broadcast(per_level), "outer_fold"
-    )
+    joined = training_copies(counts.withColumnRenamed("_k", "_n"), "fold", folds).join(F.broadcast(per_level), "outer_fold")
     kept = F.col("cutoff").isNull() | (F.col(value) <= F.col("cutoff"))
     grouped = joined.groupBy("trim_level", "removal_pct", "outer_fold").agg(
         F.sum("_n").alias("training_rows_before"),
@@ -120,7 +118,7 @@ def tail_trim_cutoffs(df: DataFrame, value: str, levels=TRIM_LEVELS, folds: int
         F.max("cutoff").alias("cutoff"),
         F.max(F.when(kept, F.col(value))).alias("max_retained"),
     )
-    validation = df.groupBy("fold").agg(F.count(F.lit(1)).alias("validation_rows"))
+    validation = counts.groupBy("fold").agg(F.sum("_k").alias("validation_rows"))
     return grouped.withColumnRenamed("outer_fold", "fold").join(F.broadcast(validation), "fold").select(
         "trim_level", "removal_pct", "fold", "training_rows_before", "training_rows_removed", "training_rows_retained",
         (F.col("training_rows_removed") * 100.0 / F.col("training_rows_before")).alias("actual_removal_pct"),
@@ -174,44 +172,45 @@ def winsor_bounds(df: DataFrame, value: str, settings=WINSOR_SETTINGS, folds: in
     """Bounds and clipped counts per setting and outer fold, from training rows."""
     for _, lo, hi in settings:
         check_winsor(lo, hi)
-    copies = training_copies(df.select("fold", value), "fold", folds)
+    rows = durable(df.select("fold", value), "values")
     wanted = {f"_{n}_{side}": q for n, lo, hi in settings for side, q in (("lo", lo), ("hi", hi)) if q is not None}
-    bounds = quantiles(copies, ["outer_fold"], value, wanted)
-    per = bounds.select("outer_fold", F.explode(F.array(*[
+    bounds = training_quantiles(rows, value, wanted, folds=folds)
+    copies = training_copies(rows, "fold", folds).join(F.broadcast(bounds), "outer_fold")
+    # Every row meets the bounds of all settings at once; only one line a fold leaves a task.
+    clipped = {f"{n}_{side}": F.col(value) < F.col(f"_{n}_lo") if side == "lo" else F.col(value) > F.col(f"_{n}_hi") for n, lo, hi in settings for side, q in (("lo", lo), ("hi", hi)) if q is not None}
+    totals = copies.groupBy("outer_fold").agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.max(b).alias(b) for b in wanted], *[F.count_if(hit).alias(n) for n, hit in clipped.items()]
+    )
+    return totals.select(F.col("outer_fold").alias("fold"), F.inline(F.array(*[
         F.struct(
             F.lit(n).alias("setting"),
             (F.col(f"_{n}_lo") if lo is not None else F.lit(None).cast("double")).alias("lower_bound"),
             (F.col(f"_{n}_hi") if hi is not None else F.lit(None).cast("double")).alias("upper_bound"),
+            (F.col(f"{n}_lo") if lo is not None else F.lit(0)).cast("long").alias("lower_clipped"),
+            (F.col(f"{n}_hi") if hi is not None else F.lit(0)).cast("long").alias("upper_clipped"),
+            F.col("_rows").alias("training_rows"),
         ) for n, lo, hi in settings
-    ])).alias("_s")).select("outer_fold", "_s.*")
-    counts = copies.groupBy("outer_fold", value).agg(F.count(F.lit(1)).alias("_n"))
-    joined = counts.join(F.broadcast(per), "outer_fold")
-    return joined.groupBy("setting", "outer_fold").agg(
-        F.max("lower_bound").alias("lower_bound"), F.max("upper_bound").alias("upper_bound"),
-        F.coalesce(F.sum(F.when(F.col(value) < F.col("lower_bound"), F.col("_n"))), F.lit(0)).alias("lower_clipped"),
-        F.coalesce(F.sum(F.when(F.col(value) > F.col("upper_bound"), F.col("_n"))), F.lit(0)).alias("upper_clipped"),
-        F.sum("_n").alias("training_rows"),
-    ).withColumnRenamed("outer_fold", "fold")
+    ]))).select("setting", "fold", "lower_bound", "upper_bound", "lower_clipped", "upper_clipped", "training_rows")
 
 
 def winsorize(df: DataFrame, value: str, lower: float | None, upper: float | None, folds: int = 5) -> DataFrame:
     """Training copies with the value clipped to that fold's bounds; no row is removed."""
     copies = training_copies(df, "fold", folds)
-    bounds = winsor_bounds(df, value, (("s", lower, upper),), folds).select(
-        F.col("fold").alias("outer_fold"), "lower_bound", "upper_bound"
-    )
+    check_winsor(lower, upper)
+    wanted = {n: q for n, q in (("lower_bound", lower), ("upper_bound", upper)) if q is not None}
+    bounds = training_quantiles(df, value, wanted, folds=folds)
     joined = null_safe_join(copies, F.broadcast(bounds), ["outer_fold"])
     clipped = F.col(value)
     if lower is not None:
         clipped = F.greatest(clipped, F.col("lower_bound"))
     if upper is not None:
         clipped = F.least(clipped, F.col("upper_bound"))
-    return joined.withColumn(f"{value}_clipped", clipped).drop("lower_bound", "upper_bound")
+    return joined.withColumn(f"{value}_clipped", clipped).drop(*wanted)
 
 
 def fold_premium_labels(df: DataFrame, value: str, q: float, folds: int = 5) -> DataFrame:
     """Every row for every outer fold, labelled by that fold's training quantile."""
-    bounds = quantiles(training_copies(df.select("fold", value), "fold", folds), ["outer_fold"], value, {"threshold": q})
+    bounds = training_quantiles(df, value, {"threshold": q}, folds=folds)
     copies = df.withColumn("outer_fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
     joined = null_safe_join(copies, F.broadcast(bounds), ["outer_fold"])
     return joined.withColumn("is_premium", (F.col(value) >= F.col("threshold")).cast("int")).withColumn(

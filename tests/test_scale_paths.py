@@ -288,3 +288,25 @@ def test_wide_predictions_shuffle_each_id_once(spark):
     wide = stats.wide_predictions(rows, "i", ["a", "b"])
     assert sorted(map(tuple, wide.collect())) == [(1, 1.0, 4.0), (2, None, 3.0), (3, None, None)]
     assert wide._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 2
+
+
+@pytest.mark.parametrize("limit", [1, 1_000_000])
+def test_training_quantiles_without_copies(spark, monkeypatch, limit):
+    from terrace.operators import folds, order
+
+    monkeypatch.setattr(order, "PERCENTILE_ROWS", limit)
+    rows = [(i, i % 5 + 1, float((i * 37) % 101)) for i in range(400)] + [(401, 1, None), (402, 2, float("nan")), (403, None, 5.0)]
+    df = spark.createDataFrame(rows, "i long, fold int, v double")
+    wanted = {f"q{i}": q for i, q in enumerate((0.0, 0.005, 0.05, 0.333, 0.5, 0.9, 0.99, 1.0))}
+    found = {r.outer_fold: r for r in order.training_quantiles(df, "v", wanted).collect()}
+    for k in range(1, 6):
+        values = [v for _, f, v in rows if f is not None and f != k and v is not None and v == v]
+        assert [found[k][n] for n in wanted] == [pytest.approx(float(np.quantile(values, q))) for q in wanted.values()]
+    bounds = folds.winsor_bounds(df, "v", (("s", 0.05, 0.95), ("u", None, 0.9)))
+    for r in bounds.collect():
+        train = [v for _, f, v in rows if f is not None and f != r.fold]
+        assert r.training_rows == len(train)
+        low = 0 if r.lower_bound is None else sum(v is not None and v < r.lower_bound for v in train)
+        assert (r.lower_clipped, r.upper_clipped) == (low, sum(v is not None and (v != v or v > r.upper_bound) for v in train))
+    plan = order.training_quantiles(df, "v", wanted)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(1, 5" not in plan
