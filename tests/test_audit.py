@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from terrace.operators import audit, textvec
+from terrace.operators import audit, skew, textvec
 
 SCHEMA = (
     "row_seq long, listing_id long, price double, property_size_sqft double, property_type string, bedroom double, bathroom double, "
@@ -125,3 +125,24 @@ def test_texts_are_cut_once(spark):
     vocabulary = textvec.term_stats(docs, "t", min_df=1)
     for df in (vocabulary, textvec.tfidf_rows(docs, "i", "t", spark.createDataFrame(vocabulary.collect(), vocabulary.schema))):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_rows_are_written_with_one_digest(spark):
+    """Digests of copies and texts are made of what is there, for repeated rows only."""
+    rows = spark.createDataFrame([row(1), row(2)], SCHEMA)
+    written = audit.digested(rows, "listing_id", "row_seq")
+    assert written.columns == [*rows.columns, "_repeat_k"]
+    assert all(name.endswith(".zstd.parquet") for name in written.inputFiles())
+
+
+def test_marks_are_equal_where_rows_move(spark, monkeypatch):
+    """Copies, equal texts and first rows by the shuffled join, with rows alone among them."""
+    same = {"price": 1e6}
+    listed = [row(1, **same), row(2, 1, **same), row(3, description="A HOME", **same), row(4, description="other", **same), *[row(i) for i in range(10, 40)]]
+    wanted = {1: (4, 1, 2, 1, 3, 1), 2: (4, 1, 2, 1, 3, 1), 3: (4, 1, None, None, 3, 1), 4: (4, 1, None, None, None, None)}
+    for limit in (0, 10**9):
+        monkeypatch.setattr(skew, "BROADCAST_BYTES", limit)
+        marks = audit.duplicate_marks(audit.digested(spark.createDataFrame(listed, SCHEMA), "listing_id", "row_seq"), "listing_id", "row_seq")
+        names = ("_repeat_size", "_repeat_first", "_exact_size", "_exact_first", "_same_size", "_same_first")
+        found = {r.row_seq: tuple(r[n] for n in names) for r in marks.collect()}
+        assert len(found) == 34 and all(found[i] == wanted.get(i, (None,) * 6) for i in found)
