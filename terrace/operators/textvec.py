@@ -90,12 +90,7 @@ def term_stats(df: DataFrame, text: str, analyzer: str = "word", min_df: int | N
     settings = WORD_SETTINGS if analyzer == "word" else CHAR_SETTINGS
     lowest = settings["min_df"] if min_df is None else min_df
     total = df.agg(F.count(F.lit(1)).alias("_docs"))
-    # A row's sorted tokens tell the first of each term, so only per-task counts of terms are shuffled.
-    ordered = with_tokens(df.select(text), analyzer, text).select(F.sort_array("_tokens").alias("_t"))
-    first = F.transform("_t", lambda t, i: F.struct(t.alias("term"), F.coalesce(F.get("_t", i - 1) != t, F.lit(True)).alias("first")))
-    # An outer generator: Spark infers a filter in front of others, which would cut each text once more.
-    marked = ordered.select(F.inline_outer(first)).where("term IS NOT NULL")
-    found = marked.groupBy("term").agg(F.sum(F.col("first").cast("long")).alias("df"), F.count(F.lit(1)).alias("total_count"))
+    found = char_counts(df, text) if analyzer == "char" else token_counts(df, text, analyzer)
     joined = found.join(F.broadcast(total), F.lit(True))
     kept = joined.where((F.col("df") >= lowest) & (F.col("df") <= settings["max_df"] * F.col("_docs")))
     # At most `terms` rows reach the numbering window.
@@ -106,6 +101,35 @@ def term_stats(df: DataFrame, text: str, analyzer: str = "word", min_df: int | N
     )
 
 
+def token_counts(df: DataFrame, text: str, analyzer: str) -> DataFrame:
+    """``term, df, total_count`` of all terms."""
+    # A row's sorted tokens tell the first of each term, so only per-task counts of terms are shuffled.
+    ordered = with_tokens(df.select(text), analyzer, text).select(F.sort_array("_tokens").alias("_t"))
+    first = F.transform("_t", lambda t, i: F.struct(t.alias("term"), F.coalesce(F.get("_t", i - 1) != t, F.lit(True)).alias("first")))
+    # An outer generator: Spark infers a filter in front of others, which would cut each text once more.
+    marked = ordered.select(F.inline_outer(first)).where("term IS NOT NULL")
+    return marked.groupBy("term").agg(F.sum(F.col("first").cast("long")).alias("df"), F.count(F.lit(1)).alias("total_count"))
+
+
+def char_counts(df: DataFrame, text: str) -> DataFrame:
+    """:func:`token_counts` of character n-grams, which depend on words alone.
+
+    Total counts come from the words of the whole table, each cut once; the
+    texts of a term from the distinct words of each text.
+    """
+    def listed(rows: DataFrame, entries: Column, name: str) -> DataFrame:
+        # Outer generators: see token_counts.
+        return rows.select("*", F.explode_outer(entries).alias(name)).where(F.col(name).isNotNull())
+
+    ngrams = CHAR_SETTINGS["ngrams"]
+    words = df.select(padded_words(F.col(text)).alias("_words"))
+    counted = listed(words, F.col("_words"), "_word").groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    totals = listed(counted, char_grams(F.array("_word"), ngrams), "term").groupBy("term").agg(F.sum("_n").alias("total_count"))
+    own = words.select(F.array_distinct("_words").alias("_words"))
+    texts = listed(own, F.array_distinct(char_grams(F.col("_words"), ngrams)), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return texts.join(totals, "term").select("term", "df", "total_count")
+
+
 def tfidf_rows(df: DataFrame, row_id: str, text: str, vocabulary: DataFrame, analyzer: str = "word") -> DataFrame:
     """Long sparse form: unit-length ``(1 + ln tf) * idf`` weights per row and term.
 
